@@ -1,0 +1,202 @@
+"""Near-Earth SGP4 for a batch of rows (Spacetrack Report 3; AIAA 2006-6753), in numpy.
+
+Used inside ``mapInPandas``: Spark spreads the (satellite, hour) rows, this works one Arrow
+batch at a time. Objects with a period of 225 minutes or more are not propagated.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+# WGS72 gravity model.
+MU = 398600.8
+RE = 6378.135
+J2 = 0.001082616
+J3 = -0.00000253881
+J4 = -0.00000165597
+KE = 60.0 / np.sqrt(RE**3 / MU)
+DEEP_SPACE_MINUTES = 225.0
+TWO_PI = 2.0 * np.pi
+
+
+def sidereal_angle(unix_minutes: np.ndarray) -> np.ndarray:
+    """Greenwich mean sidereal time (IAU 1982) in radians, with UT1 taken as UTC."""
+    t = (unix_minutes / 1440.0 + 2440587.5 - 2451545.0) / 36525.0
+    seconds = (
+        67310.54841 + (876600.0 * 3600 + 8640184.812866) * t + 0.093104 * t**2 - 6.2e-6 * t**3
+    )
+    return np.mod(np.radians(seconds / 240.0), TWO_PI)
+
+
+def propagate(mean_motion, ecc, incl, node, argp, anomaly, bstar, t):
+    """TEME position (km) at ``t`` minutes from epoch, and a mask of usable rows.
+
+    ``mean_motion`` is in revolutions a day, angles are in degrees. All arguments are arrays
+    of one length.
+    """
+    incl, node, argp, anomaly = (np.radians(a) for a in (incl, node, argp, anomaly))
+    ci, si = np.cos(incl), np.sin(incl)
+    c2 = ci * ci
+    e2 = ecc * ecc
+    b2 = 1.0 - e2
+    b = np.sqrt(b2)
+    k41, k42 = 3.0 * c2 - 1.0, 1.0 - 5.0 * c2
+
+    # Brouwer mean motion and semi-major axis from the Kozai mean motion.
+    n = mean_motion * TWO_PI / 1440.0
+    deep = TWO_PI / n >= DEEP_SPACE_MINUTES
+    a = (KE / n) ** (2.0 / 3.0)
+    d1 = 0.75 * J2 * k41 / (b * b2)
+    d = d1 / a**2
+    a = a * (1.0 - d * d - d * (1.0 / 3.0 + 134.0 * d * d / 81.0))
+    n = n / (1.0 + d1 / a**2)
+    a = (KE / n) ** (2.0 / 3.0)
+
+    # Atmosphere: density altitude depends on the perigee.
+    perigee = (a * (1.0 - ecc) - 1.0) * RE
+    simple = perigee < 220.0
+    s_km = np.where(perigee < 156.0, np.where(perigee < 98.0, 20.0, perigee - 78.0), 78.0)
+    q4 = ((120.0 - s_km) / RE) ** 4
+    s = s_km / RE + 1.0
+    xi = 1.0 / (a - s)
+    eta = a * ecc * xi
+    h2 = eta * eta
+    eh = ecc * eta
+    psi = np.abs(1.0 - h2)
+    coef = q4 * xi**4
+    coef1 = coef / psi**3.5
+    round_orbit = ecc <= 1.0e-4
+    safe_e = np.where(round_orbit, 1.0, ecc)
+    safe_eh = np.where(round_orbit, 1.0, eh)
+    j32 = J3 / J2
+    x1 = 1.0 - c2
+
+    drag2 = coef1 * n * (
+        a * (1.0 + 1.5 * h2 + eh * (4.0 + h2))
+        + 0.375 * J2 * xi / psi * k41 * (8.0 + 3.0 * h2 * (8.0 + h2))
+    )
+    c1 = bstar * drag2
+    c3 = np.where(round_orbit, 0.0, -2.0 * coef * xi * j32 * n * si / safe_e)
+    c4 = 2.0 * n * coef1 * a * b2 * (
+        eta * (2.0 + 0.5 * h2)
+        + ecc * (0.5 + 2.0 * h2)
+        - J2 * xi / (a * psi) * (
+            -3.0 * k41 * (1.0 - 2.0 * eh + h2 * (1.5 - 0.5 * eh))
+            + 0.75 * x1 * (2.0 * h2 - eh * (1.0 + h2)) * np.cos(2.0 * argp)
+        )
+    )
+    c5 = 2.0 * coef1 * a * b2 * (1.0 + 2.75 * (h2 + eh) + eh * h2)
+
+    # Secular rates from J2 and J4.
+    p2 = 1.0 / (a * b2) ** 2
+    t1 = 1.5 * J2 * p2 * n
+    t2 = 0.5 * t1 * J2 * p2
+    t3 = -0.46875 * J4 * p2 * p2 * n
+    c4i = c2 * c2
+    m_rate = n + 0.5 * t1 * b * k41 + 0.0625 * t2 * b * (13.0 - 78.0 * c2 + 137.0 * c4i)
+    w_rate = (
+        -0.5 * t1 * k42
+        + 0.0625 * t2 * (7.0 - 114.0 * c2 + 395.0 * c4i)
+        + t3 * (3.0 - 36.0 * c2 + 49.0 * c4i)
+    )
+    node1 = -t1 * ci
+    node_rate = node1 + (0.5 * t2 * (4.0 - 19.0 * c2) + 2.0 * t3 * (3.0 - 7.0 * c2)) * ci
+
+    mean = anomaly + m_rate * t
+    peri = argp + w_rate * t
+    asc = node + node_rate * t + 3.5 * b2 * node1 * c1 * t * t
+    shrink = 1.0 - c1 * t
+    e_loss = bstar * c4 * t
+    l_gain = 1.5 * c1 * t * t
+
+    # Higher drag terms, for orbits that do not graze the atmosphere.
+    twist = bstar * c3 * np.cos(argp) * t + np.where(
+        round_orbit,
+        0.0,
+        -2.0 / 3.0 * coef * bstar / safe_eh
+        * ((1.0 + eta * np.cos(mean)) ** 3 - (1.0 + eta * np.cos(anomaly)) ** 3),
+    )
+    d2 = 4.0 * a * xi * c1**2
+    dt = d2 * xi * c1 / 3.0
+    d3 = (17.0 * a + s) * dt
+    d4 = 0.5 * dt * a * xi * (221.0 * a + 31.0 * s) * c1
+    l3 = d2 + 2.0 * c1**2
+    l4 = 0.25 * (3.0 * d3 + c1 * (12.0 * d2 + 10.0 * c1**2))
+    l5 = 0.2 * (3.0 * d4 + 12.0 * c1 * d3 + 6.0 * d2**2 + 15.0 * c1**2 * (2.0 * d2 + c1**2))
+    mean_full = mean + twist
+    e_extra = bstar * c5 * (np.sin(mean_full) - np.sin(anomaly))
+    mean = np.where(simple, mean, mean_full)
+    peri = np.where(simple, peri, peri - twist)
+    shrink = np.where(simple, shrink, shrink - d2 * t**2 - d3 * t**3 - d4 * t**4)
+    e_loss = np.where(simple, e_loss, e_loss + e_extra)
+    l_gain = np.where(simple, l_gain, l_gain + l3 * t**3 + t**4 * (l4 + t * l5))
+
+    a = (KE / n) ** (2.0 / 3.0) * shrink**2
+    ecc_now = ecc - e_loss
+    ok = ~deep & (ecc_now < 1.0) & (ecc_now >= -0.001) & (a >= 0.95)
+    ecc_now = np.clip(ecc_now, 1.0e-6, 0.999999)
+    mean = mean + n * l_gain
+
+    # Long-period terms, then Kepler's equation.
+    ax = ecc_now * np.cos(peri)
+    scale = 1.0 / (a * (1.0 - ecc_now**2))
+    ay = ecc_now * np.sin(peri) - scale * 0.5 * j32 * si
+    tilt = np.where(np.abs(ci + 1.0) > 1.5e-12, 1.0 + ci, 1.5e-12)
+    longitude = mean + peri - scale * 0.25 * j32 * si * (3.0 + 5.0 * ci) / tilt * ax
+    u = np.mod(longitude, TWO_PI)
+    anom = u.copy()
+    for _ in range(10):
+        sin_e, cos_e = np.sin(anom), np.cos(anom)
+        move = (u - ay * cos_e + ax * sin_e - anom) / (1.0 - cos_e * ax - sin_e * ay)
+        anom = anom + np.clip(move, -0.95, 0.95)
+    sin_e, cos_e = np.sin(anom), np.cos(anom)
+
+    # Short-period terms and the position.
+    e_cos = ax * cos_e + ay * sin_e
+    e_sin = ax * sin_e - ay * cos_e
+    el2 = ax * ax + ay * ay
+    p = a * (1.0 - el2)
+    r = a * (1.0 - e_cos)
+    beta = np.sqrt(np.clip(1.0 - el2, 0.0, None))
+    part = e_sin / (1.0 + beta)
+    sin_u = a / r * (sin_e - ay - ax * part)
+    cos_u = a / r * (cos_e - ax + ay * part)
+    lat_arg = np.arctan2(sin_u, cos_u)
+    sin2, cos2 = 2.0 * sin_u * cos_u, 1.0 - 2.0 * sin_u * sin_u
+    g1 = 0.5 * J2 / p
+    g2 = g1 / p
+    r = r * (1.0 - 1.5 * g2 * beta * k41) + 0.5 * g1 * x1 * cos2
+    lat_arg = lat_arg - 0.25 * g2 * (7.0 * c2 - 1.0) * sin2
+    asc = asc + 1.5 * g2 * ci * sin2
+    tilted = incl + 1.5 * g2 * ci * si * cos2
+    sin_n, cos_n = np.sin(asc), np.cos(asc)
+    sin_l, cos_l = np.sin(lat_arg), np.cos(lat_arg)
+    sin_t, cos_t = np.sin(tilted), np.cos(tilted)
+    x = r * (cos_n * cos_l - sin_n * cos_t * sin_l) * RE
+    y = r * (sin_n * cos_l + cos_n * cos_t * sin_l) * RE
+    z = r * sin_t * sin_l * RE
+    ok = ok & (p >= 0.0) & (r >= 1.0) & np.isfinite(x + y + z)
+    return x, y, z, ok
+
+
+def earth_fixed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of elements with ``minute`` (of the Unix epoch) to Earth-fixed positions."""
+    minute = rows["minute"].to_numpy(float)
+    names = ["mean_motion", "ecc", "incl", "node", "argp", "anomaly", "bstar"]
+    with np.errstate(all="ignore"):
+        x, y, z, ok = propagate(
+            *(rows[c].to_numpy(float) for c in names),
+            minute - rows["epoch_minute"].to_numpy(float),
+        )
+    theta = sidereal_angle(minute)
+    out = pd.DataFrame(
+        {
+            "sat_id": rows["sat_id"].to_numpy(),
+            "hour_utc": rows["hour_utc"],
+            "x": np.cos(theta) * x + np.sin(theta) * y,
+            "y": -np.sin(theta) * x + np.cos(theta) * y,
+            "z": z,
+        }
+    )
+    return out[ok]
