@@ -47,7 +47,8 @@ def positions(elements: DataFrame, hours: DataFrame) -> DataFrame:
     steps = F.sequence(F.lit(span["a"]), F.lit(span["b"]), F.lit(3600).cast("bigint"))
     fanned = (
         elements.repartition("sat_id")
-        .withColumn("hour_utc", F.timestamp_seconds(F.explode(steps)))
+        .withColumn("__second", F.explode(steps))
+        .withColumn("hour_utc", F.timestamp_seconds("__second"))
         .join(wanted, "hour_utc", "left_semi")
     )
 
@@ -55,7 +56,7 @@ def positions(elements: DataFrame, hours: DataFrame) -> DataFrame:
         for rows in batches:
             yield earth_fixed(rows)
 
-    return fanned.withColumn("minute", F.unix_seconds("hour_utc") / 60.0).mapInPandas(
+    return fanned.withColumn("minute", F.col("__second") / 60.0).mapInPandas(
         propagate, POSITION_SCHEMA
     )
 
