@@ -18,7 +18,9 @@ from linkgrid.operators import hourly, labels
 from linkgrid.operators.fallback import cell_label_stats, latitude_priors, resolve_medians
 from linkgrid.operators.forecast import horizon_pairs
 from linkgrid.operators.quality import valid_measurements
-from linkgrid.session import use_utc
+from linkgrid import schemas
+from linkgrid.session import shared_dir, use_utc
+from linkgrid.sources.marts import read_mart, write_mart
 
 NOW = datetime(2024, 1, 29, tzinfo=UTC)
 MIN_HOURS = 120
@@ -182,13 +184,11 @@ def tile_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.assemble_labels(
-        probe_mart(spark, sf_dir), test_mart(spark, sf_dir), user_mart(spark, sf_dir)
-    )
+    return labels.assemble_labels(*(mart(spark, sf_dir, m) for m in ("probe", "test", "user")))
 
 
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.label_cell_hours(probe_mart(spark, sf_dir), user_mart(spark, sf_dir))
+    return labels.label_cell_hours(*(mart(spark, sf_dir, m) for m in ("probe", "user")))
 
 
 def precip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,12 +212,44 @@ def sparse_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BUILDERS = {
+    "probe": probe_mart,
+    "test": test_mart,
+    "user": user_mart,
+    "tile": tile_mart,
+    "precip": precip,
+    "sparse": sparse_latency,
+}
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A mart as later jobs see it: written to the shared folder once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = shared_dir(spark, f"mart-{name}")
+        write_mart(_BUILDERS[name](spark, sf_dir), path)
+        _written[key] = path
+    return read_mart(spark, _written[key], schema_of(name))
+
+
+def schema_of(name: str) -> str:
+    return {
+        "probe": schemas.PROBE_HOURLY,
+        "test": schemas.TEST_HOURLY,
+        "user": schemas.USER_HOURLY,
+        "tile": schemas.TILE_CONTEXT,
+        "precip": "h3_cell bigint, hour_utc timestamp, precip_mm_h double",
+        "sparse": "h3_cell bigint, hour_utc timestamp, value double",
+    }[name]
+
+
 def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.active_cells(readings(spark, sf_dir))
 
 
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latency = sparse_latency(spark, sf_dir)
+    latency = mart(spark, sf_dir, "sparse")
     return resolve_medians(
         site_cells(spark, sf_dir), cell_label_stats(latency), latitude_priors(latency), MIN_HOURS
     )
@@ -245,7 +277,7 @@ def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
         horizon_pairs(site_cells(spark, sf_dir), NOW)
         .join(hours, pair, "left")
         .join(cells, "h3_cell")
-        .join(precip(spark, sf_dir), pair, "left")
+        .join(mart(spark, sf_dir, "precip"), pair, "left")
         .join(medians(spark, sf_dir), "h3_cell")
         .select(
             *pair,

@@ -83,7 +83,7 @@ def cell_hierarchy(spark, sf):
             C.cell_resolution(C.cell_parent(cell, 4)).alias("parent4_res"),
             C.cell_lat(cell).alias("cell_lat"),
             C.cell_lon(cell).alias("cell_lon"),
-            C.parse_cell(F.concat(F.lit(" "), F.hex(cell))).alias("from_hex"),
+            C.parse_cell(F.concat(F.lit(" 0x"), F.hex(cell))).alias("from_hex"),
             C.parse_cell(cell.cast("string")).alias("from_decimal"),
         )
     )
@@ -226,13 +226,13 @@ def tile_context(spark, sf):
 @query
 def null_gate(spark, sf):
     return publish(
-        quality.null_rates(I.test_mart(spark, sf), ["h3_cell", "dl_mbps_median", "rtt_ms_median"])
+        quality.null_rates(I.mart(spark, sf, "test"), ["h3_cell", "dl_mbps_median", "rtt_ms_median"])
     )
 
 
 @query
 def history_merge(spark, sf):
-    mart = I.probe_mart(spark, sf)
+    mart = I.mart(spark, sf, "probe")
     split_at = F.unix_seconds("hour_utc") - 1_704_067_200
     old = mart.where(split_at < 20 * 86_400)
     new = mart.where(split_at >= 18 * 86_400).withColumns(
@@ -246,13 +246,13 @@ def history_merge(spark, sf):
 
 @query
 def active_cells(spark, sf):
-    return labels.active_cells(I.tile_mart(spark, sf), I.probe_mart(spark, sf))
+    return labels.active_cells(I.mart(spark, sf, "tile"), I.mart(spark, sf, "probe"))
 
 
 @query
 def active_map_cells(spark, sf):
-    stats = fallback.cell_label_stats(I.sparse_latency(spark, sf))
-    return labels.active_map_cells(stats, I.tile_mart(spark, sf))
+    stats = fallback.cell_label_stats(I.mart(spark, sf, "sparse"))
+    return labels.active_map_cells(stats, I.mart(spark, sf, "tile"))
 
 
 @query
@@ -267,7 +267,7 @@ def label_spans(spark, sf):
 
 @query
 def precip_offsets(spark, sf):
-    return publish(weather.precip_features(I.label_pairs(spark, sf), I.precip(spark, sf)))
+    return publish(weather.precip_features(I.label_pairs(spark, sf), I.mart(spark, sf, "precip")))
 
 
 @query
@@ -297,8 +297,8 @@ def _matrix(spark, sf):
     return matrix.training_matrix(
         I.all_labels(spark, sf),
         _orbital_stub(spark, sf),
-        weather.precip_features(I.label_pairs(spark, sf), I.precip(spark, sf)),
-        I.tile_mart(spark, sf),
+        weather.precip_features(I.label_pairs(spark, sf), I.mart(spark, sf, "precip")),
+        I.mart(spark, sf, "tile"),
     )
 
 
@@ -312,12 +312,12 @@ def training_matrix(spark, sf):
 
 @query
 def cell_label_stats(spark, sf):
-    return publish(fallback.cell_label_stats(I.sparse_latency(spark, sf)))
+    return publish(fallback.cell_label_stats(I.mart(spark, sf, "sparse")))
 
 
 @query
 def latitude_priors(spark, sf):
-    return publish(fallback.latitude_priors(I.sparse_latency(spark, sf)))
+    return publish(fallback.latitude_priors(I.mart(spark, sf, "sparse")))
 
 
 @query

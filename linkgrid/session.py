@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call-site capture costs more than building the plans of this package.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
