@@ -527,6 +527,26 @@ FINAL = {
               FROM (SELECT user_id, epoch_us(ts) AS t, count(*) AS n FROM readings GROUP BY 1, 2))""",
 }
 
+FINAL |= {
+    "stream_hourly_median": f"""
+        SELECT h3_cell, hour_utc, target, {r('value_median')} AS value_median, samples
+        FROM user_mart
+        WHERE (hour_utc + 3600) * 1000 <= (SELECT epoch_ms(max(ts)) - 7200000 FROM own WHERE NOT lost)""",
+    "stream_quarantine": "SELECT measurement_id, 'latency_ms' AS errors FROM own WHERE lost",
+    "stream_below_q10": f"""
+        SELECT measurement_id, {r('value_median * 0.5')} AS q10,
+               dl_mbps < value_median * 0.5 AS below_q10
+        FROM own o LEFT JOIN user_mart u ON u.h3_cell = o.h3_cell AND u.hour_utc = o.hour_utc
+             AND u.target = 'dl_throughput'""",
+    "stream_arrivals": """
+        SELECT user_id, s AS window_start, count(*) AS arrivals, count(*) > 2 AS over_cap
+        FROM (SELECT user_id, unnest([epoch_us(ts) // 10800000000 * 10800,
+                                      epoch_us(ts) // 10800000000 * 10800 - 10800]) AS s
+              FROM readings)
+        WHERE (s + 21600) * 1000 <= (SELECT epoch_ms(max(ts)) - 7200000 FROM readings)
+        GROUP BY 1, 2""",
+}
+
 
 def _needed(text: str) -> list[str]:
     """Views a query mentions, dependencies first."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from linkgrid.operators import (
     fallback,
     floods,
     forecast,
+    forest,
     history,
     hourly,
     labels,
@@ -37,7 +37,10 @@ from linkgrid.operators import (
     visibility,
     weather,
 )
+from linkgrid.plans import serving, training
+from linkgrid.session import shared_dir
 from linkgrid.sources import files
+from linkgrid.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -545,3 +548,85 @@ def sky_view(spark, sf):
     pairs = I.label_pairs(spark, sf)
     sats = visibility.positions(I.elements(spark, sf), pairs)
     return publish(visibility.sky_view(sats, pairs), 4)
+
+
+# --- streams ----------------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    I.use_utc(spark)
+    schema = I.table(spark, sf, "events").schema
+    return I.as_readings(ingest.file_stream(spark, sf, schema, glob="events.parquet"))
+
+
+def _run(stream, spark, name):
+    """Drives a stream over everything there is into a written table, and reads that."""
+    out = shared_dir(spark, name)
+    ingest.start_append(stream, out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query
+def stream_hourly_median(spark, sf):
+    live = ingest.drop_resent(quality.valid_measurements(I.as_measurements(_event_stream(spark, sf))))
+    counts = _run(ingest.hourly_value_counts(live), spark, "stream-hourly")
+    return publish(ingest.medians_of_counts(counts))
+
+
+@query
+def stream_quarantine(spark, sf):
+    rows = quality.rejected_measurements(I.as_measurements(_event_stream(spark, sf)))
+    found = _run(rows.withColumn("errors", F.concat_ws(",", "errors")), spark, "stream-rejected")
+    return found.select("measurement_id", "errors")
+
+
+@query
+def stream_below_q10(spark, sf):
+    bands = I.mart(spark, sf, "user").where(F.col("target") == "dl_throughput").select(
+        "h3_cell", "hour_utc", (F.col("value_median") * 0.5).alias("q10")
+    )
+    flagged = ingest.flag_below_q10(I.as_measurements(_event_stream(spark, sf)), bands)
+    found = _run(flagged.select("measurement_id", "q10", "below_q10"), spark, "stream-below")
+    return publish(found)
+
+
+@query
+def stream_arrivals(spark, sf):
+    live = _event_stream(spark, sf).select("user_id", "ts").withWatermark("ts", "2 hours")
+    counts = ingest.arrival_counts(live, "user_id", "6 hours", "3 hours", 2)
+    found = _run(counts, spark, "stream-arrivals")
+    return publish(found.select("user_id", "window_start", "arrivals", "over_cap"))
+
+
+# --- model ------------------------------------------------------------------------
+
+
+@query
+def model_report(spark, sf):
+    """Trains on each group's older hours and scores the held-out ones."""
+    rows = split.stratified_split(_matrix(spark, sf))
+    table = shared_dir(spark, "matrix")
+    rows.write.parquet(table)
+    _, report = training.train_and_evaluate(spark.read.parquet(table))
+    return publish(report)
+
+
+@query
+def quantile_forecast(spark, sf):
+    """48 hours for all cells from a model trained on the marts, with takeaways' inputs."""
+    table = shared_dir(spark, "matrix")
+    _matrix(spark, sf).write.parquet(table)
+    model = forest.fit_forests(spark.read.parquet(table))
+    payload = serving.forecast_cells(
+        model,
+        I.site_cells(spark, sf),
+        I.NOW,
+        I.mart(spark, sf, "precip"),
+        _orbital_stub(spark, sf),
+        I.mart(spark, sf, "tile"),
+        I.medians(spark, sf),
+    )
+    bands = [F.col(f"{t}.{b}").alias(f"{t}_{b}") for t in ("latency", "dl") for b in BAND_FIELDS]
+    return publish(
+        payload.select("h3_cell", "hour_utc", "basis", *bands, "weather.precip_mm_h")
+    )

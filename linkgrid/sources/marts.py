@@ -62,13 +62,15 @@ def write_mart(
         fs.delete(aside, True)
 
 
-def write_days(df: DataFrame, path: str, day: str = "date") -> None:
+def write_days(df: DataFrame, path: str, day: str = "date", files_per_day: int = 16) -> None:
     """Replace only the day partitions that ``df`` has rows for.
 
-    ``df`` must not read ``path`` itself; stage it first (see ``plans.daily``).
+    A day is spread over ``files_per_day`` tasks by cell, so one heavy day is not one task.
+    ``df`` must not read ``path`` itself; stage it first (as the stream upsert does).
     """
+    slot = F.pmod(F.xxhash64("h3_cell"), F.lit(files_per_day))
     (
-        df.repartition(day)
+        df.repartition(F.col(day), slot)
         .sortWithinPartitions("h3_cell", "hour_utc")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
