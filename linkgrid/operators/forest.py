@@ -7,6 +7,7 @@ over its trees. Edges are widened by a held-out conformal offset (Romano et al.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,7 @@ from linkgrid.functions.units import BAND_FIELDS, QUANTILES, TARGETS
 from linkgrid.operators.matrix import FEATURE_COLUMNS
 from linkgrid.operators.metrics import conformal_offsets
 from linkgrid.operators.split import stratified_split
+from linkgrid.session import shared_dir
 
 # Trees have no missing direction: a gap becomes this value plus an indicator column.
 MISSING = -1000.0
@@ -76,7 +78,8 @@ class QuantileForest:
 
 
 def _leaf_mean(table: list[list[float | None]]) -> Column:
-    trees = F.array(*[F.array(*[F.lit(v).cast("double") for v in tree]) for tree in table])
+    # One constant per table: Spark folds the parse away when it optimises the plan.
+    trees = F.from_json(F.lit(json.dumps(table)), "array<array<double>>")
     hits = F.array_compact(
         F.zip_with(trees, vector_to_array(F.col("__leaf")), lambda t, i: F.get(t, i.cast("int")))
     )
@@ -176,7 +179,9 @@ def fit_calibration(train: DataFrame, params: ForestParams = ForestParams()) ->
 
     Empty when the rows cannot be split. At most one number per target reaches the driver.
     """
-    halves = stratified_split(train)
+    table = shared_dir(train.sparkSession, "calibration")
+    stratified_split(train).write.parquet(table)
+    halves = train.sparkSession.read.parquet(table)
     held = halves.where("is_test")
     older = halves.where(~F.col("is_test"))
     targets = [t for t in available_targets(older) if t in available_targets(held)]
