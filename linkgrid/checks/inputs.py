@@ -212,38 +212,6 @@ def sparse_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BUILDERS = {
-    "probe": probe_mart,
-    "test": test_mart,
-    "user": user_mart,
-    "tile": tile_mart,
-    "precip": precip,
-    "sparse": sparse_latency,
-}
-_written: dict[tuple[str, str, str], str] = {}
-
-
-def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A mart as later jobs see it: written to the shared folder once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        path = shared_dir(spark, f"mart-{name}")
-        write_mart(_BUILDERS[name](spark, sf_dir), path)
-        _written[key] = path
-    return read_mart(spark, _written[key], schema_of(name))
-
-
-def schema_of(name: str) -> str:
-    return {
-        "probe": schemas.PROBE_HOURLY,
-        "test": schemas.TEST_HOURLY,
-        "user": schemas.USER_HOURLY,
-        "tile": schemas.TILE_CONTEXT,
-        "precip": "h3_cell bigint, hour_utc timestamp, precip_mm_h double",
-        "sparse": "h3_cell bigint, hour_utc timestamp, value double",
-    }[name]
-
-
 def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.active_cells(readings(spark, sf_dir))
 
@@ -294,6 +262,45 @@ def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MARTS = {
+    "probe": probe_mart,
+    "test": test_mart,
+    "user": user_mart,
+    "tile": tile_mart,
+    "precip": precip,
+    "sparse": sparse_latency,
+    "horizon": horizon,
+}
+HORIZON = (
+    "h3_cell bigint, hour_utc timestamp, latency_q10 double, latency_q50 double, "
+    "latency_q90 double, dl_q50 double, precip_mm_h double, basis string, lon double, "
+    "latency_median double, dl_median double"
+)
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A mart as later jobs see it: written to the shared folder once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = shared_dir(spark, f"mart-{name}")
+        write_mart(MARTS[name](spark, sf_dir), path)
+        _written[key] = path
+    return read_mart(spark, _written[key], schema_of(name))
+
+
+def schema_of(name: str) -> str:
+    return {
+        "probe": schemas.PROBE_HOURLY,
+        "test": schemas.TEST_HOURLY,
+        "user": schemas.USER_HOURLY,
+        "tile": schemas.TILE_CONTEXT,
+        "precip": "h3_cell bigint, hour_utc timestamp, precip_mm_h double",
+        "sparse": "h3_cell bigint, hour_utc timestamp, value double",
+        "horizon": HORIZON,
+    }[name]
+
+
 def fixed_bands(rows: DataFrame) -> DataFrame:
     """Bands that need no model: near the true quantiles, off by the cell's parity."""
     shift = F.col("h3_cell") % 2

@@ -417,7 +417,7 @@ def _cache(spark, sf):
 
 def _fresh(spark, sf):
     """Payload rows: bands for both targets, the download one missing on some hours."""
-    rows = I.horizon(spark, sf)
+    rows = I.mart(spark, sf, "horizon")
     third = F.pmod(F.floor(F.unix_seconds("hour_utc") / 3600), F.lit(3)) == 0
     band = lambda c: F.struct(
         (c * 0.8).alias("q10"), c.alias("q50"), (c * 1.2).alias("q90")
@@ -460,7 +460,7 @@ def cache_upsert(spark, sf):
 
 
 def _windows(spark, sf, kind):
-    return takeaways.takeaway_windows(I.horizon(spark, sf)).where(F.col("kind") == kind)
+    return takeaways.takeaway_windows(I.mart(spark, sf, "horizon")).where(F.col("kind") == kind)
 
 
 @query
@@ -485,7 +485,7 @@ def best_window(spark, sf):
 
 @query
 def takeaway_verdicts(spark, sf):
-    rows = takeaways.takeaways(I.horizon(spark, sf))
+    rows = takeaways.takeaways(I.mart(spark, sf, "horizon"))
     last = F.element_at("windows", -1)
     return publish(
         rows.select(

@@ -20,7 +20,8 @@ Level = float | Callable[[Column], Column]
 
 def _bucket(value: Column, per_unit: int) -> Column:
     """Order-preserving bucket, about ``1 / per_unit`` wide relative to the value."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * per_unit)).cast("bigint")
+    bucket = (F.signum(value) * F.floor(F.log1p(F.abs(value)) * per_unit)).cast("bigint")
+    return F.coalesce(bucket, F.lit(0).cast("bigint"))
 
 
 def _between(position: Column, start: Column, stop: Column) -> Column:
@@ -43,49 +44,48 @@ def exact_quantiles(
     without any value gives no row. Groups are matched NULL-safely.
     """
     keys = list(keys)
-    names = [f"__k{i}" for i in range(len(keys))] or ["__k0"]
-    grouped = [F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(1).alias("__k0")]
+    # One non-null struct per group: NULL keys match, and equality infers no extra filter, so
+    # both uses of the counts below share one exchange and one scan.
+    parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] or [F.lit(1).alias("k0")]
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     number = F.col(value).cast("double")
 
     counted = (
         df.where(number.isNotNull())
-        .select(*grouped, number.alias("__v"), times.alias("__w"))
+        .select(F.struct(*parts).alias("__k"), number.alias("__v"), times.alias("__w"))
         .withColumn("__b", _bucket(F.col("__v"), buckets_per_unit))
-        .groupBy(*names, "__b", "__v")
+        .groupBy("__k", "__b", "__v")
         .agg(F.sum("__w").alias("__c"))
     )
 
-    group = W.partitionBy(*names)
+    group = W.partitionBy("__k")
     running = group.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = (
-        counted.groupBy(*names, "__b")
+        counted.groupBy("__k", "__b")
         .agg(F.sum("__c").alias("__bc"))
         .withColumn("__stop", F.sum("__bc").over(running))
         .withColumn("__n", F.sum("__bc").over(group))
     )
-    spots = []
+    spots = {}
     for i, level in enumerate(levels.values()):
         at = level(F.col("__n")) if callable(level) else F.lit(float(level))
-        totals = totals.withColumn(f"__p{i}", at * (F.col("__n") - 1))
-        spots.append(f"__p{i}")
+        spots[f"__p{i}"] = at * (F.col("__n") - 1)
+    totals = totals.withColumns(spots)
     start = F.col("__stop") - F.col("__bc")
     wanted = F.lit(False)
     for spot in spots:
         for rank in (F.floor(spot), F.ceil(spot)):
             wanted = wanted | _between(rank, start, F.col("__stop"))
     chosen = totals.where(wanted).select(
-        *[F.col(n).alias(f"{n}r") for n in names],
+        F.col("__k").alias("__kr"),
         F.col("__b").alias("__br"),
         start.alias("__start"),
         "__n",
         *spots,
     )
 
-    same = F.col("__b") == F.col("__br")
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"{n}r"))
-    inside = W.partitionBy(*names, "__b").orderBy("__v").rowsBetween(
+    same = (F.col("__k") == F.col("__kr")) & (F.col("__b") == F.col("__br"))
+    inside = W.partitionBy("__k", "__b").orderBy("__v").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     ranked = (
@@ -98,7 +98,7 @@ def exact_quantiles(
         for side, rank in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
             hit = _between(rank, F.col("__from"), F.col("__upto"))
             picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"{spot}{side}"))
-    found = ranked.groupBy(*names).agg(
+    found = ranked.groupBy("__k").agg(
         F.max("__n").alias("__n"), *[F.max(s).alias(s) for s in spots], *picks
     )
     answers = []
@@ -107,7 +107,7 @@ def exact_quantiles(
         share = F.col(spot) - F.floor(spot)
         answers.append((low + (high - low) * share).alias(name))
     return found.select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names)],
+        *[F.col(f"__k.k{i}").alias(k) for i, k in enumerate(keys)],
         *answers,
         F.col("__n").alias(count),
     )

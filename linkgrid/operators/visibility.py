@@ -45,8 +45,13 @@ def positions(elements: DataFrame, hours: DataFrame) -> DataFrame:
     if span["a"] is None:
         return elements.sparkSession.createDataFrame([], POSITION_SCHEMA)
     steps = F.sequence(F.lit(span["a"]), F.lit(span["b"]), F.lit(3600).cast("bigint"))
+    # A number is named because AQE would fold these few rows back into one task.
+    spark = elements.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
     fanned = (
-        elements.repartition("sat_id")
+        elements.repartition(tasks, "sat_id")
         .withColumn("__second", F.explode(steps))
         .withColumn("hour_utc", F.timestamp_seconds("__second"))
         .join(wanted, "hour_utc", "left_semi")
@@ -72,8 +77,9 @@ def _tile(degrees: Column) -> Column:
     return F.floor(degrees / TILE_DEG).cast("int")
 
 
-def _tiles_in_reach(lat: Column, lon: Column, reach: Column) -> Column:
-    """Array of (lat tile, lon tile) the cap around a point can touch."""
+def _with_tiles(sats: DataFrame) -> DataFrame:
+    """One row per coarse tile the footprint (lat, lon + 180, reach) of a position can touch."""
+    lat, lon, reach = F.col("__lat"), F.col("__lon"), F.col("__reach")
     rows = F.sequence(
         _tile(F.greatest(lat - reach, F.lit(-90.0))), _tile(F.least(lat + reach, F.lit(90.0)))
     )
@@ -84,14 +90,12 @@ def _tiles_in_reach(lat: Column, lon: Column, reach: Column) -> Column:
     count = int(360 / TILE_DEG)
     first = _tile(lon - half)
     columns = F.sequence(first, F.least(_tile(lon + half), first + (count - 1)))
-    return F.flatten(
-        F.transform(
-            rows,
-            lambda r: F.transform(
-                columns,
-                lambda c: F.struct(r.alias("tile_lat"), F.pmod(c, F.lit(count)).alias("tile_lon")),
-            ),
-        )
+    return (
+        sats.withColumn("__columns", columns)
+        .withColumn("tile_lat", F.explode(rows))
+        .withColumn("__column", F.explode("__columns"))
+        .withColumn("tile_lon", F.pmod("__column", F.lit(count)))
+        .select("hour_utc", "tile_lat", "tile_lon", "x", "y", "z")
     )
 
 
@@ -116,7 +120,7 @@ def sky_view(sats: DataFrame, pairs: DataFrame, mask_deg: float = MASK_DEG) -> D
     Every pair keeps a row: none in view gives 0 and NULLs.
     """
     radius = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    reaching = (
+    reaching = _with_tiles(
         sats.withColumn("__r", radius)
         .where(F.col("__r") > _MIN_RADIUS_KM)
         .withColumns(
@@ -126,8 +130,6 @@ def sky_view(sats: DataFrame, pairs: DataFrame, mask_deg: float = MASK_DEG) -> D
                 "__reach": footprint_deg(F.col("__r"), mask_deg),
             }
         )
-        .withColumn("t", F.explode(_tiles_in_reach(F.col("__lat"), F.col("__lon"), F.col("__reach"))))
-        .select("hour_utc", "t.tile_lat", "t.tile_lon", "x", "y", "z")
     )
     asked = pairs.select("h3_cell", "hour_utc").distinct()
     lat, lon = cell_lat(F.col("h3_cell")), cell_lon(F.col("h3_cell"))
@@ -142,8 +144,12 @@ def sky_view(sats: DataFrame, pairs: DataFrame, mask_deg: float = MASK_DEG) -> D
     distance = F.sqrt(dx * dx + dy * dy + dz * dz)
     up = dx * F.col("ux") + dy * F.col("uy") + dz * F.col("uz")
     elevation = F.degrees(F.asin(F.greatest(F.least(up / F.col("__d"), F.lit(1.0)), F.lit(-1.0))))
+    # The planner takes the fanned-out positions for as small as the elements they come from
+    # and would broadcast them; a hash of the pairs per partition holds at most the cells of
+    # one tile per key, and the positions stream past it.
     seen = (
-        placed.join(reaching, ["hour_utc", "tile_lat", "tile_lon"])
+        placed.hint("shuffle_hash")
+        .join(reaching, ["hour_utc", "tile_lat", "tile_lon"])
         .withColumn("__d", distance)
         .withColumn("__el", elevation)
         .where(F.col("__el") >= mask_deg)
