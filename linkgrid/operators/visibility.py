@@ -80,22 +80,39 @@ def _tile(degrees: Column) -> Column:
 def _with_tiles(sats: DataFrame) -> DataFrame:
     """One row per coarse tile the footprint (lat, lon + 180, reach) of a position can touch."""
     lat, lon, reach = F.col("__lat"), F.col("__lon"), F.col("__reach")
-    rows = F.sequence(
-        _tile(F.greatest(lat - reach, F.lit(-90.0))), _tile(F.least(lat + reach, F.lit(90.0)))
-    )
     # Past a pole the cap holds every longitude; below it the widest point is known.
     ratio = F.sin(F.radians(reach)) / F.cos(F.radians(lat))
     polar = (F.abs(lat) + reach >= 90.0) | (ratio >= 1.0)
     half = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
     count = int(360 / TILE_DEG)
-    first = _tile(lon - half)
-    columns = F.sequence(first, F.least(_tile(lon + half), first + (count - 1)))
-    return (
-        sats.withColumn("__columns", columns)
-        .withColumn("tile_lat", F.explode(rows))
-        .withColumn("__column", F.explode("__columns"))
-        .withColumn("tile_lon", F.pmod("__column", F.lit(count)))
-        .select("hour_utc", "tile_lat", "tile_lon", "x", "y", "z")
+    corners = sats.withColumns(
+        {
+            "__row": _tile(F.greatest(lat - reach, F.lit(-90.0))),
+            "__rows": _tile(F.least(lat + reach, F.lit(90.0))),
+            "__half": half,
+        }
+    ).select(
+        "hour_utc",
+        "x",
+        "y",
+        "z",
+        "__row",
+        (F.col("__rows") - F.col("__row") + 1).alias("__rows"),
+        _tile(lon - F.col("__half")).alias("__col"),
+        _tile(lon + F.col("__half")).alias("__last"),
+    )
+    columns = F.least(F.col("__last") - F.col("__col") + 1, F.lit(count))
+    # One generator over the block of tiles, numbered row by row.
+    numbered = corners.withColumn("__cols", columns).withColumn(
+        "__i", F.explode(F.sequence(F.lit(0), F.col("__rows") * F.col("__cols") - 1))
+    )
+    return numbered.select(
+        "hour_utc",
+        (F.col("__row") + F.floor(F.col("__i") / F.col("__cols")).cast("int")).alias("tile_lat"),
+        F.pmod(F.col("__col") + F.col("__i") % F.col("__cols"), F.lit(count)).alias("tile_lon"),
+        "x",
+        "y",
+        "z",
     )
 
 
