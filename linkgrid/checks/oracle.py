@@ -681,6 +681,66 @@ FINAL["sky_view"] = f"""
                {r('min(dist) FILTER (el >= 25)', 4)} AS min_range_km
         FROM looks GROUP BY 1, 2"""
 
+CTES |= {
+    "serve": f"""
+        SELECT c.h3_cell, t.h AS hour_utc, d.basis, d.cell_median,
+               coalesce(a.mm, 0.0) AS precip_mm_h, coalesce(b.mm, 0.0) AS precip_lag_1h,
+               coalesce(e.mm, 0.0) AS precip_forecast_3h, o.sats_visible,
+               k.terrestrial_baseline_mbps, k.devices
+        FROM (SELECT DISTINCT h3_cell FROM readings) c
+        CROSS JOIN (SELECT {NOW} + 3600 * i AS h FROM range(48) t(i)) t
+        JOIN medians d ON d.h3_cell = c.h3_cell
+        LEFT JOIN precip a ON a.h3_cell = c.h3_cell AND a.hour_utc = t.h
+        LEFT JOIN precip b ON b.h3_cell = c.h3_cell AND b.hour_utc = t.h - 3600
+        LEFT JOIN precip e ON e.h3_cell = c.h3_cell AND e.hour_utc = t.h + 10800
+        LEFT JOIN orbital_at o ON o.h3_cell = c.h3_cell AND o.hour_utc = t.h
+        LEFT JOIN tile_mart k ON k.h3_cell = c.h3_cell""",
+    "latest": "SELECT h3_cell, max(hour_utc) AS hour_utc FROM pairs GROUP BY 1",
+}
+FINAL |= {
+    "serving_features": f"""
+        SELECT h3_cell, hour_utc, basis, {r("sin(2 * pi() * (hour_utc // 3600 % 24) / 24)")} AS hour_sin,
+               {r("cos(2 * pi() * (hour_utc // 3600 % 24) / 24)")} AS hour_cos,
+               (isodow(make_timestamp(hour_utc * 1000000)) - 1)::DOUBLE AS day_of_week,
+               {r(lon('h3_cell') + ' / 15')} AS local_solar_offset_h,
+               {r('precip_mm_h')} AS precip_mm_h, {r('precip_lag_1h')} AS precip_lag_1h,
+               {r('precip_forecast_3h')} AS precip_forecast_3h,
+               sats_visible::DOUBLE AS sats_visible,
+               CASE WHEN sats_visible > 0 THEN sats_visible * 5.0 + 30.0 END::DOUBLE
+                   AS max_elevation_deg,
+               {r(lat('h3_cell'))} AS cell_lat,
+               {r('terrestrial_baseline_mbps')} AS terrestrial_baseline_mbps,
+               devices::DOUBLE AS devices, {r('cell_median')} AS cell_median_7d,
+               4.0::DOUBLE AS source_quality
+        FROM serve""",
+    "forecast_payload": f"""
+        SELECT h3_cell, hour_utc, basis, {r('cell_median * 0.5')} AS q10, {r('cell_median')} AS q50,
+               {r('cell_median * 2')} AS q90, true AS no_dl, {r('precip_mm_h')} AS precip_mm_h
+        FROM serve""",
+    "current_weather": f"""
+        SELECT event_id,
+               {r('CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 3 <> 0 THEN value / 100 ELSE 0 END END')}
+                   AS precip_mm_h,
+               {r('CASE WHEN event_id % 7 <> 0 THEN k END')} AS cloud_cover_pct,
+               {r('CASE WHEN event_id % 7 <> 0 THEN 0.0::DOUBLE END')} AS snow_mm_h
+        FROM readings""",
+    "element_records": f"""
+        SELECT s_suppkey + 1 AS sat_id, 28401840.0::DOUBLE AS epoch_minute,
+               {r('15.0 + s_suppkey / 1000')} AS mean_motion, 0.5::DOUBLE AS ecc, 0.5::DOUBLE AS bstar
+        FROM supplier WHERE s_suppkey % 13 <> 0 AND s_suppkey % 11 <> 0""",
+    "sky_report": f"""
+        SELECT l.h3_cell, l.hour_utc, (count(*) FILTER (el >= 25))::INT AS sats_visible,
+               {r('max(el) FILTER (el >= 25)', 4)} AS max_elevation_deg,
+               {r('min(dist) FILTER (el >= 25)', 4)} AS min_range_km,
+               {r(lat('l.h3_cell'), 4)} AS lat, {r(lon('l.h3_cell'), 4)} AS lon,
+               l.hour_utc + 12 AS next_reconfig, 12.0::DOUBLE AS seconds_to_reconfig,
+               {r('any_value(p.mm)', 4)} AS precip_mm_h
+        FROM looks l JOIN latest n ON n.h3_cell = l.h3_cell AND n.hour_utc = l.hour_utc
+        LEFT JOIN (SELECT h3_cell, arg_max(mm, hour_utc) AS mm FROM precip GROUP BY 1) p
+             ON p.h3_cell = l.h3_cell
+        GROUP BY l.h3_cell, l.hour_utc""",
+}
+
 
 def _needed(text: str) -> list[str]:
     """Views a query mentions, dependencies first."""

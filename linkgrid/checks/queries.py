@@ -630,3 +630,95 @@ def quantile_forecast(spark, sf):
     return publish(
         payload.select("h3_cell", "hour_utc", "basis", *bands, "weather.precip_mm_h")
     )
+
+
+# --- serving ----------------------------------------------------------------------
+
+
+def _horizon_features(spark, sf):
+    return forecast.serving_features(
+        forecast.horizon_pairs(I.site_cells(spark, sf), I.NOW),
+        I.mart(spark, sf, "precip"),
+        _orbital_stub(spark, sf),
+        I.mart(spark, sf, "tile"),
+        I.medians(spark, sf),
+    )
+
+
+@query
+def serving_features(spark, sf):
+    return publish(_horizon_features(spark, sf))
+
+
+@query
+def forecast_payload(spark, sf):
+    """Payload rows from fixed bands, the download target untrained."""
+    low = F.col("cell_median_7d")
+    bands = {
+        "latency_q10": low * 0.5,
+        "latency_q50": low,
+        "latency_q90": low * 2.0,
+    }
+    rows = forecast.assemble_payload(_horizon_features(spark, sf).withColumns(bands))
+    return publish(
+        rows.select(
+            "h3_cell", "hour_utc", "basis", "latency.q10", "latency.q50", "latency.q90",
+            F.col("dl").isNull().alias("no_dl"), "weather.precip_mm_h",
+        )
+    )
+
+
+@query
+def current_weather(spark, sf):
+    """Now-cast payload per reading: some without the block, some without a field."""
+    event = F.col("event_id")
+    block = F.struct(
+        F.when(event % 3 != 0, F.col("value") / 100.0).alias("precipitation"),
+        F.col("k").alias("cloud_cover"),
+    )
+    body = F.to_json(F.struct(F.when(event % 7 != 0, block).alias("current")))
+    rows = I.readings(spark, sf).select("event_id", files.current_weather(body).alias("w"))
+    return publish(rows.select("event_id", "w.precip_mm_h", "w.cloud_cover_pct", "w.snow_mm_h"))
+
+
+@query
+def element_records(spark, sf):
+    """Element text records per supplier; those that cannot be initialised drop out."""
+    key = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    raw = I.table(spark, sf, "supplier").select(
+        F.col("s_name").alias("OBJECT_NAME"),
+        F.when(key % 13 == 0, text(key + 400_000)).otherwise(text(key + 1)).alias("NORAD_CAT_ID"),
+        F.lit("2024-01-01T12:00:00.000000").alias("EPOCH"),
+        F.when(key % 11 == 0, "n/a").otherwise(text(F.lit(15.0) + key / 1000.0)).alias("MEAN_MOTION"),
+        *[F.lit("0.5").alias(c) for c in ("ECCENTRICITY", "INCLINATION", "RA_OF_ASC_NODE",
+                                          "ARG_OF_PERICENTER", "MEAN_ANOMALY", "BSTAR")],
+    )
+    return publish(
+        files.typed_elements(raw).select("sat_id", "epoch_minute", "mean_motion", "ecc", "bstar")
+    )
+
+
+@query
+def sky_report(spark, sf):
+    """Sky, clock and weather per cell at its last label hour."""
+    pairs = I.label_pairs(spark, sf).groupBy("h3_cell").agg(F.max("hour_utc").alias("hour_utc"))
+    view = visibility.sky_view(visibility.positions(I.elements(spark, sf), pairs), pairs)
+    rain = I.mart(spark, sf, "precip").groupBy("h3_cell").agg(
+        F.max_by("precip_mm_h", "hour_utc").alias("precip_mm_h")
+    )
+    return publish(visibility.sky_report(view, F.col("hour_utc"), rain), 4)
+
+
+@query
+def model_dish_verdicts(spark, sf):
+    """All users scored against a download model trained on the marts."""
+    table = shared_dir(spark, "matrix")
+    _matrix(spark, sf).write.parquet(table)
+    model = forest.fit_forests(spark.read.parquet(table), ["dl_throughput"])
+    return publish(
+        serving.score_dishes(
+            model, I.measurements(spark, sf), _orbital_stub(spark, sf),
+            I.mart(spark, sf, "tile"), I.medians(spark, sf),
+        )
+    )

@@ -12,7 +12,7 @@ from tools.check_oracle import compare  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
-SLOW = {"model_report", "quantile_forecast"}
+SLOW = {"model_report", "quantile_forecast", "model_dish_verdicts"}
 
 
 @pytest.fixture(scope="module")
