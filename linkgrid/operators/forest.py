@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -38,11 +39,15 @@ ALWAYS_PRESENT = {
 
 @dataclass(frozen=True)
 class ForestParams:
+    """``leaf_accuracy`` None ranks leaf labels exactly; a number keeps a bounded sketch per
+    leaf instead, so that only sketches are shuffled however many rows there are."""
+
     trees: int = 20
     depth: int = 6
     min_leaf: int = 20
     bagging: float = 0.9
     seed: int = 0
+    leaf_accuracy: int | None = None
 
 
 @dataclass
@@ -117,14 +122,21 @@ def _fit_target(rows: DataFrame, params: ForestParams):
     reached = forest.transform(wide).select(
         F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"), "label", "source_quality"
     )
-    # Labels are counted per (tree, leaf, value) before anything is ranked.
-    ranked = exact_quantiles(
-        reached.withColumn("leaf", F.col("leaf").cast("int")),
-        ["tree", "leaf"],
-        "label",
-        dict(zip(BAND_FIELDS, QUANTILES)),
-        weight="source_quality",
-    )
+    leaves = reached.withColumn("leaf", F.col("leaf").cast("int"))
+    levels = dict(zip(BAND_FIELDS, QUANTILES))
+    if params.leaf_accuracy is None:
+        # Labels are counted per (tree, leaf, value) before anything is ranked.
+        ranked = exact_quantiles(leaves, ["tree", "leaf"], "label", levels, weight="source_quality")
+    else:
+        # Weights are small whole numbers; a row is repeated inside its own task only.
+        times = F.array_repeat("label", F.col("source_quality").cast("int"))
+        sketch = F.percentile_approx("label", list(QUANTILES), params.leaf_accuracy)
+        ranked = (
+            leaves.select("tree", "leaf", F.explode(times).alias("label"))
+            .groupBy("tree", "leaf")
+            .agg(sketch.alias("q"))
+            .select("tree", "leaf", *[F.col("q")[i].alias(n) for i, n in enumerate(BAND_FIELDS)])
+        )
     return forest, leaf_tables(ranked, params.trees)
 
 
@@ -161,17 +173,15 @@ def fit_forests(
 
 
 def score_rows(model: QuantileForest, rows: DataFrame, calibrated: bool = True) -> DataFrame:
-    """Labelled rows with q10, q50 and q90 of their own target."""
-    wide = model.predict(rows, calibrated)
-    picked = {}
-    for name in BAND_FIELDS:
-        chain = F
-        for target in model.trained_targets:
-            chain = chain.when(F.col("target") == target, F.col(f"{target}_{name}"))
-        picked[name] = chain
-    return wide.withColumns(picked).drop(
-        *[f"{t}_{b}" for t in model.trained_targets for b in BAND_FIELDS]
-    )
+    """Labelled rows of the trained targets with q10, q50 and q90 of their own target.
+
+    Each row passes only its own target's trees.
+    """
+    parts = []
+    for target in model.trained_targets:
+        own = model.predict(rows.where(F.col("target") == target), calibrated, [target])
+        parts.append(own.withColumnsRenamed({f"{target}_{b}": b for b in BAND_FIELDS}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fit_calibration(train: DataFrame, params: ForestParams = ForestParams()) -> dict[str, float]:

@@ -29,6 +29,10 @@ LOWER = {"high": "medium", "medium": "low", "low": "low"}
 SMOOTH_HEADLINE = "Smooth sailing — no rough patches expected in the next 48 hours"
 ROUGH_HEADLINE = "Rough patch ahead — expect a slowdown "
 MIXED_HEADLINE = "Mostly smooth — one rough stretch "
+MORE_WINDOWS = (" (+", " more)")
+BEST_DETAIL = f"calmest {BEST_WINDOW_H}-hour stretch — "
+DL_DETAIL = ("downloads ~", "% below your area's normal")
+LATENCY_DETAIL = ("latency ~", "% above your area's normal")
 RAIN_DETAIL = "rain overlaps this dip — weather is the likely cause"
 
 
@@ -154,8 +158,8 @@ def _severity() -> Column:
 
 def _detail() -> Column:
     percent = F.bround(F.col("worst") * 100).cast("int").cast("string")
-    dl = F.concat(F.lit("downloads ~"), percent, F.lit("% below your area's normal"))
-    latency = F.concat(F.lit("latency ~"), percent, F.lit("% above your area's normal"))
+    dl = F.concat(F.lit(DL_DETAIL[0]), percent, F.lit(DL_DETAIL[1]))
+    latency = F.concat(F.lit(LATENCY_DETAIL[0]), percent, F.lit(LATENCY_DETAIL[1]))
     return F.when(F.col("kind") == "rain", F.lit(RAIN_DETAIL)).otherwise(
         F.when(F.col("driver") == "dl", dl).otherwise(latency)
     )
@@ -207,10 +211,12 @@ def takeaways(horizon: DataFrame) -> DataFrame:
     phrase = solar_phrase(F.col("worst_start"), F.col("lon"))
     more = F.when(
         F.col("problems") > 1,
-        F.concat(F.lit(" (+"), (F.col("problems") - 1).cast("string"), F.lit(" more)")),
+        F.concat(
+            F.lit(MORE_WINDOWS[0]), (F.col("problems") - 1).cast("string"), F.lit(MORE_WINDOWS[1])
+        ),
     ).otherwise("")
     best_detail = F.concat(
-        F.lit(f"calmest {BEST_WINDOW_H}-hour stretch — "),
+        F.lit(BEST_DETAIL),
         solar_phrase(F.col("best_start"), F.col("lon")),
     )
     best = F.when(

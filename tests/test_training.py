@@ -85,6 +85,18 @@ def test_prediction_is_the_mean_of_leaf_quantiles(spark):
         assert b[0] == pytest.approx(sum(hits) / len(hits))
 
 
+def test_sketched_leaves_are_close_to_exact_ones(spark):
+    rows = matrix_rows(spark, 400, ("latency",))
+    exact = forest.fit_forests(rows, params=SMALL).leaves["latency"]
+    sketch = forest.fit_forests(
+        rows, params=forest.ForestParams(trees=6, depth=4, min_leaf=10, leaf_accuracy=10_000)
+    ).leaves["latency"]
+    for name in ("q10", "q50", "q90"):
+        flat = [(a, b) for t, u in zip(exact[name], sketch[name]) for a, b in zip(t, u)]
+        assert len(flat) > 20 and all(abs(a - b) < 6.0 for a, b in flat)
+        assert sum(abs(a - b) for a, b in flat) / len(flat) < 0.8
+
+
 def test_short_history_is_skipped(spark, folder):
     one_hour = matrix_rows(spark, 5).withColumn("hour_utc", F.lit(at()))
     assert "skipped" in training.run_training(one_hour, folder, folder)
