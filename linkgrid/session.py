@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+_local_roots: dict[str, str] = {}
+
 
 def build_session(app: str = "linkgrid", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the transforms rely on. On a cluster leave ``master`` unset."""
@@ -39,12 +41,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
     Only where ``spark.checkpoint.dir`` is unset and Spark runs in local mode is a
-    temporary folder made and remembered; on a cluster an unset folder is an error.
+    temporary folder made, one per application; on a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _local_roots[app]
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
