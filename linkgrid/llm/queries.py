@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkgrid.llm import pieces, repetition, segmentation, tokencount
+from linkgrid.llm import (
+    language,
+    pieces,
+    quality,
+    radix,
+    repetition,
+    segmentation,
+    tokencount,
+)
 from linkgrid.llm.common import table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +37,21 @@ def op4_sentencepiece(spark: SparkSession, sf: str, model: str = PIECES) -> Data
     return segmentation.encoded_documents(table(spark, sf, "documents"), pieces.load(model))
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return radix.exact_report(table(spark, sf, "documents"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.language_report(table(spark, sf, "documents"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf, "documents"))
