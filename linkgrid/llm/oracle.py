@@ -9,3 +9,71 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def _shared(nodes: str, parents: str, child: str) -> str:
+    """Water-filling of ``given`` over the children of a node, as a query over ``nodes``."""
+    family = f"PARTITION BY {parents}" if parents else ""
+    order = f"{family} ORDER BY ratio, {child}"
+    return f"""
+    SELECT * EXCLUDE (given, ratio, before, after, is_full, spent, unfilled),
+           CASE WHEN is_full THEN capacity
+                ELSE ((given - spent)::HUGEINT * weight // unfilled)::BIGINT END AS budget
+    FROM (SELECT *, sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({family}) AS spent,
+                 sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({family}) AS unfilled
+          FROM (SELECT *, capacity::HUGEINT * after <= (given - before)::HUGEINT * weight
+                       AS is_full
+                FROM (SELECT *, coalesce(sum(capacity) OVER (
+                                    {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                                    AS before,
+                             sum(weight) OVER (
+                                 {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                                 AS after
+                      FROM (SELECT *, CASE WHEN weight > 0 THEN capacity / weight ELSE 0.0 END
+                                   AS ratio FROM ({nodes})))))"""
+
+
+_DOMAINS = _shared(
+    "SELECT domain, sum(capacity)::BIGINT AS capacity, max(w_domain) AS weight,"
+    " (SELECT sum(supply) * 80 // 100 FROM leaves)::BIGINT AS given"
+    " FROM leaves GROUP BY domain", "", "domain")
+_LANGS = _shared(
+    "SELECT l.domain, l.lang, sum(l.capacity)::BIGINT AS capacity, max(w_lang) AS weight,"
+    " max(d.budget) AS given FROM leaves l JOIN domains d USING (domain)"
+    " GROUP BY l.domain, l.lang", "domain", "lang")
+_LEAVES = _shared(
+    "SELECT l.domain, l.lang, l.source, l.supply, l.capacity, w_source AS weight,"
+    " g.budget AS given FROM leaves l JOIN langs g USING (domain, lang)",
+    "domain, lang", "source")
+
+SQL["op1_mixing"] = f"""
+WITH rows AS (
+    SELECT doc_id,
+           CASE WHEN regexp_matches(source, '[0-4]$') THEN 'web'
+                WHEN regexp_matches(source, '[5-7]$') THEN 'reference' ELSE 'forum' END AS domain,
+           coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+    FROM documents),
+leaves AS (
+    SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply,
+           sum(n_tokens)::BIGINT * 3 AS capacity,
+           CASE domain WHEN 'web' THEN 5 WHEN 'reference' THEN 3 ELSE 2 END AS w_domain,
+           CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w_lang,
+           CASE source WHEN 'src0' THEN 3 ELSE 1 END AS w_source
+    FROM rows GROUP BY domain, lang, source),
+domains AS ({_DOMAINS}),
+langs AS ({_LANGS}),
+budgets AS ({_LEAVES}),
+keyed AS (
+    SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs,
+           CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS rest
+    FROM rows JOIN budgets USING (domain, lang, source)),
+ordered AS (
+    SELECT *, md5('mix-1:' || epochs || ':' || doc_id) AS key FROM keyed),
+placed AS (
+    SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ordered)
+SELECT doc_id, domain, lang, source, n_tokens, epochs + (before < rest)::BIGINT AS copies,
+       (epochs * n_tokens + greatest(0, least(n_tokens, rest - before)))::BIGINT AS taken
+FROM placed
+"""

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkgrid.llm import (
     language,
+    mixing,
     pieces,
     quality,
     radix,
     repetition,
+    secrets,
     segmentation,
     tokencount,
 )
@@ -27,6 +30,27 @@ def query(fn):
     return fn
 
 
+def domain_of() -> Column:
+    """The tables name no domain; the last digit of the source stands for it."""
+    return (
+        F.when(F.col("source").rlike("[0-4]$"), "web")
+        .when(F.col("source").rlike("[5-7]$"), "reference")
+        .otherwise("forum")
+    )
+
+
+TARGETS = mixing.Targets(
+    domain={"web": 5, "reference": 3, "forum": 2},
+    lang={"en": 5, "de": 2, "fr": 2},
+    source={"src0": 3},
+)
+
+
+@query
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf, "documents"), TARGETS, domain_of())
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf: str, model: str = PIECES) -> DataFrame:
     return tokencount.token_counts(table(spark, sf, "documents"), pieces.load(model))
@@ -37,6 +61,11 @@ def op4_sentencepiece(spark: SparkSession, sf: str, model: str = PIECES) -> Data
     return segmentation.encoded_documents(table(spark, sf, "documents"), pieces.load(model))
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf, "documents"))
+
+
 @query
 def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))

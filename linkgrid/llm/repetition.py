@@ -32,19 +32,23 @@ SCHEMA = ", ".join(
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest shares of word characters that a kept text may have (published web filters)."""
+    """Largest shares of word characters that a kept text may have.
+
+    Looser than common published limits, so that one sentence said twice does not condemn a
+    short text.
+    """
 
     min_words: int = 50
-    dup_line_chars: float = 0.20
-    top_2: float = 0.20
-    top_3: float = 0.18
-    top_4: float = 0.16
-    dup_5: float = 0.15
-    dup_6: float = 0.14
-    dup_7: float = 0.13
-    dup_8: float = 0.12
-    dup_9: float = 0.11
-    dup_10: float = 0.10
+    dup_line_chars: float = 0.30
+    top_2: float = 0.30
+    top_3: float = 0.28
+    top_4: float = 0.26
+    dup_5: float = 0.30
+    dup_6: float = 0.28
+    dup_7: float = 0.26
+    dup_8: float = 0.24
+    dup_9: float = 0.22
+    dup_10: float = 0.20
 
 
 # Classes of bytes: continuation, white space, counted symbol, any other first byte.
