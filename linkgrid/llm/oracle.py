@@ -77,3 +77,31 @@ SELECT doc_id, domain, lang, source, n_tokens, epochs + (before < rest)::BIGINT
        (epochs * n_tokens + greatest(0, least(n_tokens, rest - before)))::BIGINT AS taken
 FROM placed
 """
+
+SQL["op2_ngram_join"] = """
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE
+        WHEN len(words) = 0 THEN []
+        WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3),
+                 lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+    FROM worded),
+tokens AS (SELECT doc_id, unnest(shingles) AS token FROM sets),
+sizes AS (SELECT doc_id, len(shingles)::BIGINT AS n FROM sets),
+common AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+    FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v
+    WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM sizes
+    UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other)
+SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id
+FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY ALL
+"""

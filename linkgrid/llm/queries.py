@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkgrid.llm import (
     language,
     mixing,
+    ngram_join,
     pieces,
     quality,
     radix,
@@ -51,6 +52,11 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"), TARGETS, domain_of())
 
 
+@query
+def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf, "documents"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf: str, model: str = PIECES) -> DataFrame:
     return tokencount.token_counts(table(spark, sf, "documents"), pieces.load(model))
