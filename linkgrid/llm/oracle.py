@@ -105,3 +105,32 @@ reach AS (
 SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id
 FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY ALL
 """
+
+SQL["op8_line_dedup"] = """
+WITH split AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           unnest(range(len(string_split(text, chr(10))))) AS line_no
+    FROM documents WHERE text IS NOT NULL),
+lines AS (
+    SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS place,
+           list_sort(list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS words
+    FROM split WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+classes AS (SELECT words, min(place) AS place, len(words) AS n FROM lines GROUP BY words),
+tokens AS (SELECT place, n, unnest(words) AS token FROM classes),
+common AS (
+    SELECT b.place, a.n + b.n AS total, count(*) AS c
+    FROM tokens a JOIN tokens b ON a.token = b.token AND a.place < b.place
+         AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+    GROUP BY a.place, b.place, a.n, b.n),
+gone AS (SELECT DISTINCT place FROM common WHERE 9 * c >= 4 * total),
+marked AS (
+    SELECT l.doc_id, l.line_no,
+           l.place > c.place OR c.place IN (SELECT place FROM gone) AS removed
+    FROM lines l JOIN classes c USING (words))
+SELECT d.doc_id, count(m.line_no) AS n_lines,
+       coalesce(sum(m.removed::BIGINT), 0)::BIGINT AS n_removed,
+       coalesce(string_agg(CASE WHEN m.removed THEN m.line_no::VARCHAR END, ','
+                           ORDER BY m.line_no), '') AS removed
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN marked m USING (doc_id)
+GROUP BY d.doc_id
+"""

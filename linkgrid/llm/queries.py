@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkgrid.llm import (
     language,
+    lines,
     mixing,
     ngram_join,
     pieces,
@@ -82,6 +83,12 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return radix.exact_report(table(spark, sf, "documents"))
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    report = lines.line_report(table(spark, sf, "documents"))
+    return report.withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
+
+
 @query
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.language_report(table(spark, sf, "documents"))
