@@ -314,17 +314,21 @@ def fixed_bands(rows: DataFrame) -> DataFrame:
     )
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One low orbiter per supplier, spread over 8 planes."""
-    key = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earth-fixed positions, hourly: a circular orbit per supplier over the 30 days."""
+    key, hour = F.col("s_suppkey"), F.col("hour")
+    rows = table(spark, sf_dir, "supplier").select(
+        key, F.explode(F.sequence(F.lit(0), F.lit(719))).alias("hour"))
+    radius = F.lit(6921.0) + (key % 5) * 20.0
+    along = F.radians((key * 137 % 3600) / 10.0 + hour * 226.1)
+    tilt = F.radians(F.lit(53.0) + (key % 3) * 8.5)
+    node = F.radians((key % 8) * 45.0 + (key % 11) * 1.5 - hour * 15.04)
+    rows = rows.withColumns({"r": radius, "u": along, "i": tilt, "n": node})
+    u, i, n = F.col("u"), F.col("i"), F.col("n")
+    return rows.select(
         key.alias("sat_id"),
-        F.lit(28_401_120.0).alias("epoch_minute"),
-        (F.lit(15.06) + (key % 5) * 0.01).alias("mean_motion"),
-        (F.lit(0.0001) + (key % 7) * 0.0002).alias("ecc"),
-        (F.lit(53.0) + (key % 3) * 8.5).alias("incl"),
-        ((key % 8) * 45.0 + (key % 11) * 1.5).alias("node"),
-        ((key % 13) * 27.0).alias("argp"),
-        (F.pmod(key * 137, F.lit(3600)) / 10.0).alias("anomaly"),
-        F.lit(0.0).alias("bstar"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + hour * 3600).alias("hour_utc"),
+        (F.col("r") * (F.cos(u) * F.cos(n) - F.sin(u) * F.cos(i) * F.sin(n))).alias("x"),
+        (F.col("r") * (F.cos(u) * F.sin(n) + F.sin(u) * F.cos(i) * F.cos(n))).alias("y"),
+        (F.col("r") * F.sin(u) * F.sin(i)).alias("z"),
     )

@@ -530,8 +530,10 @@ FINAL = {
 FINAL |= {
     "stream_hourly_median": f"""
         SELECT h3_cell, hour_utc, target, {r('value_median')} AS value_median, samples
-        FROM user_mart
-        WHERE (hour_utc + 3600) * 1000 <= (SELECT epoch_ms(max(ts)) - 7200000 FROM own WHERE NOT lost)""",
+        FROM user_mart""",
+    "stream_late_rows": f"""
+        SELECT h3_cell, hour_utc, target, {r('value_median')} AS value_median, samples
+        FROM user_mart""",
     "stream_quarantine": "SELECT measurement_id, 'latency_ms' AS errors FROM own WHERE lost",
     "stream_below_q10": f"""
         SELECT measurement_id, {r('value_median * 0.5')} AS q10,
@@ -543,7 +545,6 @@ FINAL |= {
         FROM (SELECT user_id, unnest([epoch_us(ts) // 10800000000 * 10800,
                                       epoch_us(ts) // 10800000000 * 10800 - 10800]) AS s
               FROM readings)
-        WHERE (s + 21600) * 1000 <= (SELECT epoch_ms(max(ts)) - 7200000 FROM readings)
         GROUP BY 1, 2""",
 }
 
@@ -562,89 +563,19 @@ def _staged(source: str, columns: str) -> str:
     return f"SELECT * FROM {text}"
 
 
-_KEPLER = "\n".join(
-    f"k{i + 1} = k{i} + (u - ay * cos(k{i}) + ax * sin(k{i}) - k{i})"
-    f" / (1 - ax * cos(k{i}) - ay * sin(k{i}))"
-    for i in range(8)
-)
-
-# Drag-free SGP4 for the stand-in satellites, and every satellite against every pair.
+# Every object against every pair.
 CTES |= {
-    "sats": _staged(
-        "(SELECT s_suppkey AS sat_id FROM supplier)",
-        """
-        nk = (15.06::DOUBLE + (sat_id % 5) * 0.01::DOUBLE) * 2 * pi() / 1440
-        e = 0.0001::DOUBLE + (sat_id % 7) * 0.0002::DOUBLE
-        inc = radians(53.0::DOUBLE + (sat_id % 3) * 8.5::DOUBLE)
-        node = radians((sat_id % 8) * 45.0::DOUBLE + (sat_id % 11) * 1.5::DOUBLE)
-        w = radians((sat_id % 13) * 27.0::DOUBLE)
-        m = radians((sat_id * 137 % 3600) / 10.0::DOUBLE)
-        re = 6378.135::DOUBLE
-        j2 = 0.001082616::DOUBLE
-        j32 = -0.00000253881::DOUBLE / 0.001082616::DOUBLE
-        j4 = -0.00000165597::DOUBLE
-        ke = 60 / sqrt(re ** 3 / 398600.8::DOUBLE)
-        c = cos(inc)
-        s = sin(inc)
-        c2 = c * c
-        c4 = c2 * c2
-        b2 = 1 - e * e
-        b = sqrt(b2)
-        k41 = 3 * c2 - 1
-        k42 = 1 - 5 * c2
-        a1 = pow(ke / nk, 2 / 3.0::DOUBLE)
-        d1 = 0.75 * j2 * k41 / (b * b2)
-        d = d1 / (a1 * a1)
-        a2 = a1 * (1 - d * d - d * (1 / 3.0::DOUBLE + 134 * d * d / 81))
-        n = nk / (1 + d1 / (a2 * a2))
-        a = pow(ke / n, 2 / 3.0::DOUBLE)
-        p2 = 1 / (a * b2) ** 2
-        t1 = 1.5 * j2 * p2 * n
-        t2 = 0.5 * t1 * j2 * p2
-        t3 = -0.46875 * j4 * p2 * p2 * n
-        md = n + 0.5 * t1 * b * k41 + 0.0625 * t2 * b * (13 - 78 * c2 + 137 * c4)
-        wd = -0.5 * t1 * k42 + 0.0625 * t2 * (7 - 114 * c2 + 395 * c4) + t3 * (3 - 36 * c2 + 49 * c4)
-        nd = -t1 * c + (0.5 * t2 * (4 - 19 * c2) + 2 * t3 * (3 - 7 * c2)) * c
-        """,
-    ),
     "orbit": _staged(
-        "(SELECT * FROM sats CROSS JOIN (SELECT DISTINCT hour_utc FROM pairs))",
-        f"""
-        t = (hour_utc - 1704067200) / 60.0::DOUBLE
-        ww = w + wd * t
-        nn = node + nd * t
-        sc = 1 / (a * b2)
-        ax = e * cos(ww)
-        ay = e * sin(ww) - sc * 0.5 * j32 * s
-        u = m + md * t + ww - sc * 0.25 * j32 * s * (3 + 5 * c) / (1 + c) * ax
-        k0 = u
-        {_KEPLER}
-        se = sin(k8)
-        co = cos(k8)
-        ec = ax * co + ay * se
-        es = ax * se - ay * co
-        el = ax * ax + ay * ay
-        p = a * (1 - el)
-        r0 = a * (1 - ec)
-        be = sqrt(1 - el)
-        pt = es / (1 + be)
-        su = a / r0 * (se - ay - ax * pt)
-        cu = a / r0 * (co - ax + ay * pt)
-        s2 = 2 * su * cu
-        cc2 = 1 - 2 * su * su
-        g1 = 0.5 * j2 / p
-        g2 = g1 / p
-        rr = (r0 * (1 - 1.5 * g2 * be * k41) + 0.5 * g1 * (1 - c2) * cc2) * re
-        la = atan2(su, cu) - 0.25 * g2 * (7 * c2 - 1) * s2
-        no = nn + 1.5 * g2 * c * s2
-        ti = inc + 1.5 * g2 * c * s * cc2
-        xt = rr * (cos(no) * cos(la) - sin(no) * cos(ti) * sin(la))
-        yt = rr * (sin(no) * cos(la) + cos(no) * cos(ti) * sin(la))
-        z = rr * sin(ti) * sin(la)
-        ct = (hour_utc / 86400.0::DOUBLE + 2440587.5 - 2451545.0) / 36525
-        th = radians((67310.54841::DOUBLE + (876600.0 * 3600 + 8640184.812866)::DOUBLE * ct + 0.093104 * ct * ct - 6.2e-6 * ct * ct * ct) / 240)
-        x = cos(th) * xt + sin(th) * yt
-        y = cos(th) * yt - sin(th) * xt
+        "(SELECT s_suppkey AS k, unnest(range(720)) AS h FROM supplier)",
+        """
+        hour_utc = 1704067200 + h * 3600
+        r = 6921.0::DOUBLE + (k % 5) * 20.0::DOUBLE
+        u = radians((k * 137 % 3600) / 10.0::DOUBLE + h * 226.1::DOUBLE)
+        i = radians(53.0::DOUBLE + (k % 3) * 8.5::DOUBLE)
+        n = radians((k % 8) * 45.0::DOUBLE + (k % 11) * 1.5::DOUBLE - h * 15.04::DOUBLE)
+        x = r * (cos(u) * cos(n) - sin(u) * cos(i) * sin(n))
+        y = r * (cos(u) * sin(n) + sin(u) * cos(i) * cos(n))
+        z = r * sin(u) * sin(i)
         """,
     ),
     "ground": _staged(
@@ -725,9 +656,9 @@ FINAL |= {
                {r('CASE WHEN event_id % 7 <> 0 THEN 0.0::DOUBLE END')} AS snow_mm_h
         FROM readings""",
     "element_records": f"""
-        SELECT s_suppkey + 1 AS sat_id, 28401840.0::DOUBLE AS epoch_minute,
+        SELECT s_suppkey + CASE WHEN s_suppkey % 13 = 0 THEN 400000 ELSE 1 END AS sat_id, 28401840.0::DOUBLE AS epoch_minute,
                {r('15.0 + s_suppkey / 1000')} AS mean_motion, 0.5::DOUBLE AS ecc, 0.5::DOUBLE AS bstar
-        FROM supplier WHERE s_suppkey % 13 <> 0 AND s_suppkey % 11 <> 0""",
+        FROM supplier WHERE s_suppkey % 11 <> 0""",
     "sky_report": f"""
         SELECT l.h3_cell, l.hour_utc, (count(*) FILTER (el >= 25))::INT AS sats_visible,
                {r('max(el) FILTER (el >= 25)', 4)} AS max_elevation_deg,

@@ -546,8 +546,7 @@ def arrival_flood(spark, sf):
 @query
 def sky_view(spark, sf):
     pairs = I.label_pairs(spark, sf)
-    sats = visibility.positions(I.elements(spark, sf), pairs)
-    return publish(visibility.sky_view(sats, pairs), 4)
+    return publish(visibility.sky_view(I.positions(spark, sf), pairs), 4)
 
 
 # --- streams ----------------------------------------------------------------------
@@ -568,9 +567,34 @@ def _run(stream, spark, name):
 
 @query
 def stream_hourly_median(spark, sf):
-    live = ingest.drop_resent(quality.valid_measurements(I.as_measurements(_event_stream(spark, sf))))
-    counts = _run(ingest.hourly_value_counts(live), spark, "stream-hourly")
-    return publish(ingest.medians_of_counts(counts))
+    """The feed, driven to its end; every hour counts, the last one too."""
+    return _hourly(spark, quality.valid_measurements(I.as_measurements(_event_stream(spark, sf))))
+
+
+def _hourly(spark, live):
+    out = shared_dir(spark, "stream-hourly")
+    ingest.start_hourly_upsert(live, f"{out}/raw", f"{out}/mart", f"{out}/log").awaitTermination()
+    rows = spark.read.parquet(f"{out}/mart")
+    return publish(rows.select("h3_cell", "hour_utc", "target", "value_median", "samples"))
+
+
+@query
+def stream_late_rows(spark, sf):
+    """The same feed in several files: every fourth row comes twice, some come a day late."""
+    rows = quality.valid_measurements(I.as_measurements(I.readings(spark, sf)))
+    folder = shared_dir(spark, "stream-files")
+    number = F.col("measurement_id")
+    day = F.floor(F.unix_seconds("ts") / (6 * 86_400))
+    sent = F.when(number % 10 == 0, day + 1).otherwise(day)
+    again = F.when(number % 4 == 0, F.array(sent, sent + 1)).otherwise(F.array(sent))
+    split = shared_dir(spark, "stream-parts")
+    rows.withColumn("part", F.explode(again)).write.partitionBy("part").parquet(split)
+    parts = spark.read.parquet(split)
+    for part in sorted(r["part"] for r in parts.select("part").distinct().collect()):
+        own = parts.where(F.col("part") == part).drop("part")
+        own.coalesce(1).write.mode("append").parquet(folder)
+    feed = ingest.file_stream(spark, folder, rows.schema, files_per_trigger=1)
+    return _hourly(spark, feed)
 
 
 @query
@@ -592,9 +616,12 @@ def stream_below_q10(spark, sf):
 
 @query
 def stream_arrivals(spark, sf):
-    live = _event_stream(spark, sf).select("user_id", "ts").withWatermark("ts", "2 hours")
-    counts = ingest.arrival_counts(live, "user_id", "6 hours", "3 hours", 2)
-    found = _run(counts, spark, "stream-arrivals")
+    live = _event_stream(spark, sf).select("user_id", "ts")
+    out = shared_dir(spark, "stream-arrivals")
+    ingest.start_arrival_upsert(
+        live, "user_id", "6 hours", "3 hours", 2, f"{out}/raw", f"{out}/mart", f"{out}/log"
+    ).awaitTermination()
+    found = spark.read.parquet(f"{out}/mart")
     return publish(found.select("user_id", "window_start", "arrivals", "over_cap"))
 
 
@@ -703,7 +730,7 @@ def element_records(spark, sf):
 def sky_report(spark, sf):
     """Sky, clock and weather per cell at its last label hour."""
     pairs = I.label_pairs(spark, sf).groupBy("h3_cell").agg(F.max("hour_utc").alias("hour_utc"))
-    view = visibility.sky_view(visibility.positions(I.elements(spark, sf), pairs), pairs)
+    view = visibility.sky_view(I.positions(spark, sf), pairs)
     rain = I.mart(spark, sf, "precip").groupBy("h3_cell").agg(
         F.max_by("precip_mm_h", "hour_utc").alias("precip_mm_h")
     )

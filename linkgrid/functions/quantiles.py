@@ -4,18 +4,23 @@
 for groups with a known bound (a cell's last 168 hours) and not for raw readings, where a
 third of all rows may share one group. Here equal values are counted first (with map-side
 combine), values fall into narrow order-preserving buckets, the bucket that holds the wanted
-rank is found from the few bucket totals of the group, and only that bucket is ranked.
+rank is found from the few bucket totals of the group. A wanted bucket is cut again, into
+1024 equal parts between its own least and greatest value, and only the wanted part is ranked.
+NaN counts as missing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Level = float | Callable[[Column], Column]
+PARTS = 1024
 
 
 def _bucket(value: Column, per_unit: int) -> Column:
@@ -24,6 +29,12 @@ def _bucket(value: Column, per_unit: int) -> Column:
     return F.coalesce(bucket, F.lit(0).cast("bigint"))
 
 
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Which of PARTS equal parts of [low, high] a value falls into; order-preserving."""
+    share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
+    return F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")
+
+
 def _between(position: Column, start: Column, stop: Column) -> Column:
     return (start <= position) & (position < stop)
 
@@ -48,7 +59,7 @@ def exact_quantiles(
     # both uses of the counts below share one exchange and one scan.
     parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] or [F.lit(1).alias("k0")]
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    number = F.col(value).cast("double")
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
 
     counted = (
         df.where(number.isNotNull())
@@ -62,7 +73,7 @@ def exact_quantiles(
     running = group.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = (
         counted.groupBy("__k", "__b")
-        .agg(F.sum("__c").alias("__bc"))
+        .agg(F.sum("__c").alias("__bc"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
         .withColumn("__stop", F.sum("__bc").over(running))
         .withColumn("__n", F.sum("__bc").over(group))
     )
@@ -72,25 +83,48 @@ def exact_quantiles(
         spots[f"__p{i}"] = at * (F.col("__n") - 1)
     totals = totals.withColumns(spots)
     start = F.col("__stop") - F.col("__bc")
-    wanted = F.lit(False)
-    for spot in spots:
-        for rank in (F.floor(spot), F.ceil(spot)):
-            wanted = wanted | _between(rank, start, F.col("__stop"))
+    ranks = [rank for spot in spots for rank in (F.floor(spot), F.ceil(spot))]
+    wanted = reduce(or_, [_between(rank, start, F.col("__stop")) for rank in ranks])
     chosen = totals.where(wanted).select(
         F.col("__k").alias("__kr"),
         F.col("__b").alias("__br"),
         start.alias("__start"),
+        "__low",
+        "__high",
         "__n",
         *spots,
     )
 
     same = (F.col("__k") == F.col("__kr")) & (F.col("__b") == F.col("__br"))
-    inside = W.partitionBy("__k", "__b").orderBy("__v").rowsBetween(
+    held = counted.join(chosen, same).withColumn(
+        "__p", _part(F.col("__v"), F.col("__low"), F.col("__high"))
+    )
+    # Totals of the parts say which of them hold a rank, and where each begins.
+    upto = W.partitionBy("__k", "__b").orderBy("__p").rowsBetween(
+        W.unboundedPreceding, W.currentRow
+    )
+    parts = (
+        held.groupBy("__k", "__b", "__p")
+        .agg(F.sum("__c").alias("__pc"), F.first("__start").alias("__start"),
+             *[F.first(s).alias(s) for s in spots])
+        .withColumn("__stop", F.col("__start") + F.sum("__pc").over(upto))
+    )
+    first = F.col("__stop") - F.col("__pc")
+    wanted = reduce(or_, [_between(rank, first, F.col("__stop")) for rank in ranks])
+    parts = parts.where(wanted).select(
+        F.col("__k").alias("__kp"), F.col("__b").alias("__bp"), F.col("__p").alias("__pp"),
+        first.alias("__first"),
+    )
+    here = (
+        (F.col("__k") == F.col("__kp")) & (F.col("__b") == F.col("__bp"))
+        & (F.col("__p") == F.col("__pp"))
+    )
+    inside = W.partitionBy("__k", "__b", "__p").orderBy("__v").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     ranked = (
-        counted.join(chosen, same)
-        .withColumn("__upto", F.col("__start") + F.sum("__c").over(inside))
+        held.join(parts, here)
+        .withColumn("__upto", F.col("__first") + F.sum("__c").over(inside))
         .withColumn("__from", F.col("__upto") - F.col("__c"))
     )
     picks = []

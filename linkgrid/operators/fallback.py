@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkgrid.functions.cells import (
@@ -23,17 +22,26 @@ MIN_HOURS = 168
 def cell_label_stats(latency: DataFrame, days: int = STATS_DAYS) -> DataFrame:
     """Median and distinct hours of each cell's and parent's own last ``days`` days.
 
-    One scan feeds all levels, and one shuffle on the cell serves the window and the
-    aggregate. A group is bounded by the hours of the window times sources times child
-    cells, so the plain exact percentile is safe here.
+    The newest hour of each cell is a partial aggregate; that of a parent follows from those
+    few rows. A parent's newest hour is no older than its child's, so history older than the
+    cell's own bound is dropped before anything is fanned out. A group is bounded by the hours
+    of the window times sources times child cells, so the plain exact percentile is safe here.
     """
-    levels = latency.select(
-        F.explode(ancestors(F.col("h3_cell"))).alias("h3_cell"), "hour_utc", "value"
-    )
-    last = F.max("hour_utc").over(W.partitionBy("h3_cell"))
-    recent = levels.withColumn("__last", last).where(
-        F.unix_seconds("hour_utc") > F.unix_seconds("__last") - days * 86_400
+    newest = latency.groupBy("h3_cell").agg(F.max("hour_utc").alias("__last"))
+    above = newest.select("h3_cell", "__last", F.explode(ancestors(F.col("h3_cell"))).alias("__at"))
+    last_of = above.groupBy("__at").agg(F.max("__last").alias("__newest"))
+    bound = F.unix_seconds("__newest") - days * 86_400
+    bounds = (
+        above.join(last_of, "__at")
+        .groupBy(F.col("h3_cell").alias("__cell"))
+        .agg(F.collect_list(F.struct(F.col("__at").alias("at"), bound.alias("bound")))
+             .alias("__levels"), F.min(bound).alias("__oldest"))
     )
+    hour = F.unix_seconds("hour_utc")
+    kept = latency.join(bounds, F.col("h3_cell") == F.col("__cell")).where(hour > F.col("__oldest"))
+    levels = F.filter("__levels", lambda level: F.unix_seconds("hour_utc") > level["bound"])
+    recent = kept.select(F.explode(levels).alias("__l"), "hour_utc", "value").select(
+        F.col("__l.at").alias("h3_cell"), "hour_utc", "value")
     return recent.groupBy("h3_cell").agg(
         F.percentile("value", 0.5).alias("median"),
         F.count_distinct("hour_utc").cast("int").alias("hours"),

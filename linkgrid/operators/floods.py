@@ -6,28 +6,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Divides a million, so that a window of whole seconds is a whole number of slices.
+SLICES = 320
+
 
 def trailing_arrivals(
     arrivals: DataFrame, key: str, ts: str, window_seconds: int, cap: int
 ) -> DataFrame:
     """One row per (key, instant): arrivals at it, in the window ending with it, and a flag.
 
-    The window is open at its old end. Equal instants are counted first, and each is sent to
-    its own window-long block and to the next one, so a single busy key is spread over as
-    many tasks as the data has blocks, and no frame crosses a block border unseen.
+    The window is open at its old end. Time is cut into slices, SLICES to a window. Whole
+    slices inside a window are summed from slice totals (combined before the shuffle); only
+    the two slices at its ends are counted row by row. There each instant meets its own slice
+    and, moved forward by one window, the slice in which it leaves. So a window function sees
+    one slice of a key, or the slice totals of two windows, however busy the key is.
     """
     span = window_seconds * 1_000_000
-    counted = arrivals.groupBy(F.col(key), F.unix_micros(ts).alias("__t")).agg(
+    width = span // SLICES
+    counted = arrivals.groupBy(F.col(key).alias("__k"), F.unix_micros(ts).alias("__t")).agg(
         F.count(F.lit(1)).alias("arrivals")
     )
-    own = (F.col("__t") - F.pmod(F.col("__t"), F.lit(span))) / span
-    blocks = counted.withColumn("__own", own.cast("bigint")).withColumn(
-        "__block", F.explode(F.array(F.col("__own"), F.col("__own") + 1))
+    slice_of = lambda t: F.floor(t / F.lit(width)).cast("bigint")
+    group = F.struct("__k").alias("__g")
+    totals = counted.groupBy(group, slice_of(F.col("__t")).alias("__s")).agg(
+        F.sum("arrivals").alias("__n")
     )
-    frame = W.partitionBy(key, "__block").orderBy("__t").rangeBetween(-(span - 1), 0)
-    return (
-        blocks.withColumn("in_window", F.sum("arrivals").over(frame))
+    # Each slice total is sent to its own block of slices and to the next one.
+    block = F.floor(F.col("__s") / SLICES).cast("bigint")
+    near = W.partitionBy("__g", "__block").orderBy("__s").rangeBetween(1 - SLICES, -1)
+    inner = (
+        totals.withColumn("__own", block)
+        .withColumn("__block", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+        .withColumn("__inner", F.coalesce(F.sum("__n").over(near), F.lit(0)))
         .where(F.col("__own") == F.col("__block"))
+        .select("__g", "__s", "__inner")
+    )
+    moves = counted.select(
+        group,
+        "__t",
+        "arrivals",
+        F.explode(F.array(
+            F.struct(F.col("__t").alias("at"), F.lit(True).alias("comes")),
+            F.struct((F.col("__t") + span).alias("at"), F.lit(False).alias("comes")),
+        )).alias("__m"),
+    ).withColumn("__s", slice_of(F.col("__m.at")))
+    # Leaving happens before coming at the same instant: the window is open at its old end.
+    edge = W.partitionBy("__g", "__s")
+    upto = edge.orderBy("__m").rowsBetween(W.unboundedPreceding, W.currentRow)
+    comes = F.when(F.col("__m.comes"), F.col("arrivals")).otherwise(F.lit(0))
+    leaves = F.when(~F.col("__m.comes"), F.col("arrivals")).otherwise(F.lit(0))
+    ends = (
+        moves.withColumns({
+            "__edge": F.sum(comes - leaves).over(upto) + F.sum(leaves).over(edge),
+        })
+        .where("__m.comes")
+        .select("__g", "__s", "__t", "arrivals", "__edge")
+    )
+    return (
+        ends.join(inner, ["__g", "__s"])
+        .withColumn("in_window", F.col("__edge") + F.col("__inner"))
+        .withColumn(key, F.col("__g.__k"))
         .select(
             key,
             F.timestamp_micros("__t").alias(ts),

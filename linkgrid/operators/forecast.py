@@ -15,7 +15,7 @@ from linkgrid.functions.units import (
     SOURCE_QUALITY,
     TARGETS,
     basis_rank,
-    parse_metric,
+    metric_parts,
 )
 from linkgrid.operators.matrix import FEATURE_COLUMNS
 from linkgrid.operators.weather import precip_features
@@ -108,7 +108,7 @@ def map_rollup(entries: DataFrame, metric: str, res: int = 4) -> DataFrame:
     """Payload entries of one hour to parent cells: mean, best basis, number of children."""
     if not 0 <= res <= 5:
         raise ValueError("res must be within 0..5")
-    target, quantile = parse_metric(metric)
+    target, quantile = metric_parts(metric)
     cell = F.col("h3_cell")
     parent = F.when(cell_resolution(cell) <= res, cell).otherwise(cell_parent(cell, res))
     return (

@@ -165,7 +165,7 @@ def fit_forests(
     """One forest per target that has labels."""
     targets = available_targets(rows) if targets is None else list(targets)
     if not targets:
-        raise ValueError("no target has training labels")
+        raise ValueError("the training rows hold no known target")
     forests, leaves = {}, {}
     for target in targets:
         forests[target], leaves[target] = _fit_target(rows.where(F.col("target") == target), params)

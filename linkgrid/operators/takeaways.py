@@ -29,10 +29,10 @@ LOWER = {"high": "medium", "medium": "low", "low": "low"}
 SMOOTH_HEADLINE = "Smooth sailing — no rough patches expected in the next 48 hours"
 ROUGH_HEADLINE = "Rough patch ahead — expect a slowdown "
 MIXED_HEADLINE = "Mostly smooth — one rough stretch "
-MORE_WINDOWS = (" (+", " more)")
+MORE_WINDOWS = " (+%d more)"
 BEST_DETAIL = f"calmest {BEST_WINDOW_H}-hour stretch — "
-DL_DETAIL = ("downloads ~", "% below your area's normal")
-LATENCY_DETAIL = ("latency ~", "% above your area's normal")
+DL_DETAIL = "downloads ~%d%% below your area's normal"
+LATENCY_DETAIL = "latency ~%d%% above your area's normal"
 RAIN_DETAIL = "rain overlaps this dip — weather is the likely cause"
 
 
@@ -157,9 +157,9 @@ def _severity() -> Column:
 
 
 def _detail() -> Column:
-    percent = F.bround(F.col("worst") * 100).cast("int").cast("string")
-    dl = F.concat(F.lit(DL_DETAIL[0]), percent, F.lit(DL_DETAIL[1]))
-    latency = F.concat(F.lit(LATENCY_DETAIL[0]), percent, F.lit(LATENCY_DETAIL[1]))
+    percent = F.bround(F.col("worst") * 100).cast("int")
+    dl = F.when(percent.isNotNull(), F.format_string(DL_DETAIL, percent))
+    latency = F.when(percent.isNotNull(), F.format_string(LATENCY_DETAIL, percent))
     return F.when(F.col("kind") == "rain", F.lit(RAIN_DETAIL)).otherwise(
         F.when(F.col("driver") == "dl", dl).otherwise(latency)
     )
@@ -211,9 +211,7 @@ def takeaways(horizon: DataFrame) -> DataFrame:
     phrase = solar_phrase(F.col("worst_start"), F.col("lon"))
     more = F.when(
         F.col("problems") > 1,
-        F.concat(
-            F.lit(MORE_WINDOWS[0]), (F.col("problems") - 1).cast("string"), F.lit(MORE_WINDOWS[1])
-        ),
+        F.format_string(MORE_WINDOWS, F.col("problems") - 1),
     ).otherwise("")
     best_detail = F.concat(
         F.lit(BEST_DETAIL),

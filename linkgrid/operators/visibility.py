@@ -1,22 +1,19 @@
 """Satellites in view of a cell at an hour.
 
-Positions are computed once per satellite and distinct hour (not per cell), each position
-is sent to the coarse tiles its footprint can touch, and cells meet it there by an equality
-join on (hour, tile). Exact elevation is then a column expression.
+Positions come as a table, one row per object and hour, in earth-fixed kilometres (see
+POSITION_SCHEMA). Each position is sent to the coarse tiles its footprint can touch, and cells
+meet it there by an equality join on (hour, tile). Exact elevation is a column expression.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgrid.functions.cells import cell_lat, cell_lon
 from linkgrid.functions.times import next_reconfig, seconds_to_reconfig
-from linkgrid.operators.sgp4 import earth_fixed
 
 MASK_DEG = 25.0
 TILE_DEG = 10.0
@@ -31,41 +28,6 @@ _MIN_RADIUS_KM = 6356.7
 POSITION_SCHEMA = "sat_id bigint, hour_utc timestamp, x double, y double, z double"
 
 
-def positions(elements: DataFrame, hours: DataFrame) -> DataFrame:
-    """Earth-fixed position (km) of every satellite at every distinct hour.
-
-    The element rows are spread first, then fanned out over the hours between the first and
-    the last one (two numbers on the driver); hours nobody asked for drop by a semi join.
-    Objects whose propagation fails at an hour have no row there.
-    """
-    wanted = hours.select("hour_utc").distinct()
-    span = wanted.agg(
-        F.min(F.unix_seconds("hour_utc")).alias("a"), F.max(F.unix_seconds("hour_utc")).alias("b")
-    ).first()
-    if span["a"] is None:
-        return elements.sparkSession.createDataFrame([], POSITION_SCHEMA)
-    steps = F.sequence(F.lit(span["a"]), F.lit(span["b"]), F.lit(3600).cast("bigint"))
-    # A number is named because AQE would fold these few rows back into one task.
-    spark = elements.sparkSession
-    tasks = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    fanned = (
-        elements.repartition(tasks, "sat_id")
-        .withColumn("__second", F.explode(steps))
-        .withColumn("hour_utc", F.timestamp_seconds("__second"))
-        .join(wanted, "hour_utc", "left_semi")
-    )
-
-    def propagate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield earth_fixed(rows)
-
-    return fanned.withColumn("minute", F.col("__second") / 60.0).mapInPandas(
-        propagate, POSITION_SCHEMA
-    )
-
-
 def footprint_deg(radius_km: Column, mask_deg: float = MASK_DEG) -> Column:
     """Largest central angle (degrees) at which an object at this radius can be in view."""
     mask = math.radians(mask_deg)
@@ -182,9 +144,9 @@ def sky_view(sats: DataFrame, pairs: DataFrame, mask_deg: float = MASK_DEG) -> D
     )
 
 
-def orbital_features(elements: DataFrame, pairs: DataFrame) -> DataFrame:
+def orbital_features(positions: DataFrame, pairs: DataFrame) -> DataFrame:
     """The orbital mart: sky features at the label pairs only."""
-    view = sky_view(positions(elements, pairs), pairs)
+    view = sky_view(positions, pairs)
     return view.select("h3_cell", "hour_utc", "sats_visible", "max_elevation_deg")
 
 

@@ -7,31 +7,59 @@ from pyspark.sql import DataFrame, SparkSession
 from linkgrid import schemas
 from linkgrid.operators import fallback, history, hourly, labels, quality, visibility, weather
 from linkgrid.plans.training import ORBITAL, PROBE, TEST, TILES, USER, WEATHER
+from linkgrid.session import shared_dir
 from linkgrid.sources.marts import read_mart, write_mart
 
+#: A mart of fewer rows does not replace the one before it.
+MIN_ROWS = 1
 STATS, PRIORS, ACTIVE = "cell_label_stats", "latitude_priors", "active_cells"
 
 
+def _replace(df: DataFrame, path: str, required: tuple[str, ...], schema: str,
+             sort: tuple[str, ...] = ("h3_cell", "hour_utc")) -> None:
+    """Stage a mart, pass the gate on what was staged, and only then replace the old one."""
+    spark = df.sparkSession
+    staged = shared_dir(spark, "staged-mart")
+    write_mart(df, staged, sort, schema)
+    fresh = read_mart(spark, staged, schema)
+    quality.pass_gate(fresh, required, MIN_ROWS)
+    write_mart(fresh, path, sort, schema)
+
+
+def _merged(spark: SparkSession, path: str, schema: str, new: DataFrame, keep_days: int,
+            keys: tuple[str, ...] = ("h3_cell", "hour_utc")) -> DataFrame:
+    return history.merge_hourly(read_mart(spark, path, schema), new, keep_days, keys)
+
+
 def ingest_pings(spark: SparkSession, pings: DataFrame, probes: DataFrame, marts: str,
                  keep_days: int = 90) -> None:
     """A day's pings into the hourly probe mart, with history kept and trimmed."""
     path = f"{marts}/{PROBE}"
-    old = read_mart(spark, path, schemas.PROBE_HOURLY)
     new = hourly.probe_hourly(pings, hourly.probe_cells(probes))
-    write_mart(history.merge_hourly(old, new, keep_days), path, schema=schemas.PROBE_HOURLY)
+    merged = _merged(spark, path, schemas.PROBE_HOURLY, new, keep_days)
+    _replace(merged, path, ("h3_cell", "hour_utc", "rtt_ms_median"), schemas.PROBE_HOURLY)
 
 
-def ingest_tests(spark: SparkSession, points: DataFrame, marts: str) -> None:
-    write_mart(hourly.test_hourly(points), f"{marts}/{TEST}", schema=schemas.TEST_HOURLY)
+def ingest_tests(spark: SparkSession, points: DataFrame, marts: str,
+                 keep_days: int = 90) -> None:
+    """Speed tests of any days into their mart; other days stay."""
+    path = f"{marts}/{TEST}"
+    merged = _merged(spark, path, schemas.TEST_HOURLY, hourly.test_hourly(points), keep_days)
+    _replace(merged, path, ("h3_cell", "hour_utc"), schemas.TEST_HOURLY)
 
 
-def ingest_users(spark: SparkSession, measurements: DataFrame, marts: str) -> None:
-    rows = hourly.user_hourly(quality.valid_measurements(measurements))
-    write_mart(rows, f"{marts}/{USER}", schema=schemas.USER_HOURLY)
+def ingest_users(spark: SparkSession, measurements: DataFrame, marts: str,
+                 keep_days: int = 90) -> None:
+    """Users' readings of whole hours into their mart; other hours stay."""
+    path = f"{marts}/{USER}"
+    new = hourly.user_hourly(quality.valid_measurements(measurements))
+    merged = _merged(
+        spark, path, schemas.USER_HOURLY, new, keep_days, ("h3_cell", "hour_utc", "target"))
+    _replace(merged, path, ("h3_cell", "hour_utc", "value_median"), schemas.USER_HOURLY)
 
 
 def ingest_tiles(spark: SparkSession, tiles: DataFrame, marts: str) -> None:
-    write_mart(hourly.tile_context(tiles), f"{marts}/{TILES}", schema=schemas.TILE_CONTEXT)
+    _replace(hourly.tile_context(tiles), f"{marts}/{TILES}", ("h3_cell",), schemas.TILE_CONTEXT)
 
 
 def _label_marts(spark: SparkSession, marts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -45,32 +73,26 @@ def _label_marts(spark: SparkSession, marts: str) -> tuple[DataFrame, DataFrame,
 def build_fallback_marts(spark: SparkSession, marts: str) -> None:
     """Recent medians per cell and parent, and the latitude priors."""
     latency = labels.latency_labels(labels.assemble_labels(*_label_marts(spark, marts)))
-    write_mart(fallback.cell_label_stats(latency), f"{marts}/{STATS}", schema=schemas.CELL_STATS)
-    write_mart(
-        fallback.latitude_priors(latency), f"{marts}/{PRIORS}", ("band",), schemas.LATITUDE_PRIORS
-    )
+    _replace(fallback.cell_label_stats(latency), f"{marts}/{STATS}", ("h3_cell", "median"),
+             schemas.CELL_STATS)
+    _replace(fallback.latitude_priors(latency), f"{marts}/{PRIORS}", ("median",),
+             schemas.LATITUDE_PRIORS, ("band",))
 
 
-def build_feature_marts(spark: SparkSession, marts: str, elements: DataFrame,
+def build_feature_marts(spark: SparkSession, marts: str, positions: DataFrame,
                         precip: DataFrame) -> None:
-    """Sky and weather features at the label pairs only."""
+    """Sky and weather features at the label pairs only; ``positions`` as in visibility.py."""
     probe, _, user = _label_marts(spark, marts)
     pairs = labels.label_cell_hours(probe, user)
-    write_mart(
-        visibility.orbital_features(elements, pairs), f"{marts}/{ORBITAL}",
-        schema=schemas.ORBITAL_FEATURES,
-    )
-    write_mart(
-        weather.precip_features(pairs, precip), f"{marts}/{WEATHER}",
-        schema=schemas.WEATHER_FEATURES,
-    )
+    _replace(visibility.orbital_features(positions, pairs), f"{marts}/{ORBITAL}",
+             ("h3_cell", "hour_utc", "sats_visible"), schemas.ORBITAL_FEATURES)
+    _replace(weather.precip_features(pairs, precip), f"{marts}/{WEATHER}",
+             ("h3_cell", "hour_utc"), schemas.WEATHER_FEATURES)
 
 
 def build_active_cells(spark: SparkSession, marts: str, *extra: DataFrame) -> None:
     """The active set: tile context and probe cells, plus any further sources given."""
     tiles = read_mart(spark, f"{marts}/{TILES}", schemas.TILE_CONTEXT)
     probe = read_mart(spark, f"{marts}/{PROBE}", schemas.PROBE_HOURLY)
-    write_mart(
-        labels.active_cells(tiles, probe, *extra), f"{marts}/{ACTIVE}",
-        schema=schemas.ACTIVE_CELLS,
-    )
+    _replace(labels.active_cells(tiles, probe, *extra), f"{marts}/{ACTIVE}", ("h3_cell",),
+             schemas.ACTIVE_CELLS, ("h3_cell",))

@@ -11,7 +11,6 @@ from linkgrid import schemas
 SNAPSHOT_NAME = r"gp_(\d{8}T\d{6}Z)\.json$"
 SNAPSHOT_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
 # Fixed value: catalogue numbers above this cannot be initialised.
-MAX_CATALOG_ID = 339_999
 
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +154,7 @@ def typed_elements(raw: DataFrame) -> DataFrame:
         number("BSTAR").alias("bstar"),
         *extra,
     )
-    usable = (F.col("sat_id") <= MAX_CATALOG_ID) & (F.col("mean_motion") > 0)
+    usable = F.col("mean_motion") > 0
     needed = ["sat_id", "epoch_minute", "mean_motion", "ecc", "incl", "node", "argp", "anomaly"]
     return typed.where(usable).dropna(subset=[*needed, "bstar"])
 

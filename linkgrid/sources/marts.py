@@ -62,23 +62,31 @@ def write_mart(
         fs.delete(aside, True)
 
 
-def write_days(df: DataFrame, path: str, day: str = "date", files_per_day: int = 16) -> None:
+def write_days(df: DataFrame, path: str, day: str = "date", rows_per_file: int = 5_000_000,
+               keys: Sequence[str] = ("h3_cell", "hour_utc")) -> None:
     """Replace only the day partitions that ``df`` has rows for.
 
-    A day is spread over ``files_per_day`` tasks by cell, so one heavy day is not one task.
+    Rows are rebalanced by day, which splits a heavy day over tasks of the advised size.
     ``df`` must not read ``path`` itself; stage it first (as the stream upsert does).
     """
-    slot = F.pmod(F.xxhash64("h3_cell"), F.lit(files_per_day))
     (
-        df.repartition(F.col(day), slot)
-        .sortWithinPartitions("h3_cell", "hour_utc")
+        df.hint("rebalance", day)
+        .sortWithinPartitions(day, *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(day)
         .parquet(path)
     )
 
 
+def drop_days(spark: SparkSession, path: str, days: Sequence) -> None:
+    """Delete whole day partitions."""
+    for day in days:
+        fs, folder = _path(spark, f"{path}/date={day}")
+        fs.delete(folder, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file (a pointer or a manifest), replaced whole."""
     fs, hadoop = _path(spark, path)

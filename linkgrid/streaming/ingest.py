@@ -1,21 +1,25 @@
-"""The measurement feed as a stream: validation, duplicates, hourly marts, live flags."""
+"""The measurement feed as a stream: validation, duplicates, hourly marts, live flags.
+
+The feed delivers at least once and in any order: devices keep readings through outages and
+send them later. So no lateness bound is set. Every batch is appended to a raw table that is
+partitioned by date; the keys it touches are then computed anew from the raw table, where
+repeats are dropped, and replace their rows in the mart. A row of any lateness counts, a batch
+that runs twice changes nothing, and the state is the raw table itself.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkgrid import schemas
-from linkgrid.functions.quantiles import exact_quantiles
 from linkgrid.operators.history import keep_best
-from linkgrid.operators.hourly import long_targets
+from linkgrid.operators.hourly import user_hourly
 from linkgrid.session import shared_dir
-from linkgrid.sources.marts import path_exists, write_days
-
-# Ours: the feed resends after outages, but names no lateness bound.
-LATENESS = "2 hours"
-
+from linkgrid.sources.marts import drop_days, path_exists, write_days
 
 def file_stream(
     spark: SparkSession, path: str, schema: str = schemas.MEASUREMENTS, fmt: str = "parquet",
@@ -42,32 +46,11 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str,
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
 
 
-def drop_resent(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Drops repeats of (user, ts, source) that arrive within the lateness bound."""
-    return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(
-        ["user_id", "ts", "source"]
-    )
-
-
-def hourly_value_counts(stream: DataFrame) -> DataFrame:
-    """How often each value occurs per (cell, hour, target).
-
-    ``stream`` carries a watermark on ts. The value is part of the key, so the state of one
-    busy cell-hour is spread over all state partitions instead of growing in one buffer.
-    """
-    return (
-        long_targets(stream, ["ts", "h3_cell"])
-        .groupBy(F.window("ts", "1 hour").alias("w"), "h3_cell", "target", "value")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .select("h3_cell", F.col("w.start").alias("hour_utc"), "target", "value", "times")
-    )
-
-
-def medians_of_counts(counts: DataFrame) -> DataFrame:
-    """Closed hours' value counts to the hourly mart shape."""
-    return exact_quantiles(
-        counts, ["h3_cell", "hour_utc", "target"], "value", {"value_median": 0.5}, weight="times"
-    )
+def without_repeats(rows: DataFrame) -> DataFrame:
+    """One row per (user, ts, source), the first by all its values."""
+    keys = ["user_id", "ts", "source"]
+    rest = [F.col(c) for c in rows.columns if c not in keys and c != "date"]
+    return keep_best(rows, keys, rest)
 
 
 def start_append(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -80,30 +63,91 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, **trigger) -> St
     )
 
 
-def start_hourly_upsert(counts: DataFrame, mart: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keeps an hourly mart (partitioned by date) up to date from closed hours."""
+def _start_recomputed(
+    stream: DataFrame, raw: str, checkpoint: str, touched, refresh, trigger: dict
+) -> StreamingQuery:
+    """Append each batch to ``raw``, then ``refresh`` the keys that ``touched`` finds in it.
+
+    ``touched`` gives the keys of a batch with the ``date`` of each raw day that they need.
+    """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        upsert_days(medians_of_counts(batch), mart)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        dated = batch.withColumn("date", F.to_date("ts"))
+        dated.write.mode("append").partitionBy("date").parquet(raw)
+        staged = shared_dir(spark, "touched")
+        touched(batch).write.parquet(staged)
+        keys = spark.read.parquet(staged)
+        days = [r["date"] for r in keys.select("date").distinct().collect()]
+        if days:
+            rows = spark.read.schema(dated.schema).parquet(raw).where(F.col("date").isin(days))
+            refresh(rows, keys.drop("date").distinct())
 
     return (
-        counts.writeStream.foreachBatch(upsert)
-        .outputMode("append")
+        stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def upsert_days(fresh: DataFrame, mart: str) -> None:
-    """Fresh hourly rows win their key; only the days they touch are read and rewritten.
+def start_hourly_upsert(
+    stream: DataFrame, raw: str, mart: str, checkpoint: str, keep_days: int | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Keeps an hourly mart (partitioned by date) up to date with a feed of valid readings."""
+    hour = F.date_trunc("hour", "ts").alias("hour_utc")
+
+    def touched(batch: DataFrame) -> DataFrame:
+        return batch.select("h3_cell", hour, F.to_date("ts").alias("date")).distinct()
+
+    def refresh(rows: DataFrame, keys: DataFrame) -> None:
+        wanted = rows.withColumn("hour_utc", F.date_trunc("hour", "ts")).join(
+            keys, ["h3_cell", "hour_utc"], "left_semi")
+        upsert_days(user_hourly(without_repeats(wanted.drop("hour_utc"))), mart)
+        if keep_days is not None:
+            drop_old_days(rows.sparkSession, mart, keep_days)
+
+    return _start_recomputed(stream, raw, checkpoint, touched, refresh, trigger)
+
+
+def start_arrival_upsert(
+    stream: DataFrame, key: str, window: str, slide: str, cap: int, raw: str, mart: str,
+    checkpoint: str, **trigger,
+) -> StreamingQuery:
+    """Keeps the counts of sliding windows up to date with a feed of (key, ts) arrivals.
+
+    Arrivals are counted as they come, so a feed that resends must be cleaned before.
+    """
+    spans = F.window("ts", window, slide).alias("w")
+
+    def touched(batch: DataFrame) -> DataFrame:
+        # Every day that a touched window reaches into is read again.
+        rows = batch.select(key, spans).distinct()
+        days = F.sequence(F.to_date("w.start"), F.to_date("w.end"))
+        return rows.select(
+            key, F.col("w.start").alias("window_start"), F.explode(days).alias("date"))
+
+    def refresh(rows: DataFrame, keys: DataFrame) -> None:
+        counted = arrival_counts(rows, key, window, slide, cap)
+        counted = counted.join(keys, [key, "window_start"], "left_semi")
+        upsert_days(counted, mart, [key, "window_start"], "window_start")
+
+    return _start_recomputed(stream, raw, checkpoint, touched, refresh, trigger)
+
+
+def upsert_days(
+    fresh: DataFrame, mart: str, keys: Sequence[str] = ("h3_cell", "hour_utc", "target"),
+    time: str = "hour_utc",
+) -> None:
+    """Fresh rows win their key; only the days they touch are read and rewritten.
 
     The merged days are staged in the shared folder before the mart is overwritten, so the
     job never reads what it replaces, and running a batch twice changes nothing.
     """
     spark = fresh.sparkSession
     staged = shared_dir(spark, "upsert")
-    dated = fresh.withColumn("date", F.to_date("hour_utc"))
+    dated = fresh.withColumn("date", F.to_date(time))
     dated.write.mode("overwrite").parquet(f"{staged}/fresh")
     new = spark.read.parquet(f"{staged}/fresh").withColumn("__new", F.lit(1))
     days = [r["date"] for r in new.select("date").distinct().collect()]
@@ -113,26 +157,38 @@ def upsert_days(fresh: DataFrame, mart: str) -> None:
     if path_exists(spark, mart):
         old = spark.read.parquet(mart).where(F.col("date").isin(days))
         merged = new.unionByName(old.withColumn("__new", F.lit(0)))
-    merged = keep_best(
-        merged, ["h3_cell", "hour_utc", "target"], [F.desc("__new"), F.desc("samples")]
-    ).drop("__new")
+    merged = keep_best(merged, keys, [F.desc("__new")]).drop("__new")
     merged.write.mode("overwrite").parquet(f"{staged}/merged")
-    write_days(spark.read.parquet(f"{staged}/merged"), mart)
+    write_days(spark.read.parquet(f"{staged}/merged"), mart, keys=keys)
 
 
-def drop_old_days(spark: SparkSession, mart: str, keep_days: int = 90) -> DataFrame:
-    """The mart without hours at or past the retention bound, counted from its newest hour."""
+def drop_old_days(spark: SparkSession, mart: str, keep_days: int = 90) -> None:
+    """Trims a mart to its newest ``keep_days`` days, counted from its newest hour.
+
+    Whole days past the bound are deleted as folders; the day it falls into is rewritten.
+    """
     rows = spark.read.parquet(mart)
-    newest = rows.agg(F.max("hour_utc").alias("t"), F.unix_seconds(F.max("hour_utc")).alias("s")).first()
-    if newest["t"] is None:
-        return rows
-    bound = newest["s"] - keep_days * 86_400
-    day = F.to_date(F.timestamp_seconds(F.lit(bound)))
-    return rows.where((F.col("date") >= day) & (F.unix_seconds("hour_utc") > bound))
+    last = rows.agg(F.max("date")).first()[0]
+    if last is None:
+        return
+    newest = rows.where(F.col("date") == last).agg(F.unix_seconds(F.max("hour_utc"))).first()[0]
+    bound = newest - keep_days * 86_400
+    day = spark.range(1).select(F.to_date(F.timestamp_seconds(F.lit(bound)))).first()[0]
+    edge = rows.where(F.col("date") == day)
+    if not edge.where(F.unix_seconds("hour_utc") <= bound).isEmpty():
+        staged = shared_dir(spark, "retention")
+        edge.where(F.unix_seconds("hour_utc") > bound).write.parquet(staged)
+        left = spark.read.schema(rows.schema).parquet(staged)
+        if left.isEmpty():
+            drop_days(spark, mart, [day])
+        else:
+            write_days(left, mart)
+    old = rows.where(F.col("date") < F.lit(day)).select("date").distinct().collect()
+    drop_days(spark, mart, [r["date"] for r in old])
 
 
 def arrival_counts(stream: DataFrame, key: str, window: str, slide: str, cap: int) -> DataFrame:
-    """Arrivals per key in sliding windows, flagged when over the cap (needs a watermark)."""
+    """Arrivals per key in sliding windows, flagged when over the cap."""
     return (
         stream.groupBy(F.window("ts", window, slide).alias("w"), key)
         .agg(F.count(F.lit(1)).alias("arrivals"))

@@ -158,12 +158,12 @@ def test_measurement_rules(spark):
 
 def test_gates(spark):
     df = spark.createDataFrame([(1, None), (2, 3.0)], "a int, b double")
-    quality.assert_mart(df, ["a"], 2)
-    quality.assert_mart(df, ["a", "b"], 2, max_null_rate=0.5)
+    quality.pass_gate(df, ["a"], 2)
+    quality.pass_gate(df, ["a", "b"], 2, max_null_rate=0.5)
     with pytest.raises(ValueError, match="rows"):
-        quality.assert_mart(df, ["a"], 3)
-    with pytest.raises(ValueError, match="'b'"):
-        quality.assert_mart(df, ["a", "b"], 1)
+        quality.pass_gate(df, ["a"], 3)
+    with pytest.raises(ValueError, match="nulls in b"):
+        quality.pass_gate(df, ["a", "b"], 1)
     assert quality.null_rates(df.limit(0), ["a"]).first()["a_null_rate"] == 0.0
 
 

@@ -54,3 +54,20 @@ def test_heavy_values_are_counted_before_the_shuffle(spark):
     plan = exact_median(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_narrow_values_are_split_and_nan_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    from linkgrid.functions import quantiles
+
+    n = 200_001
+    rows = spark.range(n).select(
+        F.lit(1).alias("g"), (25 + F.col("id") / F.lit(100.0 * n)).alias("v"))
+    parts = rows.withColumn("p", quantiles._part(F.col("v"), F.lit(25.0), F.lit(25.01)))
+    assert parts.groupBy("p").count().agg(F.max("count")).first()[0] < 300
+    rows = rows.union(spark.sql("SELECT 1, double('NaN')"))
+    got = quantiles.exact_quantiles(rows, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 1.0}).first()
+    assert got.samples == n
+    assert abs(got.m - (25 + (n // 2) / (100.0 * n))) < 1e-12
+    assert abs(got.z - (25 + (n - 1) / (100.0 * n))) < 1e-12

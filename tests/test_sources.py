@@ -62,7 +62,7 @@ def test_newest_snapshot_and_bad_records(spark, folder):
     path, rows = files.latest_snapshot(spark, folder)
     assert path.endswith("20260706T020000Z.json")
     got = {r["sat_id"]: r for r in rows.withColumn("f", F.unix_seconds("fetched_at")).collect()}
-    assert set(got) == {44, 46}
+    assert set(got) == {44, 46, 400000}
     assert got[44]["f"] == epoch(at(2)) and got[44]["epoch_minute"] == epoch(at(1.5)) / 60
     assert got[46]["bstar"] == 2e-5
 

@@ -129,3 +129,24 @@ def test_random_horizons(spark):
 @pytest.mark.parametrize("basis, level", [("cell", "high"), ("region", "medium"), ("latitude_prior", "low"), ("?", "low")])
 def test_confidence_by_basis(spark, basis, level):
     assert run(spark, horizon(basis=basis))[1][2] == level
+
+
+def test_arrivals_of_a_busy_key_match_a_plain_count(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from linkgrid.operators.floods import trailing_arrivals
+
+    rng = random.Random(3)
+    times = [rng.randrange(0, 4 * 3600) * 1_000_000 for _ in range(600)]
+    times += [t + 3_600_000_000 for t in times[:100]]  # exactly one window later
+    rows = spark.createDataFrame([(1, t) for t in times] + [(2, 5), (None, 7)], "k long, t long")
+    out = trailing_arrivals(
+        rows.select("k", F.timestamp_micros("t").alias("ts")), "k", "ts", 3600, 3)
+    got = {r.t: (r.arrivals, r.in_window) for r in out.where("k = 1").select(
+        F.unix_micros("ts").alias("t"), "arrivals", "in_window").collect()}
+    for t in set(times):
+        inside = sum(t - 3_600_000_000 < x <= t for x in times)
+        assert got[t] == (times.count(t), inside)
+    assert out.where("k is null").count() == 1

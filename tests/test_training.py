@@ -122,9 +122,17 @@ def test_daily_to_serving(spark, folder):
     daily.ingest_users(spark, users, root)
     daily.build_fallback_marts(spark, root)
     precip = spark.createDataFrame([(cell, at(5), 2.0)], "h3_cell bigint, hour_utc timestamp, precip_mm_h double")
-    elements = spark.createDataFrame([], "sat_id bigint, epoch_minute double, mean_motion double, ecc double, incl double,"
-                                         "node double, argp double, anomaly double, bstar double")
-    daily.build_feature_marts(spark, root, elements, precip)
+    from linkgrid.operators import quality
+    from linkgrid.operators.visibility import POSITION_SCHEMA
+
+    nowhere = spark.createDataFrame([], POSITION_SCHEMA)
+    daily.build_feature_marts(spark, root, nowhere, precip)
+    # A mart that fails the gate leaves the old one.
+    before = marts.read_mart(spark, f"{root}/{daily.ACTIVE}", schemas.ACTIVE_CELLS).count()
+    with pytest.raises(quality.MartRejected):
+        daily.ingest_tiles(spark, spark.createDataFrame(
+            [], "quadkey string, tile string, avg_d_kbps long, avg_u_kbps long, avg_lat_ms long, tests long, devices long"), root)
+    assert before == marts.read_mart(spark, f"{root}/{daily.ACTIVE}", schemas.ACTIVE_CELLS).count()
     daily.build_active_cells(spark, root, users)
     stats = marts.read_mart(spark, f"{root}/{daily.STATS}", schemas.CELL_STATS)
     assert {r["hours"] for r in stats.collect()} == {168}

@@ -2,42 +2,11 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from helpers import at, own_cell
 from pyspark.sql import functions as F
 
 from linkgrid.operators import visibility as V
-from linkgrid.operators.sgp4 import propagate, sidereal_angle
-
-# Published verification case of object 5 (AIAA 2006-6753), minutes and km.
-CASE = (10.82419157, 0.1859667, 34.2682, 348.7242, 331.7664, 19.3264, 0.28098e-4)
-EXPECTED = {
-    0.0: (7022.46529266, -1400.08296755, 0.03995155),
-    360.0: (-7154.03120202, -3783.17682504, -3536.19412294),
-    720.0: (-7134.59340119, 6531.68641334, 3260.27186483),
-}
-
-
-def test_published_vectors():
-    t = np.array(list(EXPECTED))
-    x, y, z, ok = propagate(*(np.full(t.size, v) for v in CASE), t)
-    assert ok.all()
-    assert np.allclose(np.column_stack([x, y, z]), list(EXPECTED.values()), atol=1e-6)
-
-
-def test_deep_space_and_decay_are_dropped():
-    one = np.ones(1)
-    *_, ok = propagate(one * 1.0027, one * 0.001, one * 5, one, one, one, one * 0.0, one * 10)
-    assert not ok[0]
-    *_, ok = propagate(one * 16.4, one * 0.001, one * 53, one, one, one, one * 0.1, one * 14_400)
-    assert not ok[0]
-
-
-def test_sidereal_angle_at_the_reference_epoch():
-    minutes = np.array([(2451545.0 - 2440587.5) * 1440.0])
-    assert math.degrees(sidereal_angle(minutes)[0]) == pytest.approx(280.46062, abs=1e-4)
-
 
 def fix(lat, lon, alt):
     """A point straight above a place (geodetic), in km."""
@@ -110,17 +79,7 @@ def test_overhead_object_and_plan(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_positions_only_at_wanted_hours(spark):
-    elements = spark.createDataFrame(
-        pd.DataFrame({"sat_id": [1, 2], "epoch_minute": [at().timestamp() / 60] * 2, "mean_motion": [15.06, 1.0],
-                      "ecc": [0.001] * 2, "incl": [53.0] * 2, "node": [0.0] * 2, "argp": [0.0] * 2,
-                      "anomaly": [10.0] * 2, "bstar": [1e-4] * 2})
-    )
+def test_features_of_pairs_without_positions(spark):
     pairs = spark.createDataFrame([(1, at(0)), (2, at(0)), (1, at(5))], "h3_cell bigint, hour_utc timestamp")
-    rows = V.positions(elements, pairs).collect()
-    assert sorted((r["sat_id"], r["hour_utc"].hour) for r in rows) == sorted(
-        [(1, at(0).astimezone().hour), (1, at(5).astimezone().hour)]
-    )
-    assert V.positions(elements, pairs.limit(0)).count() == 0
-    features = V.orbital_features(elements, pairs)
-    assert features.count() == 3
+    features = V.orbital_features(spark.createDataFrame([], V.POSITION_SCHEMA), pairs)
+    assert [r["sats_visible"] for r in features.collect()] == [0, 0, 0]
