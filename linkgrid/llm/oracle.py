@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from linkgrid.llm.common import values
+from linkgrid.llm.repetition import Limits
+
 SQL: dict[str, str] = {}
 
 SQL["op7_exact_dedup"] = """
@@ -134,3 +137,68 @@ SELECT d.doc_id, count(m.line_no) AS n_lines,
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN marked m USING (doc_id)
 GROUP BY d.doc_id
 """
+
+_NS = range(2, 11)
+_GRAMS = "\n    UNION ALL ".join(
+    f"SELECT doc_id, {n} AS n, i, " + " || ' ' || ".join(f"w{k}" for k in range(n)) + " AS g, "
+    + " + ".join(f"length(w{k})" for k in range(n)) + f" AS chars FROM led WHERE w{n - 1} IS NOT NULL"
+    for n in _NS)
+_LIMITS = {c: v for c, v in values(Limits()).items() if c != "min_words"}
+_SHARES = ", ".join(
+    [f"coalesce(max(top) FILTER (n = {n}), 0) / any_value(word_chars) AS top_{n}" for n in (2, 3, 4)]
+    + [f"coalesce(max(covered) FILTER (n = {n}), 0) / any_value(word_chars) AS dup_{n}"
+       for n in range(5, 11)])
+_RATIOS = ["dup_line_chars", *[f"top_{n}" for n in (2, 3, 4)], *[f"dup_{n}" for n in range(5, 11)]]
+
+SQL["op10_quality_rules"] = f"""
+WITH worded AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents),
+words AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM worded),
+led AS (
+    SELECT doc_id, i, {", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(10))}
+    FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (
+    {_GRAMS}),
+counted AS (
+    SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS times,
+           row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) AS nth
+    FROM grams),
+tops AS (SELECT doc_id, n, max(times * chars) AS top FROM counted
+         WHERE times > 1 AND n <= 4 GROUP BY ALL),
+inside AS (
+    SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM counted
+    WHERE (n >= 5 AND nth > 1) OR (n = 3 AND times > 1)),
+covers AS (
+    SELECT x.doc_id, x.n, sum(length(w.word)) AS covered, count(*) AS n_inside
+    FROM inside x JOIN words w USING (doc_id, i) GROUP BY ALL),
+lines AS (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) > 1 AS again,
+           length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM worded)
+    WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+again AS (
+    SELECT doc_id, count(*) AS n_dup_lines, sum(chars) AS chars FROM lines WHERE again GROUP BY 1),
+base AS (
+    SELECT d.doc_id, len(d.words)::BIGINT AS n_words,
+           length(array_to_string(d.words, ''))::BIGINT AS word_chars,
+           length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           coalesce(a.n_dup_lines, 0)::BIGINT AS n_dup_lines,
+           coalesce(a.chars, 0) AS line_chars
+    FROM worded d LEFT JOIN again a USING (doc_id)),
+shares AS (
+    SELECT b.doc_id, any_value(n_words) AS n_words, any_value(b.word_chars) AS word_chars,
+           any_value(n_symbols) AS n_symbols, any_value(n_dup_lines) AS n_dup_lines,
+           coalesce(max(n_inside) FILTER (n = 3), 0)::BIGINT AS n_repeat_words,
+           any_value(line_chars) / any_value(word_chars) AS dup_line_chars, {_SHARES}
+    FROM base b LEFT JOIN (SELECT * FROM tops FULL JOIN covers USING (doc_id, n)) USING (doc_id)
+    GROUP BY b.doc_id),
+filled AS (
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           {", ".join(f"CASE WHEN word_chars > 0 THEN {c}::DOUBLE ELSE 0.0 END AS {c}" for c in _RATIOS)}
+    FROM shares)
+SELECT *, NOT base_failed AND {" AND ".join(f"{c} <= {v}" for c, v in _LIMITS.items())} AS kept
+FROM filled
+"""

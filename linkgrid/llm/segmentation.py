@@ -9,8 +9,8 @@ exact: the second best path holds an edge off the best one, so it is the best ov
 of forward score + edge + backward score.
 
 Best paths follow the tokenizer's tie rule (of equal scores the piece that starts first stays).
-Alternatives of equal total score are ordered by the place of their first change, then by the
-search: fewer pieces first, then ids.
+Alternatives of equal total score are ordered by the place of their first change, and within a
+segment as the search meets them.
 
 Encoding is one scalar Arrow UDF over whole texts, decoding another; no shuffle. Memory per
 task is one Arrow batch and a bounded memo.
@@ -152,20 +152,24 @@ class Segmenter:
         """The n best paths of one segment, best first: backward A-star."""
         into, forward = self.lattice(segment)
         size = len(segment)
-        agenda: list = [(-forward[size], 0, (), size, 0.0, ())]
-        found = []
+        # Of equal totals the path nearest to its end goes first, so ties do not pile up.
+        agenda: list = [(-forward[size], size, 0, 0.0, None)]
+        found: list = []
+        pushed = 0
         while agenda and len(found) < n:
-            _, steps, order, at, done, path = heapq.heappop(agenda)
+            _, at, _, done, path = heapq.heappop(agenda)
             if at == 0:
-                found.append((done, path))
+                edges = []
+                while path is not None:
+                    edge, path = path
+                    edges.append(edge)
+                found.append((done, tuple(edges)))
                 continue
             for edge in into[at]:
-                start, score, number = edge
-                so_far = score + done
-                heapq.heappush(agenda, (
-                    -(forward[start] + so_far), steps + 1, (number, *order), start, so_far,
-                    (edge, *path),
-                ))
+                so_far = edge[1] + done
+                pushed += 1
+                heapq.heappush(
+                    agenda, (-(forward[edge[0]] + so_far), edge[0], pushed, so_far, (edge, path)))
         return found
 
     def _alternatives(self, key: str) -> list[tuple[float, tuple[int, ...]]]:
