@@ -4,11 +4,12 @@ A line is what stands between line breaks, if it has a word; its set is its dist
 64-bit hashes. A line is removed if an earlier line, by (doc_id, line number), has a word
 Jaccard similarity of 4/5 or more, whether or not that line is itself removed.
 
-1. Lines with equal sets form a class, known by its earliest line.
-2. Words are ordered by rarity: by the count of their hash bucket over all lines (65,536
-   counts, whatever the corpus), then by hash; any one order gives exact results. Similar sets
-   share a word among the first n - ceil(0.8 n) + 1 of each. Words seen once are set aside by
-   a table of fixed size before rows are shuffled.
+1. Lines with equal sets (by a 128-bit key) form a class, known by its earliest line.
+2. Words are ordered by rarity: by the order of magnitude of the count of their hash bucket
+   over all lines (a byte for each of 2^20 buckets, whatever the corpus), then by hash; any one
+   order gives exact results. Such a code is one long, so sets are sorted as numbers. Similar
+   sets share a word among the first n - ceil(0.8 n) + 1 of each. Words seen once are set aside
+   by a table of fixed size before rows are shuffled.
 3. Pairs that meet in such a word must pass the length filter, the positional filter, and a
    parity filter: equal words cancel in the exclusive or of two 64-bit parity marks, so the
    bits left are at most the number of words in which the sets differ.
@@ -26,13 +27,14 @@ rows without doc_id keep all lines; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgrid.llm.common import WORD, kept
 
-BUCKETS = 1 << 16
-SEEN_BITS = 1 << 24
+BUCKETS = 1 << 20
+SEEN_BITS = 1 << 26
 WANTED_BITS = 1 << 23
 
 
@@ -42,41 +44,54 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.col("line").rlike(WORD))
 
 
+def _split(line: str = "line") -> Column:
+    """The words of a line; a plain split at spaces, once other white space is one."""
+    given = F.col(line)
+    spaced = F.when(given.rlike(r"[\x09-\x0D]"), F.translate(given, "\t\x0b\x0c\r", "    "))
+    return F.array_remove(F.split(spaced.otherwise(given), " "), "")
+
+
 def _words(line: str = "line") -> Column:
-    distinct = F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
-    return F.transform(distinct, lambda w: F.xxhash64(w))
+    return F.transform(F.array_distinct(_split(line)), lambda w: F.xxhash64(w))
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """Counts by hash bucket, as a constant array of fixed length."""
+    """Orders of magnitude of the counts by hash bucket, a constant of BUCKETS bytes."""
     counted = (
-        _lines(docs).select(F.explode(_words()).alias("w"))
-        .groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).count()
+        _lines(docs).select(F.explode(_split()).alias("w"))
+        .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+        .select("b", F.least(F.floor(F.log2("count") * 2), F.lit(61)).cast("int").alias("order"))
     ).toArrow()
-    counts = [0] * BUCKETS
-    for bucket, count in zip(counted["b"].to_pylist(), counted["count"].to_pylist()):
-        counts[bucket] = count
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
+    orders = np.zeros(BUCKETS, np.uint8)
+    orders[counted["b"].to_numpy()] = counted["order"].to_numpy() + 1
+    # Bytes that are letters, so that one of them reads as a number through ascii().
+    return F.lit(bytearray((orders + 64).tobytes()))
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """Per line: doc_id, line_no, key of its set, n, the prefix, and the parity mark."""
-    counts = _rarity(docs)
+    """Per line: doc_id, line_no, two keys of its set, n, the prefix, and the parity mark."""
+    orders = _rarity(docs)
+
+    def code(word: Column) -> Column:
+        """Rarest first: the order of the bucket in the high bits, then 57 bits of the hash."""
+        spot = F.pmod(word, F.lit(BUCKETS)).cast("int")
+        order = F.ascii(F.substring(orders, spot + 1, F.lit(1)).cast("string")) - 64
+        return F.shiftleft(order.cast("bigint"), 57).bitwiseOR(F.shiftrightunsigned(word, 7))
+
     rows = _lines(docs).select("doc_id", "line_no", _words().alias("words"))
-    ordered = F.array_sort(F.transform("words", lambda w: F.struct(
-        F.get(counts, F.pmod(w, F.lit(BUCKETS)).cast("int")).alias("count"), w.alias("word"))))
-    n = F.size("words")
+    rows = rows.withColumn("codes", F.sort_array(F.transform("words", code)))
+    n = F.size("codes")
     first = n - F.floor((n * 4 + 4) / 5).cast("int") + 1
-    rows = rows.withColumn("ordered", ordered)
+    low = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
+    bit = lambda c: F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int"))
     return rows.select(
         "doc_id", "line_no",
-        F.unhex(F.md5(F.array_join(F.array_sort("words").cast("array<string>"), ","))).alias("key"),
+        F.xxhash64("codes").alias("key"), F.xxhash64("codes", F.lit(1)).alias("key2"),
         n.alias("n"),
-        F.transform(F.slice("ordered", 1, first),
-                    lambda s: F.shiftright(s["word"], 32).cast("int")).alias("prefix"),
-        F.aggregate("words", F.lit(0).cast("bigint"), lambda mark, w: mark.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"),
-                            F.pmod(w, F.lit(64)).cast("int")))).alias("mark"),
+        F.transform(F.slice("codes", 1, first), low).alias("prefix"),
+        F.aggregate("codes", F.lit(0).cast("bigint"), lambda mark, c: mark.bitwiseXOR(bit(c)))
+        .alias("mark"),
     )
 
 
@@ -128,7 +143,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     lines = kept(line_sets(docs), "line-sets")
     classes = kept(
-        lines.groupBy("key").agg(
+        lines.groupBy("key", "key2").agg(
             F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"),
             F.first("prefix").alias("prefix"), F.first("mark").alias("mark")),
         "line-classes",
@@ -161,10 +176,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         "line-second",
     )
     gone = kept(settled.union(_verified(docs, second)).distinct(), "line-gone")
-    marked = classes.select("key", "at").join(
+    marked = classes.select("key", "key2", "at").join(
         gone.withColumn("gone", F.lit(True)), "at", "left")
     here = F.struct("doc_id", "line_no")
-    return lines.join(marked, "key").select(
+    return lines.join(marked, ["key", "key2"]).select(
         "doc_id", "line_no",
         ((here > F.col("at")) | F.coalesce("gone", F.lit(False))).alias("removed"))
 
