@@ -531,6 +531,39 @@ FINAL |= {
     "stream_hourly_median": f"""
         SELECT h3_cell, hour_utc, target, {r('value_median')} AS value_median, samples
         FROM user_mart""",
+    "probe_registry": f"""
+        SELECT c_custkey AS id,
+               CASE WHEN c_custkey % 17 <> 0 THEN {r('c_custkey % 360 - 180.0::DOUBLE')} END AS lon,
+               CASE WHEN c_custkey % 17 <> 0 THEN {r('c_custkey % 170 - 85.0::DOUBLE')} END AS lat
+        FROM customer""",
+    "ping_results": f"""
+        SELECT user_id AS prb_id, count(*) AS rows, count(*) FILTER (event_id % 5 <> 0) AS known,
+               min(epoch_us(ts) // 1000000) AS first,
+               {r('max(value) FILTER (event_id % 5 <> 0)')} AS worst
+        FROM events GROUP BY 1""",
+    "rain_fade_csv": f"""
+        SELECT l_orderkey, l_linenumber, {r('l_tax')} AS fade, l_linestatus AS sky FROM lineitem""",
+    "tile_quarter": """
+        SELECT l_orderkey, l_linenumber, 1995::INT AS year, 2::INT AS quarter FROM lineitem
+        WHERE year(l_shipdate) = 1995 AND quarter(l_shipdate) = 2""",
+    "newest_snapshot": """
+        SELECT s_suppkey * 2 AS sat_id, 15.5::DOUBLE AS mean_motion, 1704175200 AS fetched_at
+        FROM supplier""",
+    "stored_measurements": f"""
+        SELECT user_id, epoch_us(ts) // 1000000 AS ts, {r('l')} AS latency_ms, {r('d')} AS dl_mbps
+        FROM (SELECT user_id, ts,
+                     CASE WHEN measurement_id % 3 <> 0 THEN latency_ms END AS l,
+                     CASE WHEN measurement_id % 4 <> 0 THEN dl_mbps END AS d FROM own)
+        WHERE l IS NOT NULL OR d IS NOT NULL""",
+    "leaf_quantiles": f"""
+        SELECT tree, leaf, {r('quantile_cont(v, 0.1)')} AS q10, {r('quantile_cont(v, 0.5)')} AS q50,
+               {r('quantile_cont(v, 0.9)')} AS q90, count(*) AS samples
+        FROM (SELECT unnest([0, 1]) AS tree,
+                     unnest([h3_cell % 3, (hour_utc // 3600) % 24 % 4]) AS leaf, v
+              FROM (SELECT h3_cell, hour_utc, value_median AS v,
+                           unnest(range(samples % 3 + 1)) AS copy
+                    FROM user_mart WHERE target = 'latency'))
+        GROUP BY 1, 2""",
     "stream_late_rows": f"""
         SELECT h3_cell, hour_utc, target, {r('value_median')} AS value_median, samples
         FROM user_mart""",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from linkgrid.checks import inputs as I
 from linkgrid.functions import cells as C
+from linkgrid.functions.quantiles import exact_quantiles
 from linkgrid.functions.times import (
     next_reconfig,
     seconds_to_reconfig,
@@ -40,6 +41,7 @@ from linkgrid.operators import (
 from linkgrid.plans import serving, training
 from linkgrid.session import shared_dir
 from linkgrid.sources import files
+from linkgrid.sources.marts import write_text
 from linkgrid.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,6 +661,109 @@ def quantile_forecast(spark, sf):
     )
 
 
+# --- readers: a table written in its raw format, then read as the jobs read it ----------
+
+
+@query
+def probe_registry(spark, sf):
+    """Pages of a probe registry as JSON, one page per file."""
+    key = F.col("c_custkey")
+    point = F.when(key % 17 != 0, F.array(key % 360 - 180.0, key % 170 - 85.0))
+    item = F.struct(key.alias("id"), F.struct(
+        F.lit("Point").alias("type"), point.alias("coordinates")).alias("geometry"))
+    pages = I.table(spark, sf, "customer").groupBy((key % 8).alias("page")).agg(
+        F.collect_list(item).alias("results"))
+    folder = shared_dir(spark, "raw-probes")
+    pages.select("page", F.to_json(F.struct("results")).alias("value")).write.partitionBy(
+        "page").text(folder)
+    found = files.read_probes(spark, folder)
+    return publish(found.select(
+        "id", F.col("geometry.coordinates")[0].alias("lon"),
+        F.col("geometry.coordinates")[1].alias("lat")))
+
+
+@query
+def ping_results(spark, sf):
+    """Ping results as JSON text, an array per file."""
+    event = F.col("event_id")
+    item = F.struct(
+        F.col("user_id").alias("prb_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.when(event % 5 != 0, F.col("value")).alias("min"))
+    arrays = I.table(spark, sf, "events").groupBy((event % 32).alias("page")).agg(
+        F.collect_list(item).alias("items"))
+    folder = shared_dir(spark, "raw-pings")
+    arrays.select("page", F.to_json("items").alias("value")).write.partitionBy("page").text(folder)
+    rows = files.read_pings(spark, folder)
+    return publish(rows.groupBy("prb_id").agg(
+        F.count("*").alias("rows"), F.count("min").alias("known"),
+        F.min("timestamp").alias("first"), F.max("min").alias("worst")))
+
+
+@query
+def rain_fade_csv(spark, sf):
+    """Rain fade measurements as CSV files with a header."""
+    folder = shared_dir(spark, "raw-fade")
+    rows = I.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_tax").alias("fade"), F.col("l_linestatus").alias("sky"))
+    rows.write.option("header", True).csv(folder)
+    schema = "l_orderkey bigint, l_linenumber int, fade double, sky string"
+    return publish(files.read_rain_fade(spark, folder, schema))
+
+
+@query
+def tile_quarter(spark, sf):
+    """One quarter of hive-style tile folders; the others are not listed."""
+    folder = shared_dir(spark, "raw-tiles")
+    rows = I.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"),
+        F.quarter("l_shipdate").alias("quarter"))
+    rows.repartition("year", "quarter").write.partitionBy("year", "quarter").parquet(folder)
+    return publish(files.read_tiles(spark, folder, 1995, 2).select(
+        "l_orderkey", "l_linenumber", "year", "quarter"))
+
+
+@query
+def newest_snapshot(spark, sf):
+    """Two snapshots of element records; only the newer is read."""
+    folder = shared_dir(spark, "raw-elements")
+    key = F.col("s_suppkey")
+    for stamp, step in (("20240101T000000Z", 1), ("20240102T060000Z", 2)):
+        item = F.struct(
+            F.col("s_name").alias("OBJECT_NAME"), (key * step).alias("NORAD_CAT_ID"),
+            F.lit("2024-01-01T12:00:00.000000").alias("EPOCH"), F.lit(15.5).alias("MEAN_MOTION"),
+            *[F.lit(0.5).alias(c) for c in ("ECCENTRICITY", "INCLINATION", "RA_OF_ASC_NODE",
+                                            "ARG_OF_PERICENTER", "MEAN_ANOMALY", "BSTAR")])
+        text = I.table(spark, sf, "supplier").agg(F.to_json(F.collect_list(item)).alias("t"))
+        write_text(spark, f"{folder}/sat_gp_{stamp}.json", text.first()["t"])
+    _, rows = files.latest_snapshot(spark, folder)
+    return publish(rows.select("sat_id", "mean_motion", "fetched_at"))
+
+
+@query
+def stored_measurements(spark, sf):
+    """Measurements as stored; rows without any reading are left out by the scan."""
+    folder = shared_dir(spark, "raw-measurements")
+    rows = I.as_measurements(I.readings(spark, sf))
+    event = F.col("measurement_id")
+    rows = rows.withColumns({
+        "latency_ms": F.when(event % 3 != 0, F.col("latency_ms")),
+        "dl_mbps": F.when(event % 4 != 0, F.col("dl_mbps"))})
+    rows.write.parquet(folder)
+    found = files.read_measurements(spark, folder)
+    return publish(found.select("user_id", "ts", "latency_ms", "dl_mbps"))
+
+
+@query
+def leaf_quantiles(spark, sf):
+    """Weighted leaf quantiles for a given leaf assignment: two trees over hourly latency."""
+    rows = I.mart(spark, sf, "user").where(F.col("target") == "latency").select(
+        F.posexplode(F.array(
+            F.col("h3_cell") % 3, F.hour("hour_utc").cast("bigint") % 4)).alias("tree", "leaf"),
+        "value_median", (F.col("samples") % 3 + 1).alias("w"))
+    levels = dict(zip(BAND_FIELDS, (0.1, 0.5, 0.9)))
+    return publish(exact_quantiles(rows, ["tree", "leaf"], "value_median", levels, weight="w"))
+
+
 # --- serving ----------------------------------------------------------------------
 
 

@@ -10,7 +10,6 @@ from linkgrid import schemas
 # Element-set snapshots carry their UTC time in the file name.
 SNAPSHOT_NAME = r"gp_(\d{8}T\d{6}Z)\.json$"
 SNAPSHOT_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
-# Fixed value: catalogue numbers above this cannot be initialised.
 
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
