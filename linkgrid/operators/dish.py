@@ -84,6 +84,13 @@ def dish_verdicts(
     ``medians`` has h3_cell and basis. With ``users``, those without readings are listed too.
     """
     scored = recent.join(bands.select("measurement_id", "q10", "q50"), "measurement_id")
+    return verdicts_of(scored, recent, medians, users)
+
+
+def verdicts_of(
+    scored: DataFrame, recent: DataFrame, medians: DataFrame, users: DataFrame | None = None
+) -> DataFrame:
+    """As :func:`dish_verdicts`, from recent rows that carry their q10 and q50."""
     basis = modal_cells(recent).join(medians.select("h3_cell", "basis"), "h3_cell", "left")
     verdicts = evaluate_dishes(scored).join(basis.select("user_id", "basis"), "user_id", "left")
     if users is not None:

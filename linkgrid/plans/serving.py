@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkgrid.functions.times import hour_of
 from linkgrid.operators import bandcache, dish, forecast, takeaways
 from linkgrid.operators.forest import QuantileForest
+from linkgrid.session import shared_dir
 
 
 def forecast_pairs(model: QuantileForest, pairs: DataFrame, precip: DataFrame, orbital: DataFrame,
@@ -50,13 +51,18 @@ def score_dishes(model: QuantileForest, measurements: DataFrame, orbital: DataFr
                  tiles: DataFrame, medians: DataFrame) -> DataFrame:
     """Verdicts for all users: recent downloads against the dry-weather band of their hour.
 
-    Time features come from the reading's own instant; sky features from its hour.
+    Time features come from the reading's own instant; sky features from its hour. The recent
+    rows are written once; what a verdict needs is carried through prediction as columns.
     """
-    recent = dish.recent_downloads(measurements)
+    spark = measurements.sparkSession
+    path = shared_dir(spark, "recent-downloads")
+    dish.recent_downloads(measurements).write.parquet(path)
+    recent = spark.read.parquet(path)
     pairs = recent.select("h3_cell", hour_of(F.col("ts")).alias("hour_utc")).distinct()
     dry = pairs.select("h3_cell", "hour_utc", F.lit(0.0).alias("precip_mm_h"))
     features = forecast.serving_features(pairs, dry, orbital, tiles, medians).drop("basis")
-    at = recent.select("measurement_id", "h3_cell", "ts", hour_of(F.col("ts")).alias("hour_utc"))
+    needed = ["user_id", "h3_cell", "ts", "dl_mbps", "obstruction_pct"]
+    at = recent.select(*needed, hour_of(F.col("ts")).alias("hour_utc"))
     rows = at.join(features, ["h3_cell", "hour_utc"]).withColumns(
         {
             k: v
@@ -67,9 +73,9 @@ def score_dishes(model: QuantileForest, measurements: DataFrame, orbital: DataFr
         }
     )
     predicted = model.predict(rows, targets=["dl_throughput"])
-    bands = predicted.select(
-        "measurement_id",
+    scored = predicted.select(
+        *needed,
         F.col("dl_throughput_q10").alias("q10"),
         F.col("dl_throughput_q50").alias("q50"),
     )
-    return dish.dish_verdicts(recent, bands, medians, measurements)
+    return dish.verdicts_of(scored, recent, medians, measurements)
