@@ -86,7 +86,7 @@ class Memo:
     Segments longer than ``longest`` characters are never kept. Results are truthy.
     """
 
-    def __init__(self, solve, size: int = 300_000, longest: int = 40) -> None:
+    def __init__(self, solve, size: int = 200_000, longest: int = 32) -> None:
         self.solve, self.size, self.longest = solve, size, longest
         self.young: dict = {}
         self.old: dict = {}

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -99,8 +98,8 @@ class Segmenter:
                 out.append(number)
         return tuple(out)
 
-    def _best(self, key: str) -> tuple[tuple[int, ...], float, float]:
-        """(ids, score, gap to the second best path) of a segment: forward Viterbi."""
+    def _best(self, key: str) -> tuple[tuple[int, ...], float, float, bool]:
+        """(ids, score, gap to the second best path, restored) of a segment: forward Viterbi."""
         segment = " " + key
         size = len(segment)
         best = [_LOW] * (size + 1)
@@ -138,7 +137,9 @@ class Segmenter:
                 ids.append(edge[2])
                 end -= edge[0]
         ids.reverse()
-        return tuple(ids), best[size], best[size] - second[size]
+        table = self.bytes_of
+        restored = b"".join([table[i] for i in ids]) == segment.encode()
+        return tuple(ids), best[size], best[size] - second[size], restored
 
     def _unknown_edge(self, end: int, best: list, second: list, came: list) -> None:
         value = best[end - 1] + self.unknown
@@ -174,7 +175,7 @@ class Segmenter:
 
     def _alternatives(self, key: str) -> list[tuple[float, tuple[int, ...]]]:
         """(loss against the best, ids) of the next n-1 paths of a segment."""
-        ids, best, _ = self.memo.find(key)
+        ids, best, *_ = self.memo.find(key)
         segment = " " + key
         found = [(best - s, self._ids(segment, p)) for s, p in self.paths(segment, self.n_best)]
         for i, (_, other) in enumerate(found):
@@ -185,16 +186,26 @@ class Segmenter:
 
     def encode(self, text: str) -> tuple[np.ndarray, float, list]:
         """(ids, score, alternatives as ENCODED states them) of a text."""
+        return self.encode_checked(text)[:3]
+
+    def encode_checked(self, text: str) -> tuple[np.ndarray, float, list, bool]:
+        """As encode, and whether the ids decode to the text.
+
+        Bytes of pieces are simply joined, so a text is restored if each segment is, as solved
+        (a U+2581 of the text itself comes back as a space).
+        """
         segments = self.vocabulary.segments(text)
         known = self.memo.find_all(set(segments))
         if not segments:
-            return np.zeros(0, np.int32), 0.0, []
-        parts, scores, gaps = zip(*map(known.__getitem__, segments))
+            return np.zeros(0, np.int32), 0.0, [], True
+        parts, scores, gaps, restored = zip(*map(known.__getitem__, segments))
+        whole = all(restored) and SPACE not in text
         ids = np.array(list(chain.from_iterable(parts)), np.int32)
         score = sum(scores)
         if self.n_best < 2:
-            return ids, score, []
-        return ids, score, self._merge(segments, parts, np.array(gaps), len(ids), score)
+            return ids, score, [], whole
+        others = self._merge(segments, parts, np.array(gaps), len(ids), score)
+        return ids, score, others, whole
 
     def _merge(self, segments: list, parts: tuple, gaps: np.ndarray, size: int,
                score: float) -> list:
@@ -248,12 +259,6 @@ def apply_changes(ids: Sequence[int], changes: Sequence) -> list[int]:
     return [*out, *ids[at:]]
 
 
-@lru_cache(maxsize=2)
-def _segmenter(vocabulary: Vocabulary, n_best: int) -> Segmenter:
-    """One per Python worker, so that its memo outlives the task."""
-    return Segmenter(vocabulary, n_best)
-
-
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -270,15 +275,15 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 1, text:
 
     @arrow_udf(ENCODED)
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tool = _segmenter(vocabulary, n_best)
+        tool = Segmenter(vocabulary, n_best)  # its memo goes with the task
         for batch in texts:
             ids, scores, others, same = [], [], [], []
             for text in batch.to_pylist():
-                row, score, more = tool.encode(text)
+                row, score, more, whole = tool.encode_checked(text)
                 ids.append(row)
                 scores.append(score)
                 others.append(more)
-                same.append(tool.decode(row.tolist()) == text)
+                same.append(whole)
             yield struct_array({
                 "ids": _lists(ids),
                 "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
@@ -296,7 +301,7 @@ def with_decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids",
 
     @arrow_udf("string")
     def decoded(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tool = _segmenter(vocabulary, 1)
+        tool = Segmenter(vocabulary)
         for batch in lists:
             yield pa.array(
                 [tool.decode([i for i in x if i is not None and i >= 0]) for x in batch.to_pylist()],

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,19 +80,13 @@ class CountViterbi:
         return pieces, score
 
 
-@lru_cache(maxsize=2)
-def _solver(vocabulary: Vocabulary) -> CountViterbi:
-    """One per Python worker, so that its memo outlives the task."""
-    return CountViterbi(vocabulary)
-
-
 def with_token_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
                       name: str = "tokens") -> DataFrame:
     """``docs`` with a struct column: n_tokens and the score of the best segmentation."""
 
     @arrow_udf("n_tokens bigint, score double")
     def tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = _solver(vocabulary)
+        counter = CountViterbi(vocabulary)  # its memo goes with the task
         for batch in texts:
             rows = [counter.count(x) for x in batch.to_pylist()]
             yield struct_array({
