@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write to the cluster's shared folder and read back: cuts lineage, survives executors."""
-    path = shared_dir(df.sparkSession, name)
+    """Write to the cluster's shared folder and read back: cuts lineage, survives executors.
+
+    Spark deletes the shuffle files of a finished job once the driver has collected its plan;
+    asking for that here keeps the files of earlier steps from piling up on the executors.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str | Column = "text") -> Column:

@@ -8,8 +8,7 @@ Jaccard similarity of 4/5 or more, whether or not that line is itself removed.
 2. Words are ordered by rarity: by the order of magnitude of the count of their hash bucket
    over all lines (a byte for each of 2^20 buckets, whatever the corpus), then by hash; any one
    order gives exact results. Such a code is one long, so sets are sorted as numbers. Similar
-   sets share a word among the first n - ceil(0.8 n) + 1 of each. Words seen once are set aside
-   by a table of fixed size before rows are shuffled.
+   sets share a word among the first n - ceil(0.8 n) + 1 of each.
 3. Pairs that meet in such a word must pass the length filter, the positional filter, and a
    parity filter: equal words cancel in the exclusive or of two 64-bit parity marks, so the
    bits left are at most the number of words in which the sets differ.
@@ -34,7 +33,6 @@ from pyspark.sql import functions as F
 from linkgrid.llm.common import WORD, kept
 
 BUCKETS = 1 << 20
-SEEN_BITS = 1 << 26
 WANTED_BITS = 1 << 23
 
 
@@ -148,27 +146,41 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             F.first("prefix").alias("prefix"), F.first("mark").alias("mark")),
         "line-classes",
     )
-    rows = classes.select("at", "n", "mark", F.posexplode("prefix").alias("i", "token"))
-    spot = F.pmod(F.xxhash64("token"), F.lit(SEEN_BITS))
-    seen = kept(_bits(
-        rows.groupBy(spot.alias("spot")).count().where("count > 1")), "line-seen")
-    again = _in_bits(rows, seen, spot)
-    leads = again.groupBy("token").agg(
-        F.min(F.struct("at", "n", "mark", "i")).alias("lead"), F.count("*").alias("size"))
-    shared = kept(again.join(leads.where("size > 1").drop("size"), "token"), "line-shared")
-
-    own = {c: F.col(c) for c in ("at", "n", "mark", "i")}
-    lead = {c: F.col(f"lead.{c}") for c in own}
+    # Flat rows with place and length in one number each travel best.
+    rows = classes.select(
+        F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "mark",
+        F.posexplode("prefix").alias("i", "token"),
+    ).select("token", "doc_id", "line_no", F.shiftleft(F.col("n").cast("bigint"), 32)
+             .bitwiseOR(F.col("i").cast("bigint")).alias("ni"), "mark")
+    leads = rows.groupBy("token").agg(
+        F.min(F.struct("doc_id", "line_no", "ni", "mark")).alias("lead"), F.count("*").alias("size"))
+    shared = kept(
+        rows.join(leads.where("size > 1").drop("size"), "token").select(
+            "token", F.struct("doc_id", "line_no").alias("at"), "ni", "mark",
+            F.struct("lead.doc_id", "lead.line_no").alias("lead_at"),
+            F.col("lead.ni").alias("lead_ni"), F.col("lead.mark").alias("lead_mark")),
+        "line-shared",
+    )
+
+    def side(prefix: str) -> dict:
+        ni = F.col(f"{prefix}ni")
+        return {
+            "at": F.col(f"{prefix}at"), "mark": F.col(f"{prefix}mark"),
+            "n": F.shiftright(ni, 32).cast("int"),
+            "i": ni.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"),
+        }
+
+    own, lead = side(""), side("lead_")
     first = kept(
         shared.where((own["at"] > lead["at"]) & _possible(own, lead))
-        .groupBy(F.col("at").alias("later")).agg(F.min("lead.at").alias("earlier")),
+        .groupBy(own["at"].alias("later")).agg(F.min("lead_at").alias("earlier")),
         "line-first",
     )
     settled = kept(_verified(docs, first), "line-settled")
     left = shared.join(settled, "at", "left_anti").select(
-        "token", *[F.col(c).alias(f"a_{c}") for c in own])
-    right = shared.select("token", *[F.col(c).alias(f"b_{c}") for c in own])
-    a, b = ({c: F.col(f"{side}_{c}") for c in own} for side in "ab")
+        "token", *[F.col(c).alias(f"a_{c}") for c in ("at", "ni", "mark")])
+    right = shared.select("token", *[F.col(c).alias(f"b_{c}") for c in ("at", "ni", "mark")])
+    a, b = side("a_"), side("b_")
     second = kept(
         left.join(right, "token").where((a["at"] > b["at"]) & _possible(a, b))
         .select(a["at"].alias("later"), b["at"].alias("earlier")).distinct()
