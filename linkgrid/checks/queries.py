@@ -643,9 +643,16 @@ def model_report(spark, sf):
 @query
 def quantile_forecast(spark, sf):
     """48 hours for all cells from a model trained on the marts, with takeaways' inputs."""
+    return forecast_of(fitted_forests(spark, sf), spark, sf)
+
+
+def fitted_forests(spark, sf, targets=None):
     table = shared_dir(spark, "matrix")
     _matrix(spark, sf).write.parquet(table)
-    model = forest.fit_forests(spark.read.parquet(table))
+    return forest.fit_forests(spark.read.parquet(table), targets)
+
+
+def forecast_of(model, spark, sf):
     payload = serving.forecast_cells(
         model,
         I.site_cells(spark, sf),
@@ -845,9 +852,7 @@ def sky_report(spark, sf):
 @query
 def model_dish_verdicts(spark, sf):
     """All users scored against a download model trained on the marts."""
-    table = shared_dir(spark, "matrix")
-    _matrix(spark, sf).write.parquet(table)
-    model = forest.fit_forests(spark.read.parquet(table), ["dl_throughput"])
+    model = fitted_forests(spark, sf, ["dl_throughput"])
     return publish(
         serving.score_dishes(
             model, I.measurements(spark, sf), _orbital_stub(spark, sf),

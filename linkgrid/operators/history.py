@@ -23,16 +23,11 @@ def merge_hourly(
 ) -> DataFrame:
     """History with a new pull: new rows win their key, old hours fall off (strictly).
 
-    The newest merged hour is a one-row aggregate, joined back by equality on a constant
-    key so that no cartesian product is planned.
+    The newest merged hour is one number, taken first, so that the bound is a plain filter
+    that reaches the scans and hours past it are never shuffled.
     """
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    merged = keep_best(both, keys, [F.desc("__new"), F.desc("samples")]).drop("__new")
-    newest = both.groupBy(F.lit(1).alias("__one")).agg(F.max("hour_utc").alias("__newest"))
-    horizon = F.unix_seconds("__newest") - keep_days * 86_400
-    return (
-        merged.withColumn("__one", F.lit(1))
-        .join(F.broadcast(newest), "__one")
-        .where(F.unix_seconds("hour_utc") > horizon)
-        .drop("__one", "__newest")
-    )
+    newest = both.agg(F.max(F.unix_seconds("hour_utc"))).first()[0]
+    if newest is not None:
+        both = both.where(F.col("hour_utc") > F.timestamp_seconds(F.lit(newest - keep_days * 86_400)))
+    return keep_best(both, keys, [F.desc("__new"), F.desc("samples")]).drop("__new")
