@@ -16,7 +16,8 @@ they count, each sent once per task. Positions come from the lengths of what lie
 matches, in code points.
 
 Edge cases: null text is empty and has no spans; repeated rows alike; an empty table gives an
-empty table; ties in start are ordered by kind as listed, random last.
+empty table; ties in start are ordered by kind as listed, random last. A candidate with fewer
+than two symbols besides its padding (a line of '=') is not random.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ def _symbols(token: Column, encoding: Column) -> Column:
     for name, alphabet in (("hex", HEX_DIGITS), ("base32", BASE32_DIGITS)):
         digits = F.when(encoding == name, alphabet).otherwise(digits)
     source = F.when(encoding == "hex", hexed).otherwise(source)
-    return F.transform(F.split(source, ""), lambda c: F.position(c, digits) - 1)
+    symbols = F.filter(F.split(source, ""), lambda c: c != "")  # "" splits into [""]
+    return F.transform(symbols, lambda c: F.position(c, digits) - 1)
 
 
 def _total(array: Column, of) -> Column:
@@ -110,10 +112,14 @@ def _total(array: Column, of) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct of the tests on one token: encoding, n, z_chi, z_runs, z_serial, p_words."""
+    """Struct of the tests on one token: encoding, n, z_chi, z_runs, z_serial, p_words.
+
+    With fewer than two symbols no test is defined: each z is 99 and p_words is 1.
+    """
     encoding = encoding_of(token)
     values = _symbols(token, encoding)
-    n = F.size(values).cast("double")
+    size = F.size(values)
+    n = F.when(size >= 2, size.cast("double"))  # null otherwise, and so is what it divides
     k, coincide = F.lit(64.0), F.lit(ENCODINGS["base64"][1])
     for name in ("hex", "base32"):
         k = F.when(encoding == name, float(len(ENCODINGS[name][0]))).otherwise(k)
@@ -126,8 +132,8 @@ def battery(token: Column) -> Column:
 
     high = _total(values, lambda v: (v >= k / 2).cast("double"))
     low = n - high
-    pairs = F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1),
-                       F.slice(values, F.lit(2), F.size(values) - 1),
+    rest = F.greatest(size - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(values, F.lit(1), rest), F.slice(values, F.lit(2), rest),
                        lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     changes = _total(pairs, lambda p: ((p["a"] >= k / 2) != (p["b"] >= k / 2)).cast("double"))
     expected = 2 * high * low / n + 1
@@ -145,13 +151,16 @@ def battery(token: Column) -> Column:
     equal = (squares - n) / 2
     deviation = F.sqrt(total * coincide * (1 - coincide) + n * n * n * 0.0002)
     p_words = _normal_below((equal - total * coincide) / deviation)
+    undefined = F.lit(99.0)
     return F.struct(
-        encoding.alias("encoding"), n.alias("n"), z_chi.alias("z_chi"), z_runs.alias("z_runs"),
-        z_serial.alias("z_serial"), p_words.alias("p_words"))
+        encoding.alias("encoding"), size.cast("double").alias("n"),
+        F.coalesce(z_chi, undefined).alias("z_chi"), z_runs.alias("z_runs"),
+        z_serial.alias("z_serial"), F.coalesce(p_words, F.lit(1.0)).alias("p_words"))
 
 
 def _tested(span: Column, test: Column, settings: Battery) -> Column:
-    band = F.least(F.floor(F.log2(test["n"] / 16) * 2), F.lit(7)).cast("int")
+    n = F.greatest(test["n"], F.lit(1.0))
+    band = F.least(F.floor(F.log2(n / 16) * 2), F.lit(7)).cast("int")
     decades = F.least(-F.log10(F.greatest(test["p_words"], F.lit(10.0**-settings.decades))),
                       F.lit(float(settings.decades)))
     return F.struct(

@@ -39,3 +39,16 @@ def test_one_key_among_two_million_distinct_runs(spark):
     row = key.first()
     assert row.random
     assert secrets.thresholds(counts, settings) == {row.band: row.bin}
+
+
+def test_runs_of_padding_and_dashes(spark):
+    runs = ["=" * 20, "=" * 300, "a" + "=" * 19, "-" * 20, "_" * 40, "-" * 19 + "=", "ab" + "=" * 20]
+    tokens = spark.createDataFrame([(t,) for t in runs], "token string")
+    tests = tokens.select(secrets.battery(F.col("token")).alias("t")).select("t.*").collect()
+    assert [r.n for r in tests] == [0, 0, 1, 20, 40, 19, 2]
+    assert all(r.z_chi == 99 and r.p_words == 1 for r in tests[:3])
+    assert all(r.z_serial == 99 for r in tests[:6])
+    docs = [(i, f"Title\n{t}\n") for i, t in enumerate(runs)]
+    out = secrets.secret_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_random, r.spans) for r in out) == [
+        (i, 0, "") for i in range(len(runs))]
