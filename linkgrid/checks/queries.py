@@ -41,7 +41,6 @@ from linkgrid.operators import (
 from linkgrid.plans import serving, training
 from linkgrid.session import shared_dir
 from linkgrid.sources import files
-from linkgrid.sources.marts import write_text
 from linkgrid.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -735,13 +734,13 @@ def newest_snapshot(spark, sf):
     folder = shared_dir(spark, "raw-elements")
     key = F.col("s_suppkey")
     for stamp, step in (("20240101T000000Z", 1), ("20240102T060000Z", 2)):
-        item = F.struct(
+        item = [
             F.col("s_name").alias("OBJECT_NAME"), (key * step).alias("NORAD_CAT_ID"),
             F.lit("2024-01-01T12:00:00.000000").alias("EPOCH"), F.lit(15.5).alias("MEAN_MOTION"),
             *[F.lit(0.5).alias(c) for c in ("ECCENTRICITY", "INCLINATION", "RA_OF_ASC_NODE",
-                                            "ARG_OF_PERICENTER", "MEAN_ANOMALY", "BSTAR")])
-        text = I.table(spark, sf, "supplier").agg(F.to_json(F.collect_list(item)).alias("t"))
-        write_text(spark, f"{folder}/sat_gp_{stamp}.json", text.first()["t"])
+                                            "ARG_OF_PERICENTER", "MEAN_ANOMALY", "BSTAR")]]
+        records = I.table(spark, sf, "supplier").select(*item)
+        records.write.json(f"{folder}/sat_gp_{stamp}.json")
     _, rows = files.latest_snapshot(spark, folder)
     return publish(rows.select("sat_id", "mean_motion", "fetched_at"))
 

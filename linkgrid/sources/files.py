@@ -114,23 +114,34 @@ def stamp_of(file_name: Column) -> Column:
 
 
 def latest_snapshot(spark: SparkSession, folder: str) -> tuple[str, DataFrame] | None:
-    """Path of the newest snapshot by name with its rows, or None. Only that file is read."""
-    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*gp_*.json")
-    listed = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
-    paths = sorted(str(s.getPath()) for s in (listed or []))
-    if not paths:
-        return None
-    return paths[-1], read_elements(spark, paths[-1])
+    """Path of the newest snapshot by name with its rows, or None. Only that one is read.
 
+    A snapshot is one file, or a folder of that name with a JSON record per line, as a Spark job
+    writes it; a folder without _SUCCESS is not finished and does not count.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    glob = hadoop(f"{folder}/*gp_*.json")
+    fs = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = fs.globStatus(glob) or []
+    found = sorted((str(s.getPath()), s.isDirectory()) for s in listed)
+    for path, parts in reversed(found):
+        if not parts or fs.exists(hadoop(f"{path}/_SUCCESS")):
+            return path, read_elements(spark, path, parts)
+    return None
+
+
+def read_elements(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """Element records as typed columns with the time they were fetched.
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Element records as typed columns with the time they were fetched."""
+    With ``parts``, ``path`` is a folder of lines, named as a snapshot.
+    """
+    name = F.lit(path.rstrip("/").rsplit("/", 1)[-1]) if parts else F.col("_metadata.file_name")
     raw = (
         spark.read.schema(schemas.ELEMENTS)
-        .option("multiLine", True)
+        .option("multiLine", not parts)
         .option("primitivesAsString", True)
         .json(path)
-        .withColumn("fetched_at", stamp_of(F.col("_metadata.file_name")))
+        .withColumn("fetched_at", stamp_of(name))
     )
     return typed_elements(raw)
 
