@@ -85,7 +85,7 @@ def line_sets(docs: DataFrame) -> DataFrame:
         "shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int"))
     return rows.select(
         "doc_id", "line_no",
-        F.xxhash64("codes").alias("key"), F.xxhash64("codes", F.lit(1)).alias("key2"),
+        *_keys(F.col("codes")),
         n.alias("n"),
         F.transform(F.slice("codes", 1, first), low).alias("prefix"),
         F.aggregate("codes", F.lit(0).cast("bigint"), lambda mark, c: mark.bitwiseXOR(bit(c)))
@@ -93,6 +93,11 @@ def line_sets(docs: DataFrame) -> DataFrame:
     )
 
 
+def _keys(codes: Column) -> list[Column]:
+    """Two 64-bit hashes of a set; what leads seeds the rest, so neither follows from the other."""
+    return [F.xxhash64(codes).alias("key"), F.xxhash64(F.lit(1), codes).alias("key2")]
+
+
 def _bits(spots: DataFrame) -> DataFrame:
     """(word, bits) with a bit set for each ``spot``; at most as many rows as there are words."""
     bit = F.call_function(
