@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgrid.llm import (
+    centroids,
     language,
     lines,
     mixing,
+    negatives,
     ngram_join,
+    ordermin,
     pieces,
     quality,
     radix,
@@ -97,3 +100,22 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf, "documents"))
+
+
+@query
+def op11_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return ordermin.fingerprint_report(table(spark, sf, "documents"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
+    # The contract moves the label of every seventh vector.
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(
+        table(spark, sf, "embeddings"), is_anchor=vec_id % 100 == 0, label=moved)
