@@ -204,75 +204,6 @@ FROM filled
 """
 
 
-def _order_minhash() -> str:
-    """Fingerprints as in ordermin.Print(): three words, two smallest of 64 bins."""
-
-    def prints(texts: str, prefix: str) -> str:
-        return f"""
-{prefix}words AS (
-    SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM {texts}),
-{prefix}places AS (
-    SELECT doc_id, w, unnest(range(greatest(len(w) - 2, least(len(w), 1)))) AS place
-    FROM {prefix}words),
-{prefix}grams AS (
-    SELECT doc_id, place, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
-                            ELSE array_to_string(w[place + 1:place + 3], ' ') END AS g
-    FROM {prefix}places),
-{prefix}marks AS (
-    SELECT doc_id, place,
-           md5((row_number() OVER (PARTITION BY doc_id, g ORDER BY place) - 1) || ' ' || g) AS h
-    FROM {prefix}grams),
-{prefix}binned AS (
-    SELECT *, h[1] || translate(h[2], '0123456789abcdef', '000044448888cccc') AS bin
-    FROM {prefix}marks),
-{prefix}taken AS (
-    SELECT * FROM {prefix}binned
-    QUALIFY row_number() OVER (PARTITION BY doc_id, bin ORDER BY h, place) <= 2),
-{prefix}bins AS (
-    SELECT doc_id, bin, bin || md5(string_agg(h, ',' ORDER BY place))[1:6] AS part
-    FROM {prefix}taken GROUP BY doc_id, bin),
-{prefix}prints AS (
-    SELECT doc_id, string_agg(part, '' ORDER BY bin) AS fp FROM {prefix}bins GROUP BY doc_id)"""
-
-    def near(a: str, b: str, name: str) -> str:
-        return f"""
-{name} AS (
-    SELECT doc_id, CASE WHEN count(*) FILTER (filled) = 0 THEN 1.0
-        ELSE count(*) FILTER (same)::DOUBLE / count(*) FILTER (filled) END AS likeness
-    FROM (SELECT p.doc_id, x.part IS NOT NULL OR y.part IS NOT NULL AS filled,
-                 coalesce(x.part = y.part, false) AS same
-          FROM (SELECT d.*, h1 || q AS bin FROM edited d,
-                       unnest(string_split('0123456789abcdef', '')) a(h1),
-                       unnest(['0', '4', '8', 'c']) c(q)) p
-          LEFT JOIN bins x ON x.doc_id = p.doc_id AND x.bin = p.bin
-          LEFT JOIN {a} y ON y.doc_id = p.{b} AND y.bin = p.bin)
-    GROUP BY doc_id)"""
-
-    return f"""
-WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-ringed AS (
-    SELECT doc_id, text, length(text) AS n,
-           coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id,
-           coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text
-    FROM texts WINDOW o AS (ORDER BY doc_id DESC)),
-edited AS (
-    SELECT doc_id, next_id, n, left(text, n - n // 2) || left(next_text, n // 2) AS text
-    FROM ringed),
-{prints("texts", "")},
-{prints("edited", "e_")},
-{near("e_bins", "doc_id", "near_edited")},
-{near("bins", "next_id", "near_next")}
-SELECT d.doc_id, d.n AS n_chars, sha256(d.text) AS edited_sha256,
-       coalesce(a.fp, '') AS fingerprint, coalesce(b.fp, '') AS edited_fingerprint,
-       e.likeness AS near_edited, f.likeness AS near_next
-FROM edited d LEFT JOIN prints a USING (doc_id) LEFT JOIN e_prints b USING (doc_id)
-JOIN near_edited e USING (doc_id) JOIN near_next f USING (doc_id)
-"""
-
-
-SQL["op11_order_minhash"] = _order_minhash()
-
-
 _FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _INTEGERS = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
 

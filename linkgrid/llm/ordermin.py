@@ -45,53 +45,85 @@ class Print:
     slice_bits: int = 9
 
 
-#: Second hex digit of a digest by its upper two bits: with the first it names one of 64 bins.
-_QUARTER = ("0123456789abcdef", "000044448888cccc")
+#: A packed long: six bits of bin and 34 of hash, or of k-mer, above the place in the text.
+PLACE_BITS = 24
+PLACE = (1 << PLACE_BITS) - 1
+HASH_BITS = 34
+HASH = (1 << HASH_BITS) - 1
+BIN_SHIFT = PLACE_BITS + HASH_BITS
 
 
-def _bin(digest: Column) -> Column:
-    return F.concat(F.substring(digest, 1, 1), F.translate(F.substring(digest, 2, 1), *_QUARTER))
+def _packed(hash_: Column, place: Column) -> Column:
+    place = F.least(place, F.lit(PLACE)).cast("bigint")
+    return hash_.bitwiseAND(F.lit(~PLACE)).bitwiseOR(place)
+
+
+def _place(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(PLACE)).cast("int")
+
+
+def _bin(packed: Column) -> Column:
+    return F.shiftright(packed, BIN_SHIFT)
+
+
+def _indexes(array: str, wanted) -> Column:
+    """The indexes of ``array`` for which ``wanted(element, element before)`` holds, and 0."""
+    at = F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.filter(at, lambda i: (i == 0) | wanted(
+        F.get(F.col(array), i), F.get(F.col(array), i - 1)))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, settings: Print = Print()) -> DataFrame:
     """``df`` with the fingerprint of the string column ``text`` as the column ``name``."""
-    k, first = settings.k, settings.least
-    own = [c for c in df.columns]
+    k, first, own = settings.k, settings.least, df.columns
+    # One projection for each array that the next one reads more than once.
     step = df.select(*own, F.filter(F.split(text, BREAK), lambda w: w != "").alias("_words"))
     n = F.size("_words")
     grams = F.transform(
         F.slice("_words", F.lit(1), F.greatest(n - (k - 1), F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, *[F.get(F.col("_words"), i + j) for j in range(1, k)]))
-    whole = F.array(F.array_join("_words", " "))
-    step = step.select(*own, F.when(n >= k, grams).when(n > 0, whole).otherwise(
-        F.array().cast("array<string>")).alias("_grams"))
+        lambda w, i: F.xxhash64(w, *[F.get(F.col("_words"), i + j) for j in range(1, k)]))
+    step = step.select(*own, F.when(n >= k, grams).when(
+        n > 0, F.array(F.xxhash64("_words"))).otherwise(
+            F.array().cast("array<bigint>")).alias("_grams"))
     # Equal k-mers side by side, in the order of the text; where each run of them starts.
-    step = step.select(*own, F.array_sort(F.transform(
-        "_grams", lambda g, i: F.struct(g.alias("g"), i.alias("at")))).alias("_sorted"))
-    step = step.select(*own, "_sorted", F.filter(
-        F.transform("_sorted", lambda s, i: F.when(
-            (i == 0) | (F.get(F.col("_sorted"), i - 1)["g"] != s["g"]), i).otherwise(-1)),
-        lambda i: i >= 0).alias("_starts"))
-    number = F.flatten(F.transform("_starts", lambda s, i: F.sequence(
-        F.lit(0), F.coalesce(F.get(F.col("_starts"), i + 1), F.size("_sorted")) - s - 1)))
-    step = step.select(*own, F.array_sort(F.zip_with("_sorted", number, lambda s, o: F.struct(
-        F.md5(F.concat_ws(" ", o.cast("string"), s["g"]).cast("binary")).alias("h"), s["at"].alias("at")))).alias("_ranked"))
+    step = step.select(*own, "_grams", F.sort_array(
+        F.transform("_grams", lambda g, i: _packed(g, i))).alias("_sorted"))
+    step = step.select(*own, "_grams", "_sorted", _indexes("_sorted", lambda x, y: F.shiftright(
+        x, PLACE_BITS) != F.shiftright(y, PLACE_BITS)).alias("_starts"))
+
+    def run(start: Column, i: Column) -> Column:
+        length = F.coalesce(F.get(F.col("_starts"), i + 1), F.size("_sorted")) - start
+        return F.when(length == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), length - 1))
+
+    unique = F.size("_starts") == F.size("_sorted")
+    step = step.select(*own, "_grams", "_sorted", F.when(~unique, F.flatten(
+        F.transform("_starts", run))).alias("_numbers"))
+
+    def ranked(x: Column, number: Column) -> Column:
+        return _packed(F.xxhash64(F.get(F.col("_grams"), _place(x)), number), _place(x))
+
+    step = step.select(*own, F.sort_array(F.when(
+        F.col("_numbers").isNull(), F.transform("_sorted", lambda x: ranked(x, F.lit(0)))
+    ).otherwise(F.zip_with("_sorted", "_numbers", ranked))).alias("_ranked"))
     # The smallest of each bin: no entry of the same bin stands ``least`` places before.
-    taken = F.filter("_ranked", lambda s, i: (i < first) | (
-        _bin(F.get(F.col("_ranked"), i - first)["h"]) != _bin(s["h"])))
-    step = step.select(*own, F.array_sort(F.transform(taken, lambda s: F.struct(
-        _bin(s["h"]).alias("bin"), s["at"].alias("at"), s["h"].alias("h")))).alias("_taken"))
-    step = step.select(*own, "_taken", F.filter(
-        F.transform("_taken", lambda s, i: F.when(
-            (i == 0) | (F.get(F.col("_taken"), i - 1)["bin"] != s["bin"]), i).otherwise(-1)),
-        lambda i: i >= 0).alias("_heads"))
-    tuples = F.transform("_heads", lambda s, i: F.concat(
-        F.get(F.col("_taken"), s)["bin"],
-        F.substring(F.md5(F.array_join(F.transform(
-            F.slice(F.col("_taken"), s + 1,
-                    F.coalesce(F.get(F.col("_heads"), i + 1), F.size("_taken")) - s),
-            lambda t: t["h"]), ",").cast("binary")), 1, 6)))
-    return step.select(*own, F.array_join(tuples, "").alias(name))
+    taken = F.filter("_ranked", lambda x, i: (i < first) | (
+        _bin(F.get(F.col("_ranked"), i - first)) != _bin(x)))
+    step = step.select(*own, F.sort_array(F.transform(taken, lambda x: F.shiftleft(
+        _bin(x), BIN_SHIFT).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(PLACE)), HASH_BITS))
+        .bitwiseOR(F.shiftright(x, PLACE_BITS).bitwiseAND(F.lit(HASH))))).alias("_taken"))
+    step = step.select(*own, "_taken", _indexes(
+        "_taken", lambda x, y: _bin(x) != _bin(y)).alias("_heads"))
+
+    def part(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(F.col("_heads"), i + 1), F.size("_taken"))
+        hashes = F.transform(F.slice(F.col("_taken"), start + 1, end - start),
+                             lambda x: x.bitwiseAND(F.lit(HASH)))
+        bin_ = F.pmod(_bin(F.get(F.col("_taken"), start)), F.lit(64))
+        mark = F.pmod(F.xxhash64(hashes), F.lit(1 << 24))
+        return F.lower(F.concat(F.lpad(F.hex(bin_), 2, "0"), F.lpad(F.hex(mark), 6, "0")))
+
+    return step.select(*own, F.array_join(F.transform("_heads", part), "").alias(name))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -124,43 +156,49 @@ def _slices(rows: DataFrame) -> DataFrame:
         F.lag("slice").over(own), "follows", F.lit(least).cast("bigint")).alias("before"))
 
 
-def with_next(rows: DataFrame, carried: list[str], settings: Print = Print()) -> DataFrame:
-    """``rows`` (doc_id, text, ...) with a struct ``next`` of columns of the document that follows.
-
-    Documents follow each other by falling doc_id, the first one after the last.
-    """
-    last = -(1 << 62)
-    rows = rows.withColumn("slice", F.coalesce(
-        F.shiftright("doc_id", settings.slice_bits), F.lit(last).cast("bigint")))
-    order = Window.partitionBy("slice").orderBy(
-        F.desc_nulls_last("doc_id"), F.sha2(F.col("text").cast("binary"), 256))
-    placed = rows.select(
-        "*", F.lead(F.struct(*carried)).over(order).alias("next"),
-        F.lag(F.lit(True)).over(order).isNull().alias("is_head"))
-    heads = placed.where("is_head").select("slice", F.struct(*carried).alias("next")).join(
-        _slices(rows), "slice").select(F.col("before").alias("slice"), "next")
-    tails = placed.where("next IS NULL").drop("next").join(heads, "slice")
-    names = [*[c for c in rows.columns if c != "slice"], "next"]
-    return placed.where("next IS NOT NULL").select(names).unionByName(tails.select(names))
+def _edit(rows: DataFrame, settings: Print) -> DataFrame:
+    """``rows`` with text and next_text: the end of the text gives way to the start of the next."""
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = rows.withColumn("edited", F.concat(
+        F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    edited = edited.withColumn("n_chars", n.cast("bigint")).drop("next_text")
+    done = with_fingerprint(edited, "edited", "edited_fingerprint", settings)
+    return done.withColumn(
+        "edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
 
 
 def fingerprint_report(docs: DataFrame, settings: Print = Print()) -> DataFrame:
     """Per document, against the next one and against a text whose end is the next one's start.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Documents follow each other by falling doc_id, the first one after the last.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    doc_id = F.col("doc_id").cast("bigint")
+    last = F.lit(-(1 << 62)).cast("bigint")
+    rows = docs.select(
+        doc_id.alias("doc_id"), text_of().alias("text"),
+        F.coalesce(F.shiftright(doc_id, settings.slice_bits), last).alias("slice"))
     printed = with_fingerprint(rows, "text", "fingerprint", settings)
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = with_next(printed, ["text", "fingerprint"], settings).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "fingerprint",
-        F.col("next.fingerprint").alias("next_fingerprint"),
-        F.concat(F.substring("text", F.lit(1), n - half),
-                 F.substring("next.text", F.lit(1), half)).alias("edited"))
-    done = with_fingerprint(edited, "edited", "edited_fingerprint", settings)
-    return done.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+    order = Window.partitionBy("slice").orderBy(
+        F.desc_nulls_last("doc_id"), F.sha2(F.col("text").cast("binary"), 256))
+    placed = printed.select(
+        "*", F.lead("text").over(order).alias("next_text"),
+        F.lead("fingerprint").over(order).alias("next_fingerprint"),
+        F.lag(F.lit(True)).over(order).isNull().alias("is_head"))
+    done = _edit(placed, settings)
+    # Texts are kept of the ends of slices only.
+    is_tail = F.col("next_fingerprint").isNull()
+    done = kept(done.withColumn("text", F.when(F.col("is_head") | is_tail, F.col("text"))),
+                "print-placed")
+    heads = done.where("is_head").select(
+        "slice", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint")
+    ).join(_slices(done), "slice").select(
+        F.col("before").alias("slice"), "next_text", "next_fingerprint")
+    tails = done.where(is_tail).select("doc_id", "slice", "text", "fingerprint").join(heads, "slice")
+    own = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+    both = [*own, "next_fingerprint"]
+    whole = done.where(~is_tail).select(both).unionByName(_edit(tails, settings).select(both))
+    return whole.select(
+        *own, likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next_fingerprint").alias("near_next"))
