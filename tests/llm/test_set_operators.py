@@ -106,33 +106,85 @@ def test_ngram_join_links_a_chain_whose_ends_differ(spark):
     assert set(brute_links(rows).values()) == {(146, 0)}
 
 
-def test_signatures_meet_for_all_similar_sets():
+def test_bought_units_meet_for_all_similar_sets(spark):
+    """Whatever else shares the lists, a linked pair has a list that one of the two probes."""
+    import collections
+
     import numpy as np
 
     rng = np.random.default_rng(3)
-    checked = 0
-    for _ in range(600):
+    sets, pairs = {}, []
+    for _ in range(300):
         n = int(rng.choice([1, 2, 3, 5, 8, 26, 27, 40, 80, 81, 242, 243, 400]))
-        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         left = base[np.sort(rng.permutation(n)[: n - rng.integers(0, n // 4 + 1)])]
         other = np.unique(np.concatenate(
             [left, rng.integers(0, 2**63, rng.integers(0, n // 3 + 1)).astype(np.uint64)]))
-        x = np.unique(base)
-        common = len(np.intersect1d(x, other))
-        if not len(other) or 100 * common < 75 * (len(x) + len(other) - common):
-            continue
-        checked += 1
-        crowd = [x[: len(x) // 2]] * 3  # the choice of units may follow other sets
-        (a, b, *_), short = ngram_join.signatures([x, other, *[c for c in crowd if len(c)]])
-        assert not any(short[:2])
-        differ = len(x) + len(other) - 2 * common
-        marks = [ngram_join.parity_mark(t) for t in (x, other)]
+        crowd = [base[: n // 2], base[n // 3 :]]
+        ids = [ngram_join.digest_of(x) for x in (base, other, *crowd) if len(x)]
+        sets.update(zip(ids, [x for x in (base, other, *crowd) if len(x)]))
+        common = len(np.intersect1d(base, other))
+        if ids[0] != ids[1] and 100 * common >= 75 * (len(base) + len(other) - common):
+            pairs.append((ids[0], ids[1], len(base) + len(other) - 2 * common))
+    held, entries, rows = collections.defaultdict(set), [], []
+    made = {d: ngram_join.signatures(x) for d, x in sets.items()}
+    for d, (sig, _, _, _) in made.items():
+        for s in sig.view(np.int64).tolist():
+            held[s].add(d)
+    for d, (sig, code, count, wide) in made.items():
+        n = len(sets[d])
+        needed = (n + n * 4 // 3) // 7 + 1
+        assert count + wide >= needed
+        rows.append((d, n, needed, count, wide, False))
+        entries += [(s, d, c, len(held[s])) for s, c in zip(sig.view(np.int64).tolist(), code.tolist())
+                    if len(held[s]) > 1]
+    found = ngram_join._probes(
+        spark.createDataFrame(entries, "sig long, id long, code long, count long"),
+        spark.createDataFrame(rows, "id long, n long, needed long, segments long, wide long, short boolean"))
+    probes = collections.defaultdict(set)
+    for r in found.collect():
+        probes[r.id].add(r.sig)
+    assert len(pairs) > 60
+    for u, v, differ in pairs:
+        assert any(v in held[s] for s in probes[u]) or any(u in held[s] for s in probes[v])
+        marks = [ngram_join.parity_mark(sets[x]) for x in (u, v)]
         assert ngram_join.least_apart(*marks) <= differ
-        one = np.uint64(1)
-        probes = [set((s[s & one > 0] >> one).tolist()) for s in (a, b)]
-        every = [set((s >> one).tolist()) for s in (a, b)]
-        assert probes[0] & every[1] or probes[1] & every[0]
-    assert checked > 100
+
+
+def test_one_passage_in_a_third_of_all_texts(spark, monkeypatch):
+    """It makes no pairs: texts that hold it differ in more than it leaves them a chance for."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(3000):
+        size = rng.randint(12, 60) if i % 3 == 0 else rng.randint(30, 90)
+        own = " ".join(f"d{i}w{j}" for j in range(size))
+        rows.append((i, f"{passage} {own}" if i % 3 == 0 else own))
+    rows += [(3000 + i, f"{passage} tail{i}") for i in range(3)]  # these are linked
+    seen = []
+    verified = ngram_join._verified
+
+    def counted(docs, classes, pairs):
+        seen.append(pairs.count())
+        return verified(docs, classes, pairs)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    out = ngram_join.link_components(spark.createDataFrame(rows, DOCS).repartition(8))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}
+    assert {d: c for d, (_, c) in got.items() if d != c} == {3001: 3000, 3002: 3000}
+    assert sum(seen) < 4 * 1000
+
+
+def test_equal_digests_are_told_apart(spark, monkeypatch):
+    """Sets whose first digests are equal are different classes all the same."""
+    real = ngram_join.digest_of
+    monkeypatch.setattr(ngram_join, "digest_of", lambda x, which=0: 7 if not which and len(x) else real(x, which))
+    members = spark.createDataFrame(
+        [(1, 5, 7, 10, 5, 0, b""), (2, 5, 7, 10, 5, 0, b""), (3, 6, 7, 20, 5, 0, b"")],
+        "doc_id long, n long, digest long, second long, segments long, wide long, mark binary")
+    of_class, classes = ngram_join._classes(members)
+    assert sorted((r.doc_id, r.id) for r in of_class.collect()) == [(1, 7), (2, 7), (3, 20)]
+    assert sorted((r.id, r.short) for r in classes.collect()) == [(7, False), (20, True)]
 
 
 def test_sets_without_enough_units_are_joined_by_tokens(spark):
@@ -169,6 +221,14 @@ def test_one_per_component(spark):
     assert sorted(r.u for r in out.collect()) == [1, 3, 4, 5]
 
 
+def test_one_per_component_keeps_other_texts_of_a_dropped_id(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text, 1), (2, text, 2), (2, "an unrelated text of six words", 3), (2, "", 4),
+            (3, text + " end", 5), (3, None, 6), (4, "an unrelated text of six words", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, u int")
+    assert sorted(r.u for r in ngram_join.one_per_component(docs).collect()) == [1, 3, 4, 6]
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)]
