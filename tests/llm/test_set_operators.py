@@ -157,7 +157,7 @@ def test_one_passage_in_a_third_of_all_texts(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = []
     for i in range(3000):
-        size = rng.randint(12, 60) if i % 3 == 0 else rng.randint(30, 90)
+        size = rng.randint(25, 60) if i % 3 == 0 else rng.randint(30, 90)
         own = " ".join(f"d{i}w{j}" for j in range(size))
         rows.append((i, f"{passage} {own}" if i % 3 == 0 else own))
     rows += [(3000 + i, f"{passage} tail{i}") for i in range(3)]  # these are linked
