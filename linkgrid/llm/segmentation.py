@@ -13,7 +13,7 @@ Alternatives of equal total score are ordered by the place of their first change
 segment as the search meets them.
 
 Encoding is one scalar Arrow UDF over whole texts, decoding another; no shuffle. Memory per
-task is one Arrow batch and a bounded memo.
+task is one Arrow batch and a bounded memo, which the tasks of a Python worker share.
 
 Edge cases: null and empty text give no pieces, score 0 and no alternatives, and decode to an
 empty text; U+2581 in a text is read as a space, as the tokenizer does; unknown characters
@@ -49,6 +49,20 @@ _ALTERNATIVES = pa.list_(pa.struct([
     ("score", pa.float64()), ("n_pieces", pa.int64()), ("changes", _CHANGES),
 ]))
 _LOW = float("-inf")
+#: Segments in a generation of a memo; with some 400 bytes each, two of them take 100 MB at most.
+SEGMENTS_KEPT = 120_000
+
+#: The segmenter of this Python worker, which the tasks it runs share one after the other.
+_own: dict = {}
+
+
+def segmenter(vocabulary: Vocabulary, n_best: int) -> Segmenter:
+    """The worker's segmenter with what it has solved, or a new one for another vocabulary."""
+    key = hash(vocabulary.pieces), hash(vocabulary.scores), hash(vocabulary.ids), n_best
+    if key not in _own:
+        _own.clear()
+        _own[key] = Segmenter(vocabulary, n_best)
+    return _own[key]
 
 
 class Segmenter:
@@ -57,8 +71,8 @@ class Segmenter:
         self.trie = vocabulary.automaton()
         self.singles = vocabulary.singles()
         self.unknown = vocabulary.unknown_score
-        self.memo = Memo(self._best)
-        self.others = Memo(self._alternatives, size=20_000)
+        self.memo = Memo(self._best, size=SEGMENTS_KEPT)
+        self.others = Memo(self._alternatives, size=SEGMENTS_KEPT // 10)
         size = max([*vocabulary.ids, *vocabulary.byte_ids, vocabulary.unknown_id]) + 1
         self.bytes_of = [b""] * size
         for number, piece in zip(vocabulary.ids, vocabulary.pieces):
@@ -127,18 +141,18 @@ class Segmenter:
             if segment[done - 1] not in singles:
                 self._unknown_edge(done, best, second, came)
         ids: list[int] = []
-        end = size
+        end, strange = size, False
         while end:
             edge = came[end]
             if edge is None:
                 ids.extend(reversed(self._fallback(segment[end - 1])))
-                end -= 1
+                end, strange = end - 1, True
             else:
                 ids.append(edge[2])
                 end -= edge[0]
         ids.reverse()
-        table = self.bytes_of
-        restored = b"".join([table[i] for i in ids]) == segment.encode()
+        # Pieces spell the segment; only what stands for unknown characters may not.
+        restored = not strange or b"".join([self.bytes_of[i] for i in ids]) == segment.encode()
         return tuple(ids), best[size], best[size] - second[size], restored
 
     def _unknown_edge(self, end: int, best: list, second: list, came: list) -> None:
@@ -275,7 +289,7 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 1, text:
 
     @arrow_udf(ENCODED)
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tool = Segmenter(vocabulary, n_best)  # its memo goes with the task
+        tool = segmenter(vocabulary, n_best)
         for batch in texts:
             ids, scores, others, same = [], [], [], []
             for text in batch.to_pylist():
