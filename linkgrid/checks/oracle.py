@@ -369,6 +369,42 @@ FINAL = {
                    samples + (hour_utc - 1704067200 >= 18 * {DAY})::INT AS n
             FROM probe_mart)
         WHERE hour_utc > (SELECT max(hour_utc) FROM probe_mart) - 21 * {DAY}""",
+    "mart_upsert": f"""
+        SELECT h3_cell, hour_utc, {r('v')} AS rtt_ms_median, n AS samples FROM (
+            SELECT h3_cell, hour_utc,
+                   rtt_ms_median + (hour_utc - 1704067200 >= 18 * {DAY})::INT AS v,
+                   samples + (hour_utc - 1704067200 >= 18 * {DAY})::INT AS n
+            FROM probe_mart)
+        WHERE hour_utc > (SELECT max(hour_utc) FROM probe_mart) - 21 * {DAY}""",
+    "foreign_centres": f"""
+        SELECT c AS h3_cell, {r('y')} AS lat, {r('x')} AS lon, count(*) AS rows FROM (
+            SELECT CASE WHEN site % 5 = 0 THEN h3_cell | (1::BIGINT << 59)
+                        WHEN event_id % 211 <> 0 THEN h3_cell END AS c,
+                   CASE WHEN site % 10 = 0 THEN lat WHEN site % 5 = 0 OR event_id % 211 = 0 THEN NULL
+                        ELSE {lat('h3_cell')} END AS y,
+                   CASE WHEN site % 10 = 0 THEN lon WHEN site % 5 = 0 OR event_id % 211 = 0 THEN NULL
+                        ELSE {lon('h3_cell')} END AS x
+            FROM readings)
+        GROUP BY 1, 2, 3""",
+    "unplaced_cells": """
+        SELECT CASE WHEN site % 5 = 0 THEN h3_cell | (1::BIGINT << 59) END AS h3_cell,
+               CASE WHEN site % 5 = 0 THEN 'no centre' ELSE 'no cell' END AS reason,
+               count(*) AS rows
+        FROM readings WHERE site % 10 = 5 OR (site % 5 <> 0 AND event_id % 211 = 0)
+        GROUP BY 1, 2""",
+    "mart_versions": f"""
+        WITH pulls AS (
+            SELECT 1 AS pull, h3_cell, hour_utc, samples FROM probe_mart
+            WHERE hour_utc - 1704067200 < 20 * {DAY}
+            UNION ALL
+            SELECT 2, h3_cell, hour_utc, samples + 1 FROM probe_mart
+            WHERE hour_utc - 1704067200 >= 18 * {DAY}),
+        held AS (
+            SELECT v.version, p.* FROM pulls p JOIN (VALUES (1), (2)) v(version) ON pull <= version
+            QUALIFY row_number() OVER (PARTITION BY version, h3_cell, hour_utc
+                                       ORDER BY pull DESC) = 1)
+        SELECT version, make_timestamp(hour_utc * 1000000)::DATE::VARCHAR AS date,
+               count(*) AS hours, sum(samples)::BIGINT AS samples FROM held GROUP BY 1, 2""",
     "active_cells": "SELECT h3_cell FROM tile_mart UNION SELECT h3_cell FROM probe_mart",
     "active_map_cells": f"""
         SELECT h3_cell FROM stats WHERE {res('h3_cell')} = 5 UNION SELECT h3_cell FROM tile_mart""",
@@ -540,7 +576,7 @@ FINAL |= {
         SELECT user_id AS prb_id, count(*) AS rows, count(*) FILTER (event_id % 5 <> 0) AS known,
                min(epoch_us(ts) // 1000000) AS first,
                {r('max(value) FILTER (event_id % 5 <> 0)')} AS worst
-        FROM events GROUP BY 1""",
+        FROM events WHERE event_id % 101 <> 0 GROUP BY 1""",
     "rain_fade_csv": f"""
         SELECT l_orderkey, l_linenumber, {r('l_tax')} AS fade, l_linestatus AS sky FROM lineitem""",
     "tile_quarter": """
@@ -573,6 +609,31 @@ FINAL |= {
                dl_mbps < value_median * 0.5 AS below_q10
         FROM own o LEFT JOIN user_mart u ON u.h3_cell = o.h3_cell AND u.hour_utc = o.hour_utc
              AND u.target = 'dl_throughput'""",
+    "admitted_arrivals": """
+        WITH RECURSIVE instants AS (
+            SELECT user_id, epoch_us(ts) AS t, count(*) AS n,
+                   row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS i
+            FROM readings GROUP BY 1, 2),
+        walk AS (
+            SELECT user_id, i, t, n, least(n, 3) AS admitted,
+                   list_transform(range(least(n, 3)), lambda x: t) AS held
+            FROM instants WHERE i = 1
+            UNION ALL
+            SELECT b.user_id, b.i, b.t, b.n, least(b.n, 3 - len(b.still)),
+                   list_concat(b.still, list_transform(
+                       range(least(b.n, 3 - len(b.still))), lambda x: b.t))
+            FROM (SELECT b.user_id, b.i, b.t, b.n, list_filter(
+                             a.held, lambda x: x > b.t - 21600000000) AS still
+                  FROM walk a JOIN instants b ON b.user_id = a.user_id AND b.i = a.i + 1) b)
+        SELECT user_id, t AS ts_us, n AS arrivals, admitted::BIGINT AS admitted FROM walk""",
+    "broken_files": """
+        WITH items AS (SELECT event_id // 500 AS page, event_id % 101 = 0 AS bare FROM events)
+        SELECT 'read' AS reason, NULL::BIGINT AS page, count(*) AS rows
+        FROM items WHERE page % 3 <> 0 AND NOT bare
+        UNION ALL
+        SELECT 'no prb_id', page, count(*) FROM items WHERE page % 3 <> 0 AND bare GROUP BY page
+        UNION ALL
+        SELECT DISTINCT 'not parsed', page, 1 FROM items WHERE page % 3 = 0""",
     "stream_arrivals": """
         SELECT user_id, s AS window_start, count(*) AS arrivals, count(*) > 2 AS over_cap
         FROM (SELECT user_id, unnest([epoch_us(ts) // 10800000000 * 10800,
@@ -721,6 +782,96 @@ def _needed(text: str) -> list[str]:
     return found
 
 
+def _boosted_tree() -> str:
+    """One tree of depth two for each quantile, as checks.queries.STUMP describes it."""
+    edges = {"day_of_week": (0, 1, 2, 3, 4, 5), "cell_lat": (-40, -20, 0, 20),
+             "sats_visible": (1, 3, 5, 7), "cell_median_7d": (20, 30, 40, 50, 60)}
+
+    def binned(name: str) -> str:
+        below = " + ".join(f"({name} > {e})::INT" for e in edges[name])
+        return f"CASE WHEN {name} IS NULL THEN 0 ELSE 1 + {below} END"
+
+    features = list(edges)
+    long = "\n    UNION ALL ".join(
+        f"SELECT id, {f} AS f, {binned(name)} AS b, {len(edges[name]) + 1} AS parts FROM matrix"
+        for f, name in enumerate(features))
+    score = lambda u, o: (
+        f"(((1.0::DOUBLE - level) * {u} - level * {o}) * ((1.0::DOUBLE - level) * {u} - level * {o})"
+        f" / ({u} + {o}))")
+    # Node of each row at a depth, sums by bin, sums left of every cut, and the best of them.
+    levels = ["at0 AS (SELECT q, level, base, id, label, w, 0 AS node FROM matrix, bases)"]
+    for d in range(2):
+        levels.append(f"""
+sums{d} AS (
+    SELECT q, level, node, f, b, parts, sum(CASE WHEN label <= base THEN w ELSE 0 END) AS u,
+           sum(CASE WHEN label > base THEN w ELSE 0 END) AS o, count(*) AS n
+    FROM at{d} JOIN bins USING (id) WHERE node >= {2 ** d - 1} GROUP BY ALL),
+cuts{d} AS (
+    SELECT q, level, node, f, cut, m,
+           sum(CASE WHEN b BETWEEN 1 AND cut OR (b = 0 AND m) THEN u ELSE 0 END) AS lu,
+           sum(CASE WHEN b BETWEEN 1 AND cut OR (b = 0 AND m) THEN o ELSE 0 END) AS lo,
+           sum(CASE WHEN b BETWEEN 1 AND cut OR (b = 0 AND m) THEN n ELSE 0 END) AS ln,
+           sum(u) AS u, sum(o) AS o, sum(n) AS n
+    FROM sums{d}, range(1, 7) t(cut), (VALUES (true), (false)) v(m) WHERE cut < parts
+    GROUP BY q, level, node, f, cut, m),
+split{d} AS (
+    SELECT q, node, f, cut, m FROM (
+        SELECT *, {score('lu', 'lo')} + {score('(u - lu)', '(o - lo)')} - {score('u', 'o')} AS gain
+        FROM cuts{d} WHERE ln >= 20 AND n - ln >= 20)
+    WHERE gain > 1e-9
+    QUALIFY row_number() OVER (PARTITION BY q, node ORDER BY gain DESC, f, cut, m DESC) = 1),
+at{d + 1} AS (
+    SELECT a.q, a.level, a.base, a.id, a.label, a.w,
+           CASE WHEN s.f IS NULL THEN a.node
+                WHEN b.b BETWEEN 1 AND s.cut OR (b.b = 0 AND s.m) THEN 2 * a.node + 1
+                ELSE 2 * a.node + 2 END AS node
+    FROM at{d} a LEFT JOIN split{d} s ON s.q = a.q AND s.node = a.node
+    LEFT JOIN bins b ON b.id = a.id AND b.f = s.f)""")
+    names = " ".join(f"WHEN {f} THEN '{name}'" for f, name in enumerate(features))
+    matrix = FINAL["training_matrix"]
+    return f"""
+WITH matrix AS (
+    SELECT row_number() OVER () AS id, label, source_quality AS w, {", ".join(features)}
+    FROM ({matrix}) WHERE target = 'latency'),
+bins AS ({long}),
+levels AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 0.5::DOUBLE), (2, 0.9::DOUBLE)) v(q, level)),
+copies AS (SELECT id, label, unnest(range(w::INT)) AS copy FROM matrix),
+bases AS (
+    SELECT q, level, CASE q WHEN 0 THEN (SELECT quantile_cont(label, 0.1) FROM copies)
+        WHEN 1 THEN (SELECT quantile_cont(label, 0.5) FROM copies)
+        ELSE (SELECT quantile_cont(label, 0.9) FROM copies) END AS base FROM levels),
+{",".join(levels)},
+leaves AS (
+    SELECT q, node, CASE q WHEN 0 THEN quantile_cont(x, 0.1) WHEN 1 THEN quantile_cont(x, 0.5)
+                           ELSE quantile_cont(x, 0.9) END AS value
+    FROM (SELECT q, node, label - base AS x, unnest(range(w::INT)) AS copy FROM at2)
+    GROUP BY q, node),
+nodes AS (
+    SELECT q, node, f, cut, m, NULL::DOUBLE AS value FROM (
+        SELECT * FROM split0 UNION ALL SELECT * FROM split1)
+    UNION ALL SELECT q, node, NULL, NULL, NULL, value FROM leaves)
+SELECT n.q, n.node::INT AS node, CASE f {names} END AS feature, n.cut::INT AS cut,
+       m AS missing_left, {r('value')} AS value, {r('base')} AS base
+FROM nodes n JOIN bases b ON b.q = n.q"""
+
+
+FINAL["boosted_tree"] = _boosted_tree()
+
+_FACTS = f"""
+    SELECT l.target, count(*) AS rows,
+           count(*) FILTER (EXISTS (
+               SELECT 1 FROM labels_all p WHERE p.h3_cell = l.h3_cell AND p.target = l.target
+                   AND p.hour_utc = l.hour_utc - {DAY})) AS fair_rows,
+           true AS in_order, true AS covers, true AS beats_persistence
+    FROM labels_all l JOIN cutoffs c ON c.target = l.target AND c.source = l.source
+    WHERE l.hour_utc >= c.cutoff GROUP BY l.target"""
+FINAL["model_checks"] = FINAL["boosted_report"] = _FACTS
+FINAL["forecast_shape"] = f"""
+    SELECT DISTINCT h3_cell, 48::BIGINT AS hours, {NOW}::BIGINT AS first,
+           ({NOW} + 47 * 3600)::BIGINT AS last, true AS latency_in_order, true AS dl_in_order
+    FROM readings"""
+
+
 def sql(name: str) -> str:
     body = FINAL[name].strip()
     views = ",\n".join(f"{n} AS ({CTES[n]})" for n in _needed(body))

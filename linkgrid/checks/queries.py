@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkgrid import schemas
 from linkgrid.checks import inputs as I
 from linkgrid.functions import cells as C
 from linkgrid.functions.quantiles import exact_quantiles
@@ -22,6 +24,8 @@ from linkgrid.functions.times import (
 from linkgrid.functions.units import BAND_FIELDS, device_measurements, source_quality
 from linkgrid.operators import (
     bandcache,
+    boosting,
+    centres,
     dish,
     fallback,
     floods,
@@ -40,7 +44,7 @@ from linkgrid.operators import (
 )
 from linkgrid.plans import serving, training
 from linkgrid.session import shared_dir
-from linkgrid.sources import files
+from linkgrid.sources import files, marts, versions
 from linkgrid.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +97,29 @@ def cell_hierarchy(spark, sf):
     )
 
 
+def _foreign(spark, sf):
+    """Readings whose cell is, at every fifth site, an id in the foreign mode, or missing."""
+    foreign = F.col("h3_cell").bitwiseOR(F.lit(1 << 59))
+    cell = F.when(F.col("site") % 5 == 0, foreign).when(
+        F.col("event_id") % 211 != 0, F.col("h3_cell"))
+    rows = I.readings(spark, sf)
+    known = rows.where("site % 10 = 0").select(foreign.alias("h3_cell"), "lat", "lon").distinct()
+    return rows.select("event_id", cell.alias("h3_cell")), known
+
+
+@query
+def foreign_centres(spark, sf):
+    """Centres of own and of foreign cells, by cell."""
+    placed = centres.with_centres(*_foreign(spark, sf))
+    return publish(placed.groupBy("h3_cell", "lat", "lon").agg(F.count("*").alias("rows")))
+
+
+@query
+def unplaced_cells(spark, sf):
+    """What has no centre is listed, with its number of rows."""
+    return centres.unplaced(centres.with_centres(*_foreign(spark, sf)))
+
+
 @query
 def time_feature_rows(spark, sf):
     rows = I.readings(spark, sf)
@@ -234,15 +261,45 @@ def null_gate(spark, sf):
     )
 
 
-@query
-def history_merge(spark, sf):
+def _probe_pulls(spark, sf):
+    """The probe mart as an older pull and a newer one that overlaps it by two days."""
     mart = I.mart(spark, sf, "probe")
     split_at = F.unix_seconds("hour_utc") - 1_704_067_200
     old = mart.where(split_at < 20 * 86_400)
     new = mart.where(split_at >= 18 * 86_400).withColumns(
         {"rtt_ms_median": F.col("rtt_ms_median") + 1.0, "samples": F.col("samples") + 1}
     )
-    return publish(history.merge_hourly(old, new, keep_days=21))
+    return old, new
+
+
+@query
+def history_merge(spark, sf):
+    return publish(history.merge_hourly(*_probe_pulls(spark, sf), keep_days=21))
+
+
+@query
+def mart_upsert(spark, sf):
+    """The same pulls into a stored mart with retention, the newer one twice; read from storage."""
+    path = shared_dir(spark, "mart-upsert")
+    old, new = _probe_pulls(spark, sf)
+    gate = versions.Gate(1, ("h3_cell", "hour_utc", "rtt_ms_median"))
+    for pull in (old, new, new):
+        marts.upsert_mart(pull, path, order=[F.desc("samples")], keep_days=21, gate=gate,
+                          schema=schemas.PROBE_HOURLY)
+    return publish(marts.read_mart(spark, path, schemas.PROBE_HOURLY))
+
+
+@query
+def mart_versions(spark, sf):
+    """What each version of that mart held, day by day, after later commits."""
+    path = shared_dir(spark, "mart-versions")
+    for pull in _probe_pulls(spark, sf):
+        marts.upsert_mart(pull, path, order=[F.desc("samples")])
+    found = [
+        versions.read(spark, path, number=n).groupBy("date").agg(
+            F.count("*").alias("hours"), F.sum("samples").alias("samples"))
+        .select(F.lit(n).alias("version"), "*") for n in versions.numbers(spark, path)]
+    return publish(functools.reduce(DataFrame.unionByName, found))
 
 
 # --- keys and features ------------------------------------------------------------
@@ -453,8 +510,11 @@ def cache_gap(spark, sf):
 
 @query
 def cache_upsert(spark, sf):
-    fresh = bandcache.payload_bands(_fresh(spark, sf), "v3")
-    return publish(bandcache.upsert_bands(_cache(spark, sf), fresh))
+    """Bands into the stored cache, and the cache as it is read back."""
+    path = shared_dir(spark, "band-cache")
+    bandcache.store_bands(_cache(spark, sf), path)
+    bandcache.store_bands(bandcache.payload_bands(_fresh(spark, sf), "v3"), path)
+    return publish(bandcache.stored_bands(spark, path))
 
 
 # --- takeaways --------------------------------------------------------------------
@@ -541,6 +601,14 @@ def arrival_flood(spark, sf):
     )
 
 
+@query
+def admitted_arrivals(spark, sf):
+    """Arrivals under a cap where those turned away do not count."""
+    arrivals = I.readings(spark, sf).select("user_id", "ts")
+    found = floods.admitted_arrivals(arrivals, "user_id", "ts", 6 * 3600, 3)
+    return found.select("user_id", F.unix_micros("ts").alias("ts_us"), "arrivals", "admitted")
+
+
 # --- sky --------------------------------------------------------------------------
 
 
@@ -572,16 +640,36 @@ def stream_hourly_median(spark, sf):
     return _hourly(spark, quality.valid_measurements(I.as_measurements(_event_stream(spark, sf))))
 
 
-def _hourly(spark, live):
+def _hourly(spark, live, again=False):
     out = shared_dir(spark, "stream-hourly")
-    ingest.start_hourly_upsert(live, f"{out}/raw", f"{out}/mart", f"{out}/log").awaitTermination()
-    rows = spark.read.parquet(f"{out}/mart")
-    return publish(rows.select("h3_cell", "hour_utc", "target", "value_median", "samples"))
+
+    def run():
+        ingest.start_hourly_upsert(
+            live, f"{out}/raw", f"{out}/mart", f"{out}/log").awaitTermination()
+
+    run()
+    if again:
+        forget_last_batch(spark, f"{out}/log")
+        run()
+    rows = marts.read_mart(spark, f"{out}/mart", schemas.USER_HOURLY)
+    return publish(rows)
+
+
+def forget_last_batch(spark, checkpoint):
+    """Leaves a stream as if it had died before its last batch was noted as done."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    last = max(int(n) for n in names if n.isdigit())
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/{last}"), False)
 
 
 @query
 def stream_late_rows(spark, sf):
-    """The same feed in several files: every fourth row comes twice, some come a day late."""
+    """The same feed in many files: every fourth row comes twice, some come six days late.
+
+    The last batch runs twice.
+    """
     rows = quality.valid_measurements(I.as_measurements(I.readings(spark, sf)))
     folder = shared_dir(spark, "stream-files")
     number = F.col("measurement_id")
@@ -591,11 +679,13 @@ def stream_late_rows(spark, sf):
     split = shared_dir(spark, "stream-parts")
     rows.withColumn("part", F.explode(again)).write.partitionBy("part").parquet(split)
     parts = spark.read.parquet(split)
-    for part in sorted(r["part"] for r in parts.select("part").distinct().collect()):
-        own = parts.where(F.col("part") == part).drop("part")
-        own.coalesce(1).write.mode("append").parquet(folder)
-    feed = ingest.file_stream(spark, folder, rows.schema, files_per_trigger=1)
-    return _hourly(spark, feed)
+    names = sorted(r["part"] for r in parts.select("part").distinct().collect())
+    for part in names:
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(folder)
+    listed = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    feed = ingest.file_stream(
+        spark, folder, rows.schema, files_per_trigger=-(-listed // len(names)))
+    return _hourly(spark, feed, again=True)
 
 
 @query
@@ -617,12 +707,16 @@ def stream_below_q10(spark, sf):
 
 @query
 def stream_arrivals(spark, sf):
+    """Sliding counts of a feed whose last batch runs twice."""
     live = _event_stream(spark, sf).select("user_id", "ts")
     out = shared_dir(spark, "stream-arrivals")
-    ingest.start_arrival_upsert(
-        live, "user_id", "6 hours", "3 hours", 2, f"{out}/raw", f"{out}/mart", f"{out}/log"
-    ).awaitTermination()
-    found = spark.read.parquet(f"{out}/mart")
+    for turn in range(2):
+        if turn:
+            forget_last_batch(spark, f"{out}/log")
+        ingest.start_arrival_upsert(
+            live, "user_id", "6 hours", "3 hours", 2, f"{out}/raw", f"{out}/mart", f"{out}/log"
+        ).awaitTermination()
+    found = versions.read(spark, f"{out}/mart")
     return publish(found.select("user_id", "window_start", "arrivals", "over_cap"))
 
 
@@ -639,6 +733,77 @@ def model_report(spark, sf):
     return publish(report)
 
 
+#: A small tree whose cuts are given, so that SQL can state it.
+STUMP = boosting.BoostParams(
+    rounds=1, depth=2, learning_rate=1.0, min_leaf=20, leaf_accuracy=None,
+    features=("day_of_week", "cell_lat", "sats_visible", "cell_median_7d"),
+    edges={"day_of_week": (0, 1, 2, 3, 4, 5), "cell_lat": (-40, -20, 0, 20),
+           "sats_visible": (1, 3, 5, 7), "cell_median_7d": (20, 30, 40, 50, 60)})
+
+
+@query
+def boosted_tree(spark, sf):
+    """The first boosted tree of each quantile: splits, missing directions, leaf values."""
+    rows = publish(_matrix(spark, sf)).where(F.col("target") == "latency")
+    booster = boosting.fit_booster(rows, STUMP)
+    found = []
+    for q, trees in enumerate(booster.trees):
+        tree = trees[0]
+        for node, feature in enumerate(tree.feature):
+            parent = (node - 1) // 2
+            if node and tree.feature[parent] < 0:
+                continue
+            inner = feature >= 0
+            found.append((
+                q, node, STUMP.features[feature] if inner else None,
+                tree.cut[node] if inner else None, bool(tree.missing_left[node]) if inner else None,
+                None if inner else float(tree.value[node]), float(booster.base[q])))
+    return publish(spark.createDataFrame(
+        found, "q int, node int, feature string, cut int, missing_left boolean,"
+               " value double, base double"))
+
+
+@query
+def boosted_report(spark, sf):
+    """Boosted quantiles on held-out rows, in what holds of any good model: see model_checks."""
+    params = boosting.BoostParams(rounds=12, depth=3, bins=16, learning_rate=0.3)
+    return _model_facts(spark, sf, params)
+
+
+@query
+def model_checks(spark, sf):
+    """Forests on held-out rows: how many there are, bands in order, coverage near its aim."""
+    return _model_facts(spark, sf, forest.ForestParams(trees=8, depth=5))
+
+
+def _model_facts(spark, sf, params):
+    table = shared_dir(spark, "matrix")
+    split.stratified_split(_matrix(spark, sf)).write.parquet(table)
+    rows = spark.read.parquet(table)
+    model, report = training.train_and_evaluate(rows, params)
+    test = rows.where(F.col("is_test"))
+    scored = forest.score_rows(model, test).groupBy("target").agg(
+        F.bool_and((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))).alias("in_order"))
+    return report.join(scored, "target").select(
+        "target", "rows", "fair_rows", "in_order",
+        F.col("coverage").between(0.6, 0.95).alias("covers"),
+        (F.col("q50_mae") < F.col("persistence_mae")).alias("beats_persistence"))
+
+
+@query
+def forecast_shape(spark, sf):
+    """What the 48-hour forecast of the forests always is: whole, in order, by cell."""
+    payload = quantile_forecast(spark, sf)
+
+    def ordered(target):
+        low, mid, high = (F.col(f"{target}_{b}") for b in BAND_FIELDS)
+        return F.bool_and((low <= mid) & (mid <= high)).alias(f"{target}_in_order")
+
+    return payload.groupBy("h3_cell").agg(
+        F.count("*").alias("hours"), F.min("hour_utc").alias("first"),
+        F.max("hour_utc").alias("last"), ordered("latency"), ordered("dl"))
+
+
 @query
 def quantile_forecast(spark, sf):
     """48 hours for all cells from a model trained on the marts, with takeaways' inputs."""
@@ -670,6 +835,15 @@ def forecast_of(model, spark, sf):
 # --- readers: a table written in its raw format, then read as the jobs read it ----------
 
 
+PAGE_ROWS = 500
+
+
+def _pages(rows, key, item, name):
+    """JSON arrays of ``PAGE_ROWS`` items at most, packed by consecutive keys."""
+    page = F.floor(F.col(key) / PAGE_ROWS).alias("page")
+    return rows.groupBy(page).agg(F.collect_list(item).alias(name))
+
+
 @query
 def probe_registry(spark, sf):
     """Pages of a probe registry as JSON, one page per file."""
@@ -677,8 +851,7 @@ def probe_registry(spark, sf):
     point = F.when(key % 17 != 0, F.array(key % 360 - 180.0, key % 170 - 85.0))
     item = F.struct(key.alias("id"), F.struct(
         F.lit("Point").alias("type"), point.alias("coordinates")).alias("geometry"))
-    pages = I.table(spark, sf, "customer").groupBy((key % 8).alias("page")).agg(
-        F.collect_list(item).alias("results"))
+    pages = _pages(I.table(spark, sf, "customer"), "c_custkey", item, "results")
     folder = shared_dir(spark, "raw-probes")
     pages.select("page", F.to_json(F.struct("results")).alias("value")).write.partitionBy(
         "page").text(folder)
@@ -688,23 +861,43 @@ def probe_registry(spark, sf):
         F.col("geometry.coordinates")[1].alias("lat")))
 
 
-@query
-def ping_results(spark, sf):
-    """Ping results as JSON text, an array per file."""
+def _ping_pages(spark, sf, value):
     event = F.col("event_id")
     item = F.struct(
-        F.col("user_id").alias("prb_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.when(event % 101 != 0, F.col("user_id")).alias("prb_id"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
         F.when(event % 5 != 0, F.col("value")).alias("min"))
-    arrays = I.table(spark, sf, "events").groupBy((event % 32).alias("page")).agg(
-        F.collect_list(item).alias("items"))
+    arrays = _pages(I.table(spark, sf, "events"), "event_id", item, "items")
     folder = shared_dir(spark, "raw-pings")
-    arrays.select("page", F.to_json("items").alias("value")).write.partitionBy("page").text(folder)
-    rows = files.read_pings(spark, folder)
+    arrays.select("page", value.alias("value")).write.partitionBy("page").text(folder)
+    return folder
+
+
+@query
+def ping_results(spark, sf):
+    """Ping results as JSON text, an array per file; items without a probe are set aside."""
+    folder = _ping_pages(spark, sf, F.to_json("items"))
+    rows = files.read_pings(spark, folder, shared_dir(spark, "rejected-items"))
     return publish(rows.groupBy("prb_id").agg(
         F.count("*").alias("rows"), F.count("min").alias("known"),
         F.min("timestamp").alias("first"), F.max("min").alias("worst")))
 
 
+@query
+def broken_files(spark, sf):
+    """The same files, every third cut off in the middle: what is read and what is rejected."""
+    text = F.to_json("items")
+    cut = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
+    folder = _ping_pages(spark, sf, F.when(F.col("page") % 3 == 0, cut).otherwise(text))
+    rejected = shared_dir(spark, "rejected-files")
+    read = files.read_pings(spark, folder, rejected).agg(F.count("*").alias("rows")).select(
+        F.lit("read").alias("reason"), F.lit(None).cast("bigint").alias("page"), "rows")
+    page = F.regexp_extract("file", "page=([0-9]+)", 1).cast("bigint")
+    lost = spark.read.parquet(rejected).groupBy("reason", page.alias("page")).agg(
+        F.count("*").alias("rows"))
+    return read.unionByName(lost)
+
+
 @query
 def rain_fade_csv(spark, sf):
     """Rain fade measurements as CSV files with a header."""

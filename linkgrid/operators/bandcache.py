@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgrid.functions.units import PAYLOAD_TARGETS
 from linkgrid.operators.history import keep_best
+from linkgrid.schemas import BAND_CACHE
+from linkgrid.sources.marts import read_mart, upsert_mart
 
 KEYS = ("h3_cell", "hour_utc", "metric")
 _BAND = ("q10", "q50", "q90")
@@ -38,6 +40,19 @@ def upsert_bands(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return keep_best(both, KEYS, order).drop("__new")
 
 
+def store_bands(fresh: DataFrame, path: str, keep_days: int | None = None) -> None:
+    """Fresh bands into the stored cache: they win their (cell, hour, metric).
+
+    Only the days they touch are read and written; one commit, whoever reads meanwhile.
+    """
+    order = [F.desc("model_version"), F.desc("q50")]
+    upsert_mart(fresh, path, KEYS, order, keep_days=keep_days, schema=BAND_CACHE)
+
+
+def stored_bands(spark: SparkSession, path: str) -> DataFrame:
+    return read_mart(spark, path, BAND_CACHE)
+
+
 def cached_payload(cache: DataFrame, wanted: DataFrame, model_version: str) -> DataFrame:
     """Cached entries for the wanted (cell, hour) pairs under one version, a struct per metric.
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from linkgrid.functions.quantiles import exact_quantiles
 from linkgrid.functions.units import BAND_FIELDS, QUANTILES, TARGETS
+from linkgrid.operators.boosting import BoostedQuantiles, BoostParams, fit_boosters
 from linkgrid.operators.matrix import FEATURE_COLUMNS
 from linkgrid.operators.metrics import conformal_offsets
 from linkgrid.operators.split import stratified_split
@@ -172,7 +173,18 @@ def fit_forests(
     return QuantileForest(forests, leaves)
 
 
-def score_rows(model: QuantileForest, rows: DataFrame, calibrated: bool = True) -> DataFrame:
+def fit_model(rows: DataFrame, targets: Sequence[str] | None = None,
+              params: ForestParams | BoostParams = ForestParams()) -> QuantileForest | BoostedQuantiles:
+    """Forests or boosted trees, as the parameters say."""
+    if isinstance(params, BoostParams):
+        targets = available_targets(rows) if targets is None else list(targets)
+        if not targets:
+            raise ValueError("the training rows hold no known target")
+        return fit_boosters(rows, targets, params)
+    return fit_forests(rows, targets, params)
+
+
+def score_rows(model: QuantileForest | BoostedQuantiles, rows: DataFrame, calibrated: bool = True) -> DataFrame:
     """Labelled rows of the trained targets with q10, q50 and q90 of their own target.
 
     Each row passes only its own target's trees.
@@ -184,7 +196,8 @@ def score_rows(model: QuantileForest, rows: DataFrame, calibrated: bool = True)
     return reduce(DataFrame.unionByName, parts)
 
 
-def fit_calibration(train: DataFrame, params: ForestParams = ForestParams()) -> dict[str, float]:
+def fit_calibration(train: DataFrame,
+                    params: ForestParams | BoostParams = ForestParams()) -> dict[str, float]:
     """Offset per target from a proxy fit on the older part of each group's training rows.
 
     Empty when the rows cannot be split. At most one number per target reaches the driver.
@@ -197,7 +210,7 @@ def fit_calibration(train: DataFrame, params: ForestParams = ForestParams()) ->
     targets = [t for t in available_targets(older) if t in available_targets(held)]
     if not targets:
         return {}
-    proxy = fit_forests(older, targets, params)
+    proxy = fit_model(older, targets, params)
     scored = score_rows(proxy, held.where(F.col("target").isin(targets)), calibrated=False)
     found = conformal_offsets(scored).select("target", "conformal_offset").collect()
     return {r["target"]: r["conformal_offset"] for r in found}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkgrid.sources.versions import Rejected
+
 # Measurement sources that are accepted, and the size of one batch.
 MEASUREMENT_SOURCES = ("reporter", "browser")
 BATCH_ROWS = (1, 1000)
@@ -37,8 +39,8 @@ def broken_rules(
     return listed.select("g.rule", "g.found", "g.allowed")
 
 
-class MartRejected(ValueError):
-    """A mart that may not replace the one before it."""
+#: A mart that may not replace the one before it.
+MartRejected = Rejected
 
 
 def pass_gate(

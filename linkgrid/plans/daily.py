@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkgrid import schemas
-from linkgrid.operators import fallback, history, hourly, labels, quality, visibility, weather
+from linkgrid.operators import fallback, hourly, labels, quality, visibility, weather
 from linkgrid.plans.training import ORBITAL, PROBE, TEST, TILES, USER, WEATHER
-from linkgrid.session import shared_dir
-from linkgrid.sources.marts import read_mart, write_mart
+from linkgrid.sources.marts import read_mart, upsert_mart, write_mart
+from linkgrid.sources.versions import Gate
 
 #: A mart of fewer rows does not replace the one before it.
 MIN_ROWS = 1
@@ -17,45 +18,38 @@ STATS, PRIORS, ACTIVE = "cell_label_stats", "latitude_priors", "active_cells"
 
 def _replace(df: DataFrame, path: str, required: tuple[str, ...], schema: str,
              sort: tuple[str, ...] = ("h3_cell", "hour_utc")) -> None:
-    """Stage a mart, pass the gate on what was staged, and only then replace the old one."""
-    spark = df.sparkSession
-    staged = shared_dir(spark, "staged-mart")
-    write_mart(df, staged, sort, schema)
-    fresh = read_mart(spark, staged, schema)
-    quality.pass_gate(fresh, required, MIN_ROWS)
-    write_mart(fresh, path, sort, schema)
+    """Write a mart once; its gate counts while it is written and decides on the commit."""
+    write_mart(df, path, sort, schema, Gate(MIN_ROWS, required))
 
 
-def _merged(spark: SparkSession, path: str, schema: str, new: DataFrame, keep_days: int,
-            keys: tuple[str, ...] = ("h3_cell", "hour_utc")) -> DataFrame:
-    return history.merge_hourly(read_mart(spark, path, schema), new, keep_days, keys)
+def _upsert(new: DataFrame, path: str, required: tuple[str, ...], schema: str, keep_days: int,
+            keys: tuple[str, ...] = ("h3_cell", "hour_utc")) -> None:
+    """A pull into an hourly mart: only the days it touches are read and written."""
+    upsert_mart(new, path, keys, [F.desc("samples")], keep_days=keep_days,
+                gate=Gate(MIN_ROWS, required), schema=schema)
 
 
 def ingest_pings(spark: SparkSession, pings: DataFrame, probes: DataFrame, marts: str,
                  keep_days: int = 90) -> None:
     """A day's pings into the hourly probe mart, with history kept and trimmed."""
-    path = f"{marts}/{PROBE}"
     new = hourly.probe_hourly(pings, hourly.probe_cells(probes))
-    merged = _merged(spark, path, schemas.PROBE_HOURLY, new, keep_days)
-    _replace(merged, path, ("h3_cell", "hour_utc", "rtt_ms_median"), schemas.PROBE_HOURLY)
+    _upsert(new, f"{marts}/{PROBE}", ("h3_cell", "hour_utc", "rtt_ms_median"),
+            schemas.PROBE_HOURLY, keep_days)
 
 
 def ingest_tests(spark: SparkSession, points: DataFrame, marts: str,
                  keep_days: int = 90) -> None:
     """Speed tests of any days into their mart; other days stay."""
-    path = f"{marts}/{TEST}"
-    merged = _merged(spark, path, schemas.TEST_HOURLY, hourly.test_hourly(points), keep_days)
-    _replace(merged, path, ("h3_cell", "hour_utc"), schemas.TEST_HOURLY)
+    _upsert(hourly.test_hourly(points), f"{marts}/{TEST}", ("h3_cell", "hour_utc"),
+            schemas.TEST_HOURLY, keep_days)
 
 
 def ingest_users(spark: SparkSession, measurements: DataFrame, marts: str,
                  keep_days: int = 90) -> None:
     """Users' readings of whole hours into their mart; other hours stay."""
-    path = f"{marts}/{USER}"
     new = hourly.user_hourly(quality.valid_measurements(measurements))
-    merged = _merged(
-        spark, path, schemas.USER_HOURLY, new, keep_days, ("h3_cell", "hour_utc", "target"))
-    _replace(merged, path, ("h3_cell", "hour_utc", "value_median"), schemas.USER_HOURLY)
+    _upsert(new, f"{marts}/{USER}", ("h3_cell", "hour_utc", "value_median"),
+            schemas.USER_HOURLY, keep_days, ("h3_cell", "hour_utc", "target"))
 
 
 def ingest_tiles(spark: SparkSession, tiles: DataFrame, marts: str) -> None:

@@ -29,10 +29,14 @@ def forecast_cells(model: QuantileForest, cells: DataFrame, now: datetime, preci
         return forecast_pairs(model, pairs, precip, orbital, tiles, medians)
     gap = bandcache.missing_pairs(cache, pairs, version)
     computed = forecast_pairs(model, gap, precip, orbital, tiles, medians)
+    return _cached(cache, pairs, precip, version).unionByName(computed)
+
+
+def _cached(cache: DataFrame, pairs: DataFrame, precip: DataFrame, version: str) -> DataFrame:
+    """Payload rows of the pairs that the cache has; weather is not cached and joins again."""
     cached = bandcache.cached_payload(cache, pairs, version)
-    # Weather is not cached with the bands; it joins again.
     rain = precip.select("h3_cell", "hour_utc", "precip_mm_h")
-    cached = cached.join(rain, ["h3_cell", "hour_utc"], "left").select(
+    return cached.join(rain, ["h3_cell", "hour_utc"], "left").select(
         "h3_cell",
         "hour_utc",
         "basis",
@@ -40,7 +44,32 @@ def forecast_cells(model: QuantileForest, cells: DataFrame, now: datetime, preci
         "dl",
         F.struct(F.coalesce("precip_mm_h", F.lit(0.0)).alias("precip_mm_h")).alias("weather"),
     )
-    return cached.unionByName(computed)
+
+
+def serve_cells(model: QuantileForest, cells: DataFrame, now: datetime, precip: DataFrame,
+                orbital: DataFrame, tiles: DataFrame, medians: DataFrame, cache: str,
+                version: str) -> DataFrame:
+    """The payload through the stored cache at ``cache``: what was missing is written back.
+
+    What the cache lacks is predicted once, stored as bands, and then the whole payload is read
+    from the cache; only pairs without any band (no model) are taken from the prediction.
+    """
+    spark = cells.sparkSession
+    pairs = forecast.horizon_pairs(cells, now)
+    gap = bandcache.missing_pairs(bandcache.stored_bands(spark, cache), pairs, version)
+    wanted = shared_dir(spark, "forecast-wanted")
+    gap.write.parquet(wanted)
+    gap = spark.read.schema(gap.schema).parquet(wanted)
+    if gap.isEmpty():
+        return _cached(bandcache.stored_bands(spark, cache), pairs, precip, version)
+    path = shared_dir(spark, "forecast-gap")
+    computed = forecast_pairs(model, gap, precip, orbital, tiles, medians)
+    computed.write.parquet(path)
+    computed = spark.read.schema(computed.schema).parquet(path)
+    bandcache.store_bands(bandcache.payload_bands(computed, version), cache)
+    served = _cached(bandcache.stored_bands(spark, cache), pairs, precip, version)
+    bare = computed.where(F.col("latency").isNull() & F.col("dl").isNull())
+    return served.unionByName(bare)
 
 
 def cell_takeaways(payload: DataFrame, medians: DataFrame) -> DataFrame:

@@ -10,29 +10,68 @@ from linkgrid import schemas
 # Element-set snapshots carry their UTC time in the file name.
 SNAPSHOT_NAME = r"gp_(\d{8}T\d{6}Z)\.json$"
 SNAPSHOT_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
+#: Where Spark puts the text of a file that it can't parse.
+BROKEN = "_broken"
 
 
-def read_probes(spark: SparkSession, path: str) -> DataFrame:
+def read_probes(spark: SparkSession, path: str, rejected: str | None = None) -> DataFrame:
     """Probe registry: a JSON array per file, or a page with the array in ``results``."""
-    return _read_listed(spark, path, schemas.PROBES, ("id", "geometry"))
+    return _read_listed(spark, path, schemas.PROBES, "id", rejected)
 
 
-def read_pings(spark: SparkSession, path: str) -> DataFrame:
+def read_pings(spark: SparkSession, path: str, rejected: str | None = None) -> DataFrame:
     """Ping results: a JSON array per file, or a page with the array in ``results``."""
-    return _read_listed(spark, path, schemas.PINGS, ("prb_id", "timestamp", "min"))
+    return _read_listed(spark, path, schemas.PINGS, "prb_id", rejected)
 
 
-def _read_listed(
-    spark: SparkSession, path: str, item: str, names: tuple[str, ...]
-) -> DataFrame:
-    """Items of an array or of a ``{"results": [...]}`` page, both read with one schema."""
+def _read_listed(spark: SparkSession, path: str, item: str, key: str,
+                 rejected: str | None) -> DataFrame:
+    """Items of an array or of a ``{"results": [...]}`` page, both read with one schema.
+
+    Nothing is lost without a word: without ``rejected`` a file that can't be parsed, or an item
+    without ``key``, ends the job with the name of the file. With it, what can't be used is
+    appended there (see ``rejects_of``), and all else is read.
+    """
+    parsed = parse_listed(spark, path, item, key)
+    if rejected is not None:
+        rejects_of(parsed).write.mode("append").parquet(rejected)
+        usable = F.col("reason").isNull()
+    else:
+        lost = F.concat(F.col("file"), F.lit(": "), "reason")
+        usable = F.when(F.col("reason").isNull(), F.lit(True)).otherwise(
+            F.raise_error(lost).cast("boolean"))
+    return parsed.where(usable).select("item.*")
+
+
+def parse_listed(spark: SparkSession, path: str, item: str, key: str) -> DataFrame:
+    """(file, item, reason, text): every item of every file, and the files that have none.
+
+    ``reason`` says why a row can't be used, NULL if it can: the file is no JSON of the schema
+    (then ``text`` is all of it), or the item lacks ``key`` (then it is the item).
+    """
+    names = [f.name for f in spark.createDataFrame([], item).schema.fields]
     rows = (
-        spark.read.schema(f"{item}, results array<struct<{item}>>")
-        .option("multiLine", True)
+        spark.read.schema(f"{item}, results array<struct<{item}>>, {BROKEN} string")
+        .option("multiLine", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BROKEN)
         .json(path)
     )
-    items = rows.select(F.explode(F.coalesce("results", F.array(F.struct(*names)))).alias("item"))
-    return items.select("item.*").where(F.col(names[0]).isNotNull())
+    own = F.struct(*names)
+    items = rows.select(
+        F.col("_metadata.file_path").alias("file"), F.col(BROKEN).alias("broken"),
+        F.explode(F.when(F.col(BROKEN).isNotNull(), F.array(F.lit(None).cast(f"struct<{item}>")))
+                  .otherwise(F.coalesce("results", F.array(own)))).alias("item"))
+    reason = F.when(F.col("broken").isNotNull(), "not parsed").when(
+        F.col(f"item.{key}").isNull(), f"no {key}")
+    return items.select(
+        "file", "item", reason.alias("reason"),
+        F.when(F.col("broken").isNotNull(), F.col("broken")).when(
+            reason.isNotNull(), F.to_json("item")).alias("text"))
+
+
+def rejects_of(parsed: DataFrame) -> DataFrame:
+    """One row for each file or item that can't be used: file, reason, text."""
+    return parsed.where(F.col("reason").isNotNull()).select("file", "reason", "text")
 
 
 def read_rain_fade(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
@@ -57,11 +96,20 @@ def read_tiles(spark: SparkSession, root: str, year: int, quarter: int) -> DataF
     return spark.read.option("basePath", root).parquet(quarter_path(root, year, quarter))
 
 
-def parse_weather(df: DataFrame, body: str) -> DataFrame:
-    """JSON text column to the hourly struct, other columns kept."""
+def parse_weather(df: DataFrame, body: str, reason: str | None = None) -> DataFrame:
+    """JSON text column to the hourly struct, other columns kept.
+
+    A text that can't be parsed gives a NULL struct; with ``reason``, a column of that name says
+    so, for a rejects table.
+    """
     kept = [c for c in df.columns if c != body]
-    parsed = F.from_json(body, schemas.WEATHER_SERIES)
-    return df.select(*kept, parsed.alias("__w")).select(*kept, "__w.hourly")
+    parsed = F.from_json(body, f"{schemas.WEATHER_SERIES}, {BROKEN} string",
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    rows = df.select(*kept, parsed.alias("__w"))
+    broken = F.col(f"__w.{BROKEN}").isNotNull()
+    why = [] if reason is None else [F.when(broken, "not parsed").when(
+        F.col("__w.hourly").isNull(), "no hourly block").alias(reason)]
+    return rows.select(*kept, F.when(~broken, F.col("__w.hourly")).alias("hourly"), *why)
 
 
 def hourly_weather(df: DataFrame) -> DataFrame:

@@ -1,13 +1,20 @@
-"""Marts as Parquet folders with fixed schemas, on any file system Hadoop can reach."""
+"""Marts with fixed schemas as versioned tables, on any file system Hadoop can reach."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgrid.operators.history import keep_best
+from linkgrid.session import shared_dir
+from linkgrid.sources import versions
+
+#: The column that marts kept by days are partitioned by.
+DAY = "date"
+
 
 def _path(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,9 +32,7 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 
 def read_mart(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The mart with its fixed schema; a mart that does not exist yet reads as empty."""
-    if not path_exists(spark, path):
-        return empty(spark, schema)
-    return spark.read.schema(schema).parquet(path)
+    return versions.read(spark, path, schema)
 
 
 def write_mart(
@@ -35,56 +40,87 @@ def write_mart(
     path: str,
     sort: Sequence[str] = ("h3_cell", "hour_utc"),
     schema: str | None = None,
+    gate: versions.Gate | None = None,
 ) -> None:
-    """Replace a mart. Written beside it first and then moved in, so a failed job leaves the
-    old mart, and a job may read the mart it replaces. Zero rows make an empty mart.
+    """Replace a mart by one commit, if it passes ``gate``. Zero rows make an empty mart.
 
-    Rows are sorted within each file, for row-group skipping by cell and hour.
+    Rows are sorted within each file, for row-group skipping by cell and hour. A job may read
+    the mart it replaces; readers see the old or the new one.
     """
-    spark = df.sparkSession
     if schema is not None:
-        wanted = empty(spark, schema).schema
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
-    keys = [c for c in sort if c in df.columns]
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").parquet(staged)
-    fs, target = _path(spark, path)
-    _, source = _path(spark, staged)
-    aside = None
-    if fs.exists(target):
-        _, aside = _path(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-        fs.rename(target, aside)
-    if not fs.rename(source, target):
-        if aside is not None:
-            fs.rename(aside, target)
-        raise OSError(f"could not move the new mart to {path}")
-    if aside is not None:
-        fs.delete(aside, True)
-
-
-def write_days(df: DataFrame, path: str, day: str = "date", rows_per_file: int = 5_000_000,
-               keys: Sequence[str] = ("h3_cell", "hour_utc")) -> None:
-    """Replace only the day partitions that ``df`` has rows for.
-
-    Rows are rebalanced by day, which splits a heavy day over tasks of the advised size.
-    ``df`` must not read ``path`` itself; stage it first (as the stream upsert does).
+        df = _in_schema(df, schema)
+    versions.replace(df, path, sort, gate=gate)
+
+
+def _in_schema(df: DataFrame, schema: str) -> DataFrame:
+    wanted = empty(df.sparkSession, schema).schema
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def upsert_mart(
+    fresh: DataFrame,
+    path: str,
+    keys: Sequence[str] = ("h3_cell", "hour_utc"),
+    order: Sequence[Column] = (),
+    time: str = "hour_utc",
+    keep_days: int | None = None,
+    gate: versions.Gate | None = None,
+    schema: str | None = None,
+) -> None:
+    """Fresh rows win their key; only the days they touch are read and written.
+
+    Of fresh rows with one key the first by ``order`` counts; a row without a time has no place
+    in a mart kept by days, and is left out. With ``keep_days``, hours that lie so many days or
+    more before the newest one go: whole days leave the manifest, the day of the bound is
+    written anew. All of it is one commit, repeated from the newest version if another writer
+    came first; running it again changes nothing. ``gate`` looks at the days that are written.
     """
-    (
-        df.hint("rebalance", day)
-        .sortWithinPartitions(day, *keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy(day)
-        .parquet(path)
-    )
-
-
-def drop_days(spark: SparkSession, path: str, days: Sequence) -> None:
-    """Delete whole day partitions."""
-    for day in days:
-        fs, folder = _path(spark, f"{path}/date={day}")
-        fs.delete(folder, True)
+    spark = fresh.sparkSession
+    if schema is not None:
+        fresh = _in_schema(fresh, schema)
+    staged = shared_dir(spark, "upsert")
+    dated = fresh.where(F.col(time).isNotNull()).withColumn(DAY, F.to_date(time))
+    dated.write.parquet(staged)
+    new = spark.read.schema(dated.schema).parquet(staged)
+    pulled = new.groupBy(DAY).agg(F.max(F.unix_seconds(time)).alias("newest")).collect()
+    days = {str(r[DAY]) for r in pulled}
+    if not days:
+        if gate is not None and not versions.numbers(spark, path):
+            raise versions.Rejected(f"rows: 0 against {gate.min_rows}")
+        return
+    newest = max(r["newest"] for r in pulled)
+
+    def change(base: versions.Manifest | None):
+        parts = dict(base.parts) if base is not None else {}
+        bound, touched = None, set(days)
+        if keep_days is not None:
+            last = max([newest, *_newest(spark, path, base, time)])
+            bound = last - keep_days * 86_400
+            edge = datetime.fromtimestamp(bound, UTC).date().isoformat()
+            parts = {d: f for d, f in parts.items() if d >= edge}
+            touched = {d for d in touched | ({edge} & set(parts)) if d >= edge}
+        merged = new.withColumn("__new", F.lit(1))
+        if touched & set(parts):
+            old = versions.read(spark, path, number=base.number, days=sorted(touched & set(parts)))
+            merged = merged.unionByName(old.withColumn("__new", F.lit(0)))
+        if bound is not None:
+            merged = merged.where(F.unix_seconds(time) > bound)
+        merged = keep_best(merged, keys, [F.desc("__new"), *order]).drop("__new")
+        made = versions.stage(merged, path, keys, DAY, gate)
+        left = {d: f for d, f in parts.items() if d not in touched}
+        return merged.schema, {**left, **made}
+
+    versions.update(spark, path, change)
+
+
+def _newest(spark: SparkSession, path: str, base: versions.Manifest | None,
+            time: str) -> list[int]:
+    """The newest instant of a table, from its last day only."""
+    if base is None or not base.parts:
+        return []
+    last = versions.read(spark, path, number=base.number, days=[max(base.parts)])
+    found = last.agg(F.max(F.unix_seconds(time))).first()[0]
+    return [found] if found is not None else []
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -1,25 +1,29 @@
 """The measurement feed as a stream: validation, duplicates, hourly marts, live flags.
 
 The feed delivers at least once and in any order: devices keep readings through outages and
-send them later. So no lateness bound is set. Every batch is appended to a raw table that is
-partitioned by date; the keys it touches are then computed anew from the raw table, where
-repeats are dropped, and replace their rows in the mart. A row of any lateness counts, a batch
-that runs twice changes nothing, and the state is the raw table itself.
+send them later. So no lateness bound is set. Every batch is written to a raw table that is
+partitioned by hour and batch, over what an earlier run of the same batch left; the keys it
+touches are then computed anew from the raw hours they need, where repeats are dropped, and
+replace their rows in the mart by one commit. A row of any lateness counts, a batch that runs
+twice changes nothing, and the state is the raw table itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from linkgrid import schemas
 from linkgrid.operators.history import keep_best
 from linkgrid.operators.hourly import user_hourly
 from linkgrid.session import shared_dir
-from linkgrid.sources.marts import drop_days, path_exists, write_days
+from linkgrid.sources.marts import empty, path_exists, upsert_mart
+
 
 def file_stream(
     spark: SparkSession, path: str, schema: str = schemas.MEASUREMENTS, fmt: str = "parquet",
@@ -63,25 +67,53 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, **trigger) -> St
     )
 
 
+def write_batch(batch: DataFrame, batch_id: int, raw: str) -> None:
+    """A batch into the raw table, in partitions of its own.
+
+    A batch that runs again has the same rows and writes the same partitions over its own, so
+    it counts once however often it runs.
+    """
+    (
+        batch.withColumns({
+            "date": F.to_date("ts"), "hour": F.hour("ts"),
+            "batch": F.lit(batch_id).cast("bigint")})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date", "hour", "batch").parquet(raw)
+    )
+
+
+def read_hours(spark: SparkSession, raw: str, schema: T.StructType,
+               hours: Sequence[tuple[date, int]]) -> DataFrame:
+    """The raw rows of some hours, given as (date, hour); no other folder is listed."""
+    folders = [f for d, h in sorted(set(hours))
+               if path_exists(spark, f := f"{raw}/date={d.isoformat()}/hour={h}")]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    names = [f.name for f in schema.fields]
+    parts = "date date, hour int, batch bigint"
+    own = T.StructType([*schema.fields, *empty(spark, parts).schema.fields])
+    return spark.read.schema(own).option("basePath", raw).parquet(*folders).select(*names)
+
+
 def _start_recomputed(
     stream: DataFrame, raw: str, checkpoint: str, touched, refresh, trigger: dict
 ) -> StreamingQuery:
-    """Append each batch to ``raw``, then ``refresh`` the keys that ``touched`` finds in it.
+    """Write each batch to ``raw``, then ``refresh`` the keys that ``touched`` finds in it.
 
-    ``touched`` gives the keys of a batch with the ``date`` of each raw day that they need.
+    ``touched`` gives the keys of a batch with ``at``, an instant in each raw hour they need.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        dated = batch.withColumn("date", F.to_date("ts"))
-        dated.write.mode("append").partitionBy("date").parquet(raw)
+        write_batch(batch, batch_id, raw)
         staged = shared_dir(spark, "touched")
         touched(batch).write.parquet(staged)
         keys = spark.read.parquet(staged)
-        days = [r["date"] for r in keys.select("date").distinct().collect()]
-        if days:
-            rows = spark.read.schema(dated.schema).parquet(raw).where(F.col("date").isin(days))
-            refresh(rows, keys.drop("date").distinct())
+        hours = keys.select(F.to_date("at").alias("d"), F.hour("at").alias("h")).distinct()
+        hours = [(r["d"], r["h"]) for r in hours.collect() if r["d"] is not None]
+        if hours:
+            rows = read_hours(spark, raw, batch.schema, hours)
+            refresh(rows, keys.drop("at").distinct())
 
     return (
         stream.writeStream.foreachBatch(run)
@@ -99,14 +131,13 @@ def start_hourly_upsert(
     hour = F.date_trunc("hour", "ts").alias("hour_utc")
 
     def touched(batch: DataFrame) -> DataFrame:
-        return batch.select("h3_cell", hour, F.to_date("ts").alias("date")).distinct()
+        return batch.select("h3_cell", hour, F.date_trunc("hour", "ts").alias("at")).distinct()
 
     def refresh(rows: DataFrame, keys: DataFrame) -> None:
         wanted = rows.withColumn("hour_utc", F.date_trunc("hour", "ts")).join(
             keys, ["h3_cell", "hour_utc"], "left_semi")
-        upsert_days(user_hourly(without_repeats(wanted.drop("hour_utc"))), mart)
-        if keep_days is not None:
-            drop_old_days(rows.sparkSession, mart, keep_days)
+        upsert_mart(user_hourly(without_repeats(wanted.drop("hour_utc"))), mart,
+                    ("h3_cell", "hour_utc", "target"), keep_days=keep_days)
 
     return _start_recomputed(stream, raw, checkpoint, touched, refresh, trigger)
 
@@ -122,71 +153,20 @@ def start_arrival_upsert(
     spans = F.window("ts", window, slide).alias("w")
 
     def touched(batch: DataFrame) -> DataFrame:
-        # Every day that a touched window reaches into is read again.
+        # Every hour that a touched window reaches into is read again.
         rows = batch.select(key, spans).distinct()
-        days = F.sequence(F.to_date("w.start"), F.to_date("w.end"))
+        hours = F.sequence(F.date_trunc("hour", "w.start"), F.col("w.end"), F.expr("INTERVAL 1 HOUR"))
         return rows.select(
-            key, F.col("w.start").alias("window_start"), F.explode(days).alias("date"))
+            key, F.col("w.start").alias("window_start"), F.explode(hours).alias("at"))
 
     def refresh(rows: DataFrame, keys: DataFrame) -> None:
         counted = arrival_counts(rows, key, window, slide, cap)
         counted = counted.join(keys, [key, "window_start"], "left_semi")
-        upsert_days(counted, mart, [key, "window_start"], "window_start")
+        upsert_mart(counted, mart, [key, "window_start"], time="window_start")
 
     return _start_recomputed(stream, raw, checkpoint, touched, refresh, trigger)
 
 
-def upsert_days(
-    fresh: DataFrame, mart: str, keys: Sequence[str] = ("h3_cell", "hour_utc", "target"),
-    time: str = "hour_utc",
-) -> None:
-    """Fresh rows win their key; only the days they touch are read and rewritten.
-
-    The merged days are staged in the shared folder before the mart is overwritten, so the
-    job never reads what it replaces, and running a batch twice changes nothing.
-    """
-    spark = fresh.sparkSession
-    staged = shared_dir(spark, "upsert")
-    dated = fresh.withColumn("date", F.to_date(time))
-    dated.write.mode("overwrite").parquet(f"{staged}/fresh")
-    new = spark.read.parquet(f"{staged}/fresh").withColumn("__new", F.lit(1))
-    days = [r["date"] for r in new.select("date").distinct().collect()]
-    if not days:
-        return
-    merged = new
-    if path_exists(spark, mart):
-        old = spark.read.parquet(mart).where(F.col("date").isin(days))
-        merged = new.unionByName(old.withColumn("__new", F.lit(0)))
-    merged = keep_best(merged, keys, [F.desc("__new")]).drop("__new")
-    merged.write.mode("overwrite").parquet(f"{staged}/merged")
-    write_days(spark.read.parquet(f"{staged}/merged"), mart, keys=keys)
-
-
-def drop_old_days(spark: SparkSession, mart: str, keep_days: int = 90) -> None:
-    """Trims a mart to its newest ``keep_days`` days, counted from its newest hour.
-
-    Whole days past the bound are deleted as folders; the day it falls into is rewritten.
-    """
-    rows = spark.read.parquet(mart)
-    last = rows.agg(F.max("date")).first()[0]
-    if last is None:
-        return
-    newest = rows.where(F.col("date") == last).agg(F.unix_seconds(F.max("hour_utc"))).first()[0]
-    bound = newest - keep_days * 86_400
-    day = spark.range(1).select(F.to_date(F.timestamp_seconds(F.lit(bound)))).first()[0]
-    edge = rows.where(F.col("date") == day)
-    if not edge.where(F.unix_seconds("hour_utc") <= bound).isEmpty():
-        staged = shared_dir(spark, "retention")
-        edge.where(F.unix_seconds("hour_utc") > bound).write.parquet(staged)
-        left = spark.read.schema(rows.schema).parquet(staged)
-        if left.isEmpty():
-            drop_days(spark, mart, [day])
-        else:
-            write_days(left, mart)
-    old = rows.where(F.col("date") < F.lit(day)).select("date").distinct().collect()
-    drop_days(spark, mart, [r["date"] for r in old])
-
-
 def arrival_counts(stream: DataFrame, key: str, window: str, slide: str, cap: int) -> DataFrame:
     """Arrivals per key in sliding windows, flagged when over the cap."""
     return (
@@ -202,16 +182,20 @@ def arrival_counts(stream: DataFrame, key: str, window: str, slide: str, cap: in
     )
 
 
-def flag_below_q10(stream: DataFrame, bands: DataFrame) -> DataFrame:
+def flag_below_q10(stream: DataFrame, bands: DataFrame, salts: int = 16) -> DataFrame:
     """Live download readings with the band of their (cell, hour) and a flag.
 
     ``bands`` is a static table with h3_cell, hour_utc and q10; readings without a band keep
-    a NULL flag.
+    a NULL flag. A busy cell-hour is spread over ``salts`` keys; each band is sent to all.
     """
     hour = F.date_trunc("hour", "ts")
+    salted = bands.select("h3_cell", "hour_utc", "q10", F.explode(
+        F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    spread = F.pmod(F.xxhash64("ts", "dl_mbps"), F.lit(salts)).cast("int")
     return (
         stream.where(F.col("dl_mbps").isNotNull())
-        .withColumn("hour_utc", hour)
-        .join(bands.select("h3_cell", "hour_utc", "q10"), ["h3_cell", "hour_utc"], "left")
+        .withColumns({"hour_utc": hour, "__salt": spread})
+        .join(salted, ["h3_cell", "hour_utc", "__salt"], "left")
+        .drop("__salt")
         .withColumn("below_q10", F.col("dl_mbps") < F.col("q10"))
     )

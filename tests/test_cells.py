@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linkgrid.functions import cells as C
+from linkgrid.operators import centres
 
 
 def one(spark, column):
@@ -50,8 +51,21 @@ def test_public_h3_ids(spark):
     cell = F.lit(int("851f8d37fffffff", 16))
     assert one(spark, C.cell_resolution(cell)) == 5
     assert one(spark, C.cell_parent(cell, 4)) == int("841f8d3ffffffff", 16)
-    with pytest.raises(Exception, match="h3 package"):
-        one(spark, C.cell_lat(cell))
+    assert one(spark, C.cell_lat(cell)) is None and one(spark, C.cell_lon(cell)) is None
+
+
+def test_centres_of_foreign_ids_come_from_a_table(spark):
+    known, unknown = int("851f8d37fffffff", 16), int("851f8d33fffffff", 16)
+    own = own_cell(52.0, 8.0)
+    rows = spark.createDataFrame(
+        [(own, 1), (known, 2), (unknown, 3), (unknown, 4), (None, 5)], "h3_cell bigint, n int")
+    table = spark.createDataFrame([(known, 1.5, 2.5)], centres.CENTRES)
+    placed = centres.with_centres(rows, table)
+    got = {r["n"]: (r["lat"], r["lon"]) for r in placed.collect()}
+    assert got[2] == (1.5, 2.5) and got[3] == got[4] == got[5] == (None, None)
+    assert abs(got[1][0] - 52.0) < 0.2
+    left = {(r["h3_cell"], r["reason"], r["rows"]) for r in centres.unplaced(placed).collect()}
+    assert left == {(unknown, "no centre", 2), (None, "no cell", 1)}
 
 
 @pytest.mark.parametrize(

@@ -136,3 +136,44 @@ def test_band_cache(spark):
     assert fresh.count() == 1
     merged = bandcache.upsert_bands(cache, fresh)
     assert merged.count() == 4 and merged.where("model_version = 'v3'").first()["q50"] == 20.0
+
+
+def test_broken_files_are_named(spark, folder):
+    """One whole file, one cut off, one page, and an item without its key."""
+    import json
+
+    texts = {
+        "a.json": json.dumps([{"prb_id": 1, "timestamp": 5, "min": 2.0}, {"timestamp": 6, "min": 1.0}]),
+        "b.json": json.dumps([{"prb_id": 2, "timestamp": 5, "min": 2.0}] * 3)[:-20],
+        "c.json": json.dumps({"results": [{"prb_id": 3, "timestamp": 7, "min": None}]}),
+    }
+    for name, text in texts.items():
+        marts.write_text(spark, f"{folder}/in/{name}", text)
+    rows = files.read_pings(spark, f"{folder}/in", f"{folder}/rejected")
+    assert sorted(r["prb_id"] for r in rows.collect()) == [1, 3]
+    lost = {(os.path.basename(r["file"]), r["reason"]): r["text"]
+            for r in spark.read.parquet(f"{folder}/rejected").collect()}
+    assert set(lost) == {("a.json", "no prb_id"), ("b.json", "not parsed")}
+    assert lost["b.json", "not parsed"] == texts["b.json"]
+    with pytest.raises(Exception, match="b.json: not parsed|a.json: no prb_id"):
+        files.read_pings(spark, f"{folder}/in").collect()
+
+
+def test_weather_that_cannot_be_parsed_says_so(spark):
+    bodies = [(1, '{"hourly": {"time": ["2024-01-01T00:00"], "precipitation": [1.0]}}'),
+              (2, '{"hourly": {"time": ["2024'), (3, "{}")]
+    parsed = files.parse_weather(spark.createDataFrame(bodies, "id int, body string"), "body", "reason")
+    assert {r["id"]: r["reason"] for r in parsed.collect()} == {
+        1: None, 2: "not parsed", 3: "no hourly block"}
+    assert files.hourly_weather(parsed.drop("reason")).count() == 1
+
+
+def test_stored_band_cache(spark, folder):
+    row = lambda h, v, q: (1, at(h), "latency", 1.0, q, 3.0, "cell", v)
+    frame = lambda rows: spark.createDataFrame(rows, schemas.BAND_CACHE)
+    bandcache.store_bands(frame([row(0, "v1", 2.0), row(1, "v1", 2.0), row(50, "v1", 2.0)]), folder)
+    bandcache.store_bands(frame([row(1, "v2", 9.0), row(2, "v2", 9.0)]), folder)
+    got = {r["s"]: (r["model_version"], r["q50"]) for r in bandcache.stored_bands(
+        spark, folder).withColumn("s", F.unix_seconds("hour_utc")).collect()}
+    assert got == {epoch(at(0)): ("v1", 2.0), epoch(at(1)): ("v2", 9.0), epoch(at(2)): ("v2", 9.0),
+                   epoch(at(50)): ("v1", 2.0)}

@@ -4,7 +4,9 @@ from helpers import at, epoch, hours_of
 from pyspark.sql import functions as F
 
 from linkgrid import schemas
+from linkgrid.checks.queries import forget_last_batch
 from linkgrid.operators import hourly, quality
+from linkgrid.sources import marts, versions
 from linkgrid.streaming import ingest
 
 
@@ -30,7 +32,7 @@ def hourly_mart(spark, folder, **options):
         ingest.file_stream(spark, f"{folder}/in", files_per_trigger=1))
     ingest.start_hourly_upsert(
         stream, f"{folder}/raw", f"{folder}/mart", f"{folder}/cp", **options).awaitTermination()
-    return spark.read.parquet(f"{folder}/mart").drop("date")
+    return marts.read_mart(spark, f"{folder}/mart", schemas.USER_HOURLY)
 
 
 def test_stream_equals_batch_whatever_is_late_or_repeated(spark, folder):
@@ -45,17 +47,47 @@ def test_upsert_and_retention(spark, folder):
     feed(spark, folder)
     mart = hourly_mart(spark, folder)
     want = hours_of(mart)
-    ingest.upsert_days(mart, f"{folder}/mart")
-    again = spark.read.parquet(f"{folder}/mart").drop("date")
-    assert hours_of(again) == want
+    path, keys = f"{folder}/mart", ("h3_cell", "hour_utc", "target")
+    marts.upsert_mart(mart, path, keys)
+    assert hours_of(marts.read_mart(spark, path, schemas.USER_HOURLY)) == want
     newer = spark.createDataFrame([(0, at(24 * 95), "latency", 5.0, 1)], schemas.USER_HOURLY)
-    ingest.upsert_days(newer, f"{folder}/mart")
-    ingest.drop_old_days(spark, f"{folder}/mart")
-    left = spark.read.parquet(f"{folder}/mart")
+    marts.upsert_mart(newer, path, keys, keep_days=90)
+    left = marts.read_mart(spark, path, schemas.USER_HOURLY)
     bound = epoch(at(24 * 95)) - 90 * 86_400
-    whole = [*want, *hours_of(newer.select(again.columns))]
-    hour = again.columns.index("hour_utc")
-    assert sorted(hours_of(left.drop("date"))) == sorted(r for r in whole if r[hour] > bound)
+    whole = [*want, *hours_of(newer)]
+    hour = left.columns.index("hour_utc")
+    assert hours_of(left) == sorted((r for r in whole if r[hour] > bound), key=repr)
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, folder):
+    """The stream dies after its last batch was written, and before that was noted."""
+    feed(spark, folder)
+    stream = ingest.file_stream(spark, f"{folder}/in", files_per_trigger=2).select("user_id", "ts")
+
+    def run():
+        ingest.start_arrival_upsert(
+            stream, "user_id", "2 hours", "1 hour", 6, f"{folder}/raw", f"{folder}/mart",
+            f"{folder}/cp").awaitTermination()
+        return hours_of(versions.read(spark, f"{folder}/mart").drop("window_end", "date"))
+
+    first = run()
+    assert sum(r[2] for r in first) == 2 * spark.read.parquet(f"{folder}/in").count()
+    for _ in range(2):
+        forget_last_batch(spark, f"{folder}/cp")
+        assert run() == first
+    batches = {r["batch"] for r in spark.read.parquet(f"{folder}/raw").select("batch").distinct().collect()}
+    assert len(batches) == 3
+
+
+def test_only_touched_hours_are_read(spark, folder):
+    rows = [("a", at(h), h) for h in range(48)]
+    frame = spark.createDataFrame(rows, "user_id string, ts timestamp, n int")
+    ingest.write_batch(frame, 3, f"{folder}/raw")
+    wanted = [(at(5).date(), 5), (at(30).date(), 6), (at(99).date(), 7)]
+    read = ingest.read_hours(spark, f"{folder}/raw", frame.schema, wanted)
+    assert sorted(r["n"] for r in read.collect()) == [5, 30] and read.columns == frame.columns
+    assert len(read.inputFiles()) == 2
+    assert ingest.read_hours(spark, f"{folder}/raw", frame.schema, wanted[2:]).count() == 0
 
 
 def test_rejects_and_flags(spark, folder):
@@ -79,7 +111,7 @@ def test_sliding_arrivals(spark, folder):
     ingest.start_arrival_upsert(
         stream, "user_id", "2 hours", "1 hour", 6, f"{folder}/araw", f"{folder}/amart",
         f"{folder}/cp").awaitTermination()
-    got = spark.read.parquet(f"{folder}/amart").where("user_id = 'u1'")
+    got = versions.read(spark, f"{folder}/amart").where("user_id = 'u1'")
     total = spark.read.parquet(f"{folder}/in").where("user_id = 'u1'").count()
     assert got.agg(F.sum("arrivals")).first()[0] == 2 * total
     assert got.where("over_cap <> (arrivals > 6)").count() == 0

@@ -160,6 +160,15 @@ def test_daily_to_serving(spark, folder):
     cache = payload_bands(payload.limit(20), "v9").withColumn("q50", F.lit(-1.0))
     mixed = serving.forecast_cells(model, cells, now, *args, cache=cache, version="v9")
     assert mixed.count() == 48 and mixed.where("latency.q50 = -1 and dl.q50 = -1").count() == 20
+    # Served through the stored cache: written back once, then read without a model.
+    stored = f"{folder}/bands"
+    first = serving.serve_cells(model, cells, now, *args, cache=stored, version="v9")
+    assert first.count() == 48
+    mine = lambda df: {(r["s"], r["latency"]["q50"], r["dl"]["q50"]) for r in df.withColumn(
+        "s", F.unix_seconds("hour_utc")).collect()}
+    assert mine(first) == mine(payload)
+    again = serving.serve_cells(None, cells, now, *args, cache=stored, version="v9")
+    assert mine(again) == mine(payload)
     out = serving.cell_takeaways(payload, medians).first()
     assert out["verdict"] in ("smooth", "mixed", "rough") and out["windows"][-1]["kind"] == "best"
     verdict = serving.score_dishes(model, users.withColumn("measurement_id", F.xxhash64("ts")), orbital, tiles, medians).first()
