@@ -17,17 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write to the cluster's shared folder and read back: cuts lineage, survives executors.
+#: Spark then deletes the shuffle files of a query once it has ended, not when memory runs low.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    Spark deletes the shuffle files of a finished job once the driver has collected its plan;
-    asking for that here keeps the files of earlier steps from piling up on the executors.
-    """
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write to the cluster's shared folder and read back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.kept_at = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``kept`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def text_of(column: str | Column = "text") -> Column:
