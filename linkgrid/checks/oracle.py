@@ -834,12 +834,12 @@ WITH matrix AS (
     SELECT row_number() OVER () AS id, label, source_quality AS w, {", ".join(features)}
     FROM ({matrix}) WHERE target = 'latency'),
 bins AS ({long}),
-levels AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 0.5::DOUBLE), (2, 0.9::DOUBLE)) v(q, level)),
+aims AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 0.5::DOUBLE), (2, 0.9::DOUBLE)) v(q, level)),
 copies AS (SELECT id, label, unnest(range(w::INT)) AS copy FROM matrix),
 bases AS (
     SELECT q, level, CASE q WHEN 0 THEN (SELECT quantile_cont(label, 0.1) FROM copies)
         WHEN 1 THEN (SELECT quantile_cont(label, 0.5) FROM copies)
-        ELSE (SELECT quantile_cont(label, 0.9) FROM copies) END AS base FROM levels),
+        ELSE (SELECT quantile_cont(label, 0.9) FROM copies) END AS base FROM aims),
 {",".join(levels)},
 leaves AS (
     SELECT q, node, CASE q WHEN 0 THEN quantile_cont(x, 0.1) WHEN 1 THEN quantile_cont(x, 0.5)
@@ -877,6 +877,8 @@ def sql(name: str) -> str:
     views = ",\n".join(f"{n} AS ({CTES[n]})" for n in _needed(body))
     if not views:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body.startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"
