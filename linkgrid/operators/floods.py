@@ -134,7 +134,7 @@ def admitted_arrivals(
     path = shared_dir(spark, "arrival-chunks")
     chunked = _chunked(arrivals.where(F.col(ts).isNotNull()), key, ts, span, chunk_rows)
     chunked.write.partitionBy("chunk").parquet(path)
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(chunked.schema).parquet(path)
     kind = dict(chunked.dtypes)["k"]
     chunks = sorted(r["chunk"] for r in rows.select("chunk").distinct().collect())
     decided = f"k {kind}, session bigint, t bigint, arrivals bigint, admitted bigint"

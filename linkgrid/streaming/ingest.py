@@ -71,12 +71,14 @@ def write_batch(batch: DataFrame, batch_id: int, raw: str) -> None:
     """A batch into the raw table, in partitions of its own.
 
     A batch that runs again has the same rows and writes the same partitions over its own, so
-    it counts once however often it runs.
+    it counts once however often it runs. Rows are rebalanced by hour, so that an hour has few
+    files; a heavy one is split.
     """
     (
         batch.withColumns({
             "date": F.to_date("ts"), "hour": F.hour("ts"),
             "batch": F.lit(batch_id).cast("bigint")})
+        .hint("rebalance", "date", "hour")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("date", "hour", "batch").parquet(raw)
     )
