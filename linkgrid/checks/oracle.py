@@ -861,7 +861,7 @@ _FACTS = f"""
     SELECT l.target, count(*) AS rows,
            count(*) FILTER (EXISTS (
                SELECT 1 FROM labels_all p WHERE p.h3_cell = l.h3_cell AND p.target = l.target
-                   AND p.hour_utc = l.hour_utc - {DAY})) AS fair_rows,
+                   AND p.hour_utc = l.hour_utc - {WEEK})) AS fair_rows,
            true AS in_order, true AS covers, true AS beats_persistence
     FROM labels_all l JOIN cutoffs c ON c.target = l.target AND c.source = l.source
     WHERE l.hour_utc >= c.cutoff GROUP BY l.target"""

@@ -292,6 +292,16 @@ def fit_booster(rows: DataFrame, params: BoostParams = BoostParams()) -> Booster
     return booster
 
 
+def _bands(booster: Booster, width: int):
+    @F.arrow_udf(", ".join(f"{n} double" for n in BAND_FIELDS))
+    def bands(x: pa.Array) -> pa.Array:
+        found = np.sort(booster.raw(booster.bins_of(_matrix_of(x, width))), axis=1)
+        return pa.StructArray.from_arrays(
+            [pa.array(found[:, i]) for i in range(len(BAND_FIELDS))], list(BAND_FIELDS))
+
+    return bands
+
+
 @dataclass
 class BoostedQuantiles:
     """A booster per target, with the interface of the forests."""
@@ -316,14 +326,7 @@ class BoostedQuantiles:
         """
         width, wide = len(self.params.features), rows
         for target in targets or self.trained_targets:
-            booster = self.boosters[target]
-
-            @F.arrow_udf(", ".join(f"{n} double" for n in BAND_FIELDS))
-            def bands(x: pa.Array, booster: Booster = booster) -> pa.Array:
-                found = np.sort(booster.raw(booster.bins_of(_matrix_of(x, width))), axis=1)
-                return pa.StructArray.from_arrays(
-                    [pa.array(found[:, i]) for i in range(len(BAND_FIELDS))], list(BAND_FIELDS))
-
+            bands = _bands(self.boosters[target], width)
             offset = self.calibration.get(target, 0.0) if calibrated else 0.0
             wide = wide.withColumn("__bands", bands(_features(self.params)))
             wide = wide.withColumns({
