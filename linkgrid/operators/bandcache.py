@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgrid.functions.units import PAYLOAD_TARGETS
 from linkgrid.operators.history import keep_best
 from linkgrid.schemas import BAND_CACHE
-from linkgrid.sources.marts import read_mart, upsert_mart
+from linkgrid.sources import versions
+from linkgrid.sources.marts import upsert_mart
 
 KEYS = ("h3_cell", "hour_utc", "metric")
 _BAND = ("q10", "q50", "q90")
@@ -49,8 +52,9 @@ def store_bands(fresh: DataFrame, path: str, keep_days: int | None = None) -> No
     upsert_mart(fresh, path, KEYS, order, keep_days=keep_days, schema=BAND_CACHE)
 
 
-def stored_bands(spark: SparkSession, path: str) -> DataFrame:
-    return read_mart(spark, path, BAND_CACHE)
+def stored_bands(spark: SparkSession, path: str, days: Sequence[str] | None = None) -> DataFrame:
+    """The stored cache; with ``days`` (ISO dates) no folder of another day is listed or read."""
+    return versions.read(spark, path, BAND_CACHE, days=days)
 
 
 def cached_payload(cache: DataFrame, wanted: DataFrame, model_version: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,18 +56,21 @@ def serve_cells(model: QuantileForest, cells: DataFrame, now: datetime, precip:
     """
     spark = cells.sparkSession
     pairs = forecast.horizon_pairs(cells, now)
-    gap = bandcache.missing_pairs(bandcache.stored_bands(spark, cache), pairs, version)
+    # Only the days that the horizon reaches into; the rest of the cache is not touched.
+    hours = range(0, forecast.HORIZON_HOURS + 24, 24)
+    days = sorted({(now + timedelta(hours=h)).date().isoformat() for h in hours})
+    gap = bandcache.missing_pairs(bandcache.stored_bands(spark, cache, days), pairs, version)
     wanted = shared_dir(spark, "forecast-wanted")
     gap.write.parquet(wanted)
     gap = spark.read.schema(gap.schema).parquet(wanted)
     if gap.isEmpty():
-        return _cached(bandcache.stored_bands(spark, cache), pairs, precip, version)
+        return _cached(bandcache.stored_bands(spark, cache, days), pairs, precip, version)
     path = shared_dir(spark, "forecast-gap")
     computed = forecast_pairs(model, gap, precip, orbital, tiles, medians)
     computed.write.parquet(path)
     computed = spark.read.schema(computed.schema).parquet(path)
     bandcache.store_bands(bandcache.payload_bands(computed, version), cache)
-    served = _cached(bandcache.stored_bands(spark, cache), pairs, precip, version)
+    served = _cached(bandcache.stored_bands(spark, cache, days), pairs, precip, version)
     bare = computed.where(F.col("latency").isNull() & F.col("dl").isNull())
     return served.unionByName(bare)
 
