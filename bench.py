@@ -33,6 +33,9 @@ HEADLINE = [
     "takeaway_verdicts",
     "dish_verdicts",
     "arrival_flood",
+    "admitted_arrivals",
+    "mart_upsert",
+    "boosted_tree",
     "stream_hourly_median",
     "stream_arrivals",
     "sky_view",

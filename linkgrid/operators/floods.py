@@ -139,29 +139,36 @@ def admitted_arrivals(
     chunks = sorted(r["chunk"] for r in rows.select("chunk").distinct().collect())
     decided = f"k {kind}, session bigint, t bigint, arrivals bigint, admitted bigint"
 
-    def walk(here: pa.Table, before: pa.Table) -> pa.Table:
-        here = here.sort_by("t")
-        held = deque()  # (instant, how many were admitted at it)
-        for t, n in sorted(zip(before["t"].to_pylist(), before["admitted"].to_pylist())):
-            held.append((t, n))
-        inside, out = sum(n for _, n in held), []
-        for t, n in zip(here["t"].to_pylist(), here["arrivals"].to_pylist()):
-            while held and held[0][0] <= t - span:
-                inside -= held.popleft()[1]
-            taken = min(n, cap - inside)
-            if taken > 0:
-                held.append((t, taken))
-                inside += taken
-            out.append(max(taken, 0))
-        return pa.table({
-            "k": here["k"], "session": here["session"], "t": here["t"],
-            "arrivals": here["arrivals"], "admitted": pa.array(out, pa.int64())})
+    def walk(batches):
+        """Rows by session and time; those with ``admitted`` were decided in an earlier round."""
+        session, held, inside = object(), deque(), 0
+        for batch in batches:
+            use, out = [], []
+            columns = (batch[n].to_pylist() for n in ("k", "session", "t", "arrivals", "admitted"))
+            for k, begun, t, n, known in zip(*columns):
+                if (k, begun) != session:
+                    session, held, inside = (k, begun), deque(), 0
+                while held and held[0][0] <= t - span:
+                    inside -= held.popleft()[1]
+                taken = known if known is not None else max(min(n, cap - inside), 0)
+                if taken:
+                    held.append((t, taken))
+                    inside += taken
+                use.append(known is None)
+                out.append(taken)
+            decided_now = batch.set_column(
+                batch.schema.get_field_index("admitted"), "admitted", pa.array(out, pa.int64()))
+            yield decided_now.filter(pa.array(use, pa.bool_()))
 
     parts, state = [], spark.createDataFrame([], decided)
     for chunk in chunks:
         now = rows.where(F.col("chunk") == chunk).select("k", "session", "t", "arrivals")
-        done = now.groupBy("k", "session").cogroup(
-            state.groupBy("k", "session")).applyInArrow(walk, decided)
+        # A task streams through its sessions; none is held in memory.
+        done = (
+            state.unionByName(now.withColumn("admitted", F.lit(None).cast("bigint")))
+            .repartition("k", "session").sortWithinPartitions("k", "session", "t")
+            .mapInArrow(walk, decided)
+        )
         out = shared_dir(spark, "arrival-walked")
         done.write.parquet(out)
         done = spark.read.schema(decided).parquet(out)

@@ -25,7 +25,7 @@ def walk(rows, span, cap):
     return {(k, t): (counts[k, t], n) for (k, t), n in taken.items()}
 
 
-@pytest.mark.parametrize("chunk_rows", [3, 40, 1 << 20])
+@pytest.mark.parametrize("chunk_rows", [30, 150, 1 << 20])
 def test_admission_matches_the_walk(spark, chunk_rows):
     rng = random.Random(6)
     rows = [("hot", rng.randrange(2000)) for _ in range(500)]
