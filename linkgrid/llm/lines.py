@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgrid.llm.common import WORD, kept
+from linkgrid.llm.common import WORD, kept, text_of
 
 BUCKETS = 1 << 20
 WANTED_BITS = 1 << 23
@@ -214,7 +214,15 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, report: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines of ``report`` taken out of ``text``; null stays null."""
+    """``docs`` with the removed lines of ``report`` taken out of ``text``; null stays null.
+
+    The report names lines by doc_id, so rows of a doc_id that comes with different texts keep
+    all of theirs: no line is taken out for what another text holds at its place.
+    """
+    key = F.sha2(text_of().cast("binary"), 256)
+    several = docs.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where(
+        "low <> high").select("doc_id")
+    report = report.join(several, "doc_id", "left_anti")
     row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     cut = report.select(F.col("doc_id").alias("cut_id"), F.col("removed").alias("cut"))
     joined = row.join(cut, F.col("row.doc_id") == F.col("cut_id"), "left")

@@ -23,3 +23,12 @@ def test_second_key_tells_sets_apart_that_collide_in_the_first(spark):
     x, y = rows.select(*lines._keys(F.col("codes"))).collect()
     assert x.key == y.key
     assert x.key2 != y.key2
+
+
+def test_rows_that_share_a_doc_id_lose_no_text(spark):
+    rows = [(1, "alpha beta gamma", 1), (2, "alpha beta gamma", 2), (2, "unique words here", 3),
+            (3, "alpha beta gamma\nown line", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    found = lines.without_lines(docs, lines.line_report(docs)).collect()
+    assert {r.n: r.text for r in found} == {
+        1: "alpha beta gamma", 2: "alpha beta gamma", 3: "unique words here", 4: "own line"}
