@@ -812,11 +812,12 @@ cuts{d} AS (
            sum(CASE WHEN b BETWEEN 1 AND cut OR (b = 0 AND m) THEN o ELSE 0 END) AS lo,
            sum(CASE WHEN b BETWEEN 1 AND cut OR (b = 0 AND m) THEN n ELSE 0 END) AS ln,
            sum(u) AS u, sum(o) AS o, sum(n) AS n
-    FROM sums{d}, range(1, 7) t(cut), (VALUES (true), (false)) v(m) WHERE cut < parts
+    FROM sums{d}, range(1, 8) t(cut), (VALUES (true), (false)) v(m) WHERE cut <= parts
     GROUP BY q, level, node, f, cut, m),
 split{d} AS (
     SELECT q, node, f, cut, m FROM (
-        SELECT *, {score('lu', 'lo')} + {score('(u - lu)', '(o - lo)')} - {score('u', 'o')} AS gain
+        SELECT *, round({score('lu', 'lo')} + {score('(u - lu)', '(o - lo)')}
+                        - {score('u', 'o')}, 6) AS gain
         FROM cuts{d} WHERE ln >= 20 AND n - ln >= 20)
     WHERE gain > 1e-9
     QUALIFY row_number() OVER (PARTITION BY q, node ORDER BY gain DESC, f, cut, m DESC) = 1),

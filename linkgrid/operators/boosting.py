@@ -30,6 +30,8 @@ from linkgrid.functions.units import BAND_FIELDS, QUANTILES
 from linkgrid.operators.matrix import FEATURE_COLUMNS
 from linkgrid.session import shared_dir
 
+#: Gains that differ by less are equal, so that rounding errors decide no split.
+GAIN_DIGITS = 6
 BINNED = "label double, weight double, bins binary"
 
 
@@ -169,7 +171,8 @@ def best_split(under: np.ndarray, over: np.ndarray, rows: np.ndarray, level: flo
                min_leaf: int) -> tuple[int, int, bool] | None:
     """(feature, cut, missing left) of a node's sums by (feature, bin); None if nothing gains.
 
-    A side's score is its squared gradient over its weight; bin 0 holds what is missing.
+    A side's score is its squared gradient over its weight; bin 0 holds what is missing. The
+    last cut of a feature sets what is missing apart from all else.
     """
 
     def score(u, o):
@@ -181,10 +184,10 @@ def best_split(under: np.ndarray, over: np.ndarray, rows: np.ndarray, level: flo
         whole = [x[f].sum() for x in (under, over, rows)]
         base = score(*(np.array([w]) for w in whole[:2]))[0]
         for missing_left in (True, False):
-            left = [np.cumsum(x[f, 1:-1]) + (x[f, 0] if missing_left else 0)
+            left = [np.cumsum(x[f, 1:]) + (x[f, 0] if missing_left else 0)
                     for x in (under, over, rows)]
             right = [w - x for w, x in zip(whole, left)]
-            gain = score(*left[:2]) + score(*right[:2]) - base
+            gain = np.round(score(*left[:2]) + score(*right[:2]) - base, GAIN_DIGITS)
             gain[(left[2] < min_leaf) | (right[2] < min_leaf)] = -1.0
             at = int(gain.argmax()) if len(gain) else 0
             better = len(gain) and (gain[at] > best or (

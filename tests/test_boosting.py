@@ -17,7 +17,7 @@ def brute_split(x, y, w, level, base, min_leaf):
     """The best cut over all features, by trying each on the rows themselves."""
     best = None
     for f in range(x.shape[1]):
-        for cut in range(1, x[:, f].max()):
+        for cut in range(1, x[:, f].max() + 1):
             for missing_left in (True, False):
                 left = np.where(x[:, f] == 0, missing_left, x[:, f] <= cut)
                 if min(left.sum(), (~left).sum()) < min_leaf:
