@@ -315,9 +315,14 @@ def fixed_bands(rows: DataFrame) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earth-fixed positions, hourly: a circular orbit per supplier over the 30 days."""
+    """Earth-fixed positions, hourly: a circular orbit per supplier over the 30 days.
+
+    Suppliers are few bytes that become 720 rows each, so they are dealt out before that; the
+    number is given, or adaptive execution would merge so small a shuffle into one task.
+    """
     key, hour = F.col("s_suppkey"), F.col("hour")
-    rows = table(spark, sf_dir, "supplier").select(
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, sf_dir, "supplier").select(key).repartition(tasks, key).select(
         key, F.explode(F.sequence(F.lit(0), F.lit(719))).alias("hour"))
     radius = F.lit(6921.0) + (key % 5) * 20.0
     along = F.radians((key * 137 % 3600) / 10.0 + hour * 226.1)

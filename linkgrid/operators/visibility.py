@@ -2,7 +2,9 @@
 
 Positions come as a table, one row per object and hour, in earth-fixed kilometres (see
 POSITION_SCHEMA). Each position is sent to the coarse tiles its footprint can touch, and cells
-meet it there by an equality join on (hour, tile). Exact elevation is a column expression.
+meet it there by an equality join on (hour, tile). Tiles without cells, and hours outside those
+asked of a tile, are dropped before the shuffle: a broadcast of at most one row per tile of the
+globe tells them. Exact elevation is a column expression.
 """
 
 from __future__ import annotations
@@ -93,6 +95,22 @@ def observer(lat: Column, lon: Column) -> dict[str, Column]:
     }
 
 
+def asked_tiles(placed: DataFrame) -> DataFrame:
+    """Tiles that hold cells with the first and last hour asked there: 36 x 18 rows at most."""
+    return placed.where(F.col("tile_lat").isNotNull()).groupBy("tile_lat", "tile_lon").agg(
+        F.min("hour_utc").alias("__first"), F.max("hour_utc").alias("__final")
+    )
+
+
+def in_asked_tiles(reaching: DataFrame, placed: DataFrame) -> DataFrame:
+    """Those (position, tile) rows that can meet a pair at all."""
+    return (
+        reaching.join(F.broadcast(asked_tiles(placed)), ["tile_lat", "tile_lon"])
+        .where(F.col("hour_utc").between(F.col("__first"), F.col("__final")))
+        .drop("__first", "__final")
+    )
+
+
 def sky_view(sats: DataFrame, pairs: DataFrame, mask_deg: float = MASK_DEG) -> DataFrame:
     """Per (cell, hour) pair: satellites at or above the mask, best elevation, least range.
 
@@ -128,7 +146,7 @@ def sky_view(sats: DataFrame, pairs: DataFrame, mask_deg: float = MASK_DEG) -> D
     # one tile per key, and the positions stream past it.
     seen = (
         placed.hint("shuffle_hash")
-        .join(reaching, ["hour_utc", "tile_lat", "tile_lon"])
+        .join(in_asked_tiles(reaching, placed), ["hour_utc", "tile_lat", "tile_lon"])
         .withColumn("__d", distance)
         .withColumn("__el", elevation)
         .where(F.col("__el") >= mask_deg)
