@@ -17,7 +17,9 @@ Jaccard similarity of 4/5 or more, whether or not that line is itself removed.
 No group of lines that share a word is expanded into all its pairs: the first round takes each
 class with the earliest class at that word; only classes that it does not settle are joined
 with the other earlier ones. Counts are combined before shuffles; both joins on words can be
-split by adaptive skew handling. Broadcast tables have a fixed number of rows.
+split by adaptive skew handling. Broadcast tables have a fixed number of rows. Words are taken
+in PARTS parts by their code, one after the other, so that the shuffle files of one part only
+are on disk at a time; tables that nothing reads any more are deleted.
 
 Edge cases: null and empty texts have no lines; a line repeated within a document is removed
 after its first; lines at the same place of rows that repeat a doc_id do not remove each other;
@@ -26,14 +28,17 @@ rows without doc_id keep all lines; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgrid.llm.common import WORD, kept, text_of
+from linkgrid.llm.common import WORD, kept, release, text_of
 
 BUCKETS = 1 << 20
 WANTED_BITS = 1 << 23
+PARTS = 4
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -151,21 +156,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             F.first("prefix").alias("prefix"), F.first("mark").alias("mark")),
         "line-classes",
     )
+    keys = kept(lines.select("doc_id", "line_no", "key", "key2"), "line-keys")
+    release(lines)
     # Flat rows with place and length in one number each travel best.
     rows = classes.select(
         F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "mark",
         F.posexplode("prefix").alias("i", "token"),
     ).select("token", "doc_id", "line_no", F.shiftleft(F.col("n").cast("bigint"), 32)
              .bitwiseOR(F.col("i").cast("bigint")).alias("ni"), "mark")
-    leads = rows.groupBy("token").agg(
-        F.min(F.struct("doc_id", "line_no", "ni", "mark")).alias("lead"), F.count("*").alias("size"))
-    shared = kept(
-        rows.join(leads.where("size > 1").drop("size"), "token").select(
-            "token", F.struct("doc_id", "line_no").alias("at"), "ni", "mark",
-            F.struct("lead.doc_id", "lead.line_no").alias("lead_at"),
-            F.col("lead.ni").alias("lead_ni"), F.col("lead.mark").alias("lead_mark")),
-        "line-shared",
-    )
 
     def side(prefix: str) -> dict:
         ni = F.col(f"{prefix}ni")
@@ -176,27 +174,54 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         }
 
     own, lead = side(""), side("lead_")
+    near = (own["at"] > lead["at"]) & _possible(own, lead)
+
+    def shared_words(part: int) -> DataFrame:
+        """Rows of the words of a part that several classes hold; lead_at where it may be similar."""
+        some = rows.where(F.pmod("token", F.lit(PARTS)) == part)
+        leads = some.groupBy("token").agg(
+            F.min(F.struct("doc_id", "line_no", "ni", "mark")).alias("lead"),
+            F.count("*").alias("size"))
+        return some.join(leads.where("size > 1").drop("size"), "token").select(
+            "token", F.struct("doc_id", "line_no").alias("at"), "ni", "mark",
+            F.struct("lead.doc_id", "lead.line_no").alias("lead_at"),
+            F.col("lead.ni").alias("lead_ni"), F.col("lead.mark").alias("lead_mark"),
+        ).select("token", "at", "ni", "mark", F.when(near, F.col("lead_at")).alias("lead_at"))
+
+    shared = [kept(shared_words(part), "line-shared") for part in range(PARTS)]
+    led = reduce(DataFrame.union, [t.select("at", "lead_at") for t in shared])
     first = kept(
-        shared.where((own["at"] > lead["at"]) & _possible(own, lead))
-        .groupBy(own["at"].alias("later")).agg(F.min("lead_at").alias("earlier")),
+        led.where(F.col("lead_at").isNotNull())
+        .groupBy(F.col("at").alias("later")).agg(F.min("lead_at").alias("earlier")),
         "line-first",
     )
     settled = kept(_verified(docs, first), "line-settled")
-    left = shared.join(settled, "at", "left_anti").select(
-        "token", *[F.col(c).alias(f"a_{c}") for c in ("at", "ni", "mark")])
-    right = shared.select("token", *[F.col(c).alias(f"b_{c}") for c in ("at", "ni", "mark")])
     a, b = side("a_"), side("b_")
+
+    def other_pairs(words: DataFrame) -> DataFrame:
+        left = words.join(settled, "at", "left_anti").select(
+            "token", *[F.col(c).alias(f"a_{c}") for c in ("at", "ni", "mark")])
+        right = words.select("token", *[F.col(c).alias(f"b_{c}") for c in ("at", "ni", "mark")])
+        return (
+            left.join(right, "token").where((a["at"] > b["at"]) & _possible(a, b))
+            .select(a["at"].alias("later"), b["at"].alias("earlier")).distinct()
+        )
+
+    found = []
+    for words in shared:
+        found.append(kept(other_pairs(words), "line-pairs"))
+        release(words)
     second = kept(
-        left.join(right, "token").where((a["at"] > b["at"]) & _possible(a, b))
-        .select(a["at"].alias("later"), b["at"].alias("earlier")).distinct()
+        reduce(DataFrame.union, found).distinct()
         .join(first, ["later", "earlier"], "left_anti"),
         "line-second",
     )
+    release(*found)
     gone = kept(settled.union(_verified(docs, second)).distinct(), "line-gone")
     marked = classes.select("key", "key2", "at").join(
         gone.withColumn("gone", F.lit(True)), "at", "left")
     here = F.struct("doc_id", "line_no")
-    return lines.join(marked, ["key", "key2"]).select(
+    return keys.join(marked, ["key", "key2"]).select(
         "doc_id", "line_no",
         ((here > F.col("at")) | F.coalesce("gone", F.lit(False))).alias("removed"))
 
