@@ -49,8 +49,9 @@ _ALTERNATIVES = pa.list_(pa.struct([
     ("score", pa.float64()), ("n_pieces", pa.int64()), ("changes", _CHANGES),
 ]))
 _LOW = float("-inf")
-#: Segments in a generation of a memo; with some 400 bytes each, two of them take 100 MB at most.
-SEGMENTS_KEPT = 120_000
+#: Segments in a generation of a memo; with some 400 bytes each, two of them take 50 MB at most.
+#: Idle workers keep theirs while other stages run.
+SEGMENTS_KEPT = 60_000
 
 #: The segmenter of this Python worker, which the tasks it runs share one after the other.
 _own: dict = {}

@@ -1,6 +1,9 @@
-"""What a query leaves on disk while it runs."""
+"""What a query leaves on disk while it runs, and what an idle Python worker keeps."""
 
-from linkgrid.llm import lines
+import tracemalloc
+
+from linkgrid.llm import lines, segmentation
+from linkgrid.llm.pieces import Memo
 
 
 def test_line_tables_are_deleted_once_read(spark, monkeypatch):
@@ -18,3 +21,15 @@ def test_line_tables_are_deleted_once_read(spark, monkeypatch):
     assert made.count("line-shared") == lines.PARTS > 1
     for name in ("line-sets", "line-shared", "line-pairs"):
         assert sum(g.startswith(name) for g in gone) == made.count(name)
+
+
+def test_a_full_memo_takes_little(spark):
+    numbers = iter(range(10**9))
+    result = lambda key: ((next(numbers), next(numbers), next(numbers)), 1.5 * len(key), 0.1, True)
+    tracemalloc.start()
+    memo = Memo(result, size=segmentation.SEGMENTS_KEPT)
+    for i in range(300_000):
+        memo.find(f"segment{i}")
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 50e6
