@@ -1,6 +1,7 @@
 """Exact dedup, n-gram join, line dedup, mixing and secrets against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -175,6 +176,41 @@ def test_one_passage_in_a_third_of_all_texts(spark, monkeypatch):
     assert sum(seen) < 4 * 1000
 
 
+def test_ngram_join_settles_a_crowd_without_its_pairs(spark, monkeypatch):
+    """Copies around the limit, of which many are not linked to a leader, meet few others."""
+    rng = random.Random(5)
+    base = [f"c{i}" for i in range(300)]
+    rows = []
+    for d in range(400):
+        words = list(base)
+        for j in rng.sample(range(300), rng.randint(3, 6)):
+            words[j] = f"d{d}w{j}"
+        rows.append((d, " ".join(words)))
+    seen = []
+    verified = ngram_join._verified
+
+    def counted(docs, classes, pairs):
+        seen.append(pairs.count())
+        return verified(docs, classes, pairs)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    out = ngram_join.link_components(spark.createDataFrame(rows, DOCS).repartition(4))
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    sets = [set(ngram_join.shingle_set(t.encode()).tolist()) for _, t in rows]
+    least = list(range(400))
+
+    def root(d):
+        return d if least[d] == d else root(least[d])
+
+    for a, b in itertools.combinations(range(400), 2):
+        common = len(sets[a] & sets[b])
+        if 4 * common >= 3 * (len(sets[a]) + len(sets[b]) - common):
+            low, high = sorted((root(a), root(b)))
+            least[high] = low
+    assert got == {d: root(d) for d in range(400)}
+    assert sum(seen) < 8 * 400
+
+
 def test_equal_digests_are_told_apart(spark, monkeypatch):
     """Sets whose first digests are equal are different classes all the same."""
     real = ngram_join.digest_of
