@@ -24,8 +24,10 @@ table; other columns pass through.
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -52,6 +54,9 @@ _LOW = float("-inf")
 #: Segments in a generation of a memo; with some 400 bytes each, two of them take 50 MB at most.
 #: Idle workers keep theirs while other stages run.
 SEGMENTS_KEPT = 60_000
+#: Objects made between two looks for cycles while texts are encoded. Results of segments hold no
+#: cycles, so that going through the memo for some finds nothing.
+COLLECT_EVERY = 100_000
 
 #: The segmenter of this Python worker, which the tasks it runs share one after the other.
 _own: dict = {}
@@ -66,6 +71,16 @@ def segmenter(vocabulary: Vocabulary, n_best: int) -> Segmenter:
     return _own[key]
 
 
+@contextmanager
+def rare_collection():
+    before = gc.get_threshold()
+    gc.set_threshold(COLLECT_EVERY, *before[1:])
+    try:
+        yield
+    finally:
+        gc.set_threshold(*before)
+
+
 class Segmenter:
     def __init__(self, vocabulary: Vocabulary, n_best: int = 1) -> None:
         self.vocabulary, self.n_best = vocabulary, n_best
@@ -293,12 +308,13 @@ def with_pieces(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 1, text:
         tool = segmenter(vocabulary, n_best)
         for batch in texts:
             ids, scores, others, same = [], [], [], []
-            for text in batch.to_pylist():
-                row, score, more, whole = tool.encode_checked(text)
-                ids.append(row)
-                scores.append(score)
-                others.append(more)
-                same.append(whole)
+            with rare_collection():
+                for text in batch.to_pylist():
+                    row, score, more, whole = tool.encode_checked(text)
+                    ids.append(row)
+                    scores.append(score)
+                    others.append(more)
+                    same.append(whole)
             yield struct_array({
                 "ids": _lists(ids),
                 "n_pieces": pa.array([len(x) for x in ids], pa.int64()),

@@ -1,9 +1,11 @@
 """What a query leaves on disk while it runs, and what an idle Python worker keeps."""
 
+import gc
 import tracemalloc
 
 from linkgrid.llm import lines, segmentation
-from linkgrid.llm.pieces import Memo
+from linkgrid.llm.pieces import Memo, load
+from linkgrid.llm.queries import PIECES
 
 
 def test_line_tables_are_deleted_once_read(spark, monkeypatch):
@@ -33,3 +35,14 @@ def test_a_full_memo_takes_little(spark):
     used = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert used < 50e6
+
+
+def test_encoding_seldom_looks_for_cycles():
+    tool = segmentation.Segmenter(load(PIECES), 3)
+    before = gc.get_threshold()
+    looks = lambda: sum(g["collections"] for g in gc.get_stats())
+    with segmentation.rare_collection():
+        began = looks()
+        rows = [tool.encode(" ".join(f"w{i * 300 + j}en" for j in range(300))) for i in range(40)]
+        assert looks() - began <= 3
+    assert len(rows) == 40 and gc.get_threshold() == before
