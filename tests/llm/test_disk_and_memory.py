@@ -1,9 +1,12 @@
 """What a query leaves on disk while it runs, and what an idle Python worker keeps."""
 
 import gc
+import random
 import tracemalloc
 
-from linkgrid.llm import lines, segmentation
+import pytest
+
+from linkgrid.llm import components, lines, ngram_join, segmentation
 from linkgrid.llm.pieces import Memo, load
 from linkgrid.llm.queries import PIECES
 
@@ -46,3 +49,49 @@ def test_encoding_seldom_looks_for_cycles():
         rows = [tool.encode(" ".join(f"w{i * 300 + j}en" for j in range(300))) for i in range(40)]
         assert looks() - began <= 3
     assert len(rows) == 40 and gc.get_threshold() == before
+
+
+def tables(monkeypatch, module):
+    made, write = [], module.kept
+    monkeypatch.setattr(module, "kept", lambda df, name, *a: made.append(name) or write(df, name, *a))
+    return made
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 60])
+def test_few_links_need_no_rounds(spark, monkeypatch, chunk):
+    made = tables(monkeypatch, components)
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    links = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 90)] + [(5, 5)]
+    got = components.components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()
+    want = {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(90)}
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert (len(made) == 2) == (chunk > 1000)
+
+
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "CELL", 2)
+    rng = random.Random(3)
+    longs = ngram_join.MARK_LONGS
+    known = {}
+    for id_ in range(120):
+        marks = [rng.choice([-1, 0, 1, 1 << 62, -(1 << 63)]) for _ in range(longs)] if id_ % 3 else [-1] * longs
+        known[id_] = (rng.choice([40, 45, 90]), id_ % 50, rng.choice([0, 0, 8, 20]), marks)
+    placed = [(sig, id_, known[id_][1], known[id_][0]) for sig in range(4) for id_ in range(120)
+              if (id_ + sig) % 4]
+    probed = [(sig, id_) for sig, id_, *_ in placed if rng.random() < 0.6]
+    columns = ", ".join(f"m{i} bigint" for i in range(longs))
+    got = ngram_join._open_pairs(
+        spark.createDataFrame(placed, "sig bigint, id bigint, component bigint, n bigint"),
+        spark.createDataFrame(probed, "sig bigint, id bigint"),
+        spark.createDataFrame(
+            [(i, own, *marks) for i, (_, _, own, marks) in known.items()], f"id bigint, own bigint, {columns}")
+    ).collect()
+    want = set()
+    for sig, u in probed:
+        for v in (id_ for s, id_, *_ in placed if s == sig):
+            (n, of, own, x), (m, to, more, y) = known[u], known[v]
+            apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x, y))
+            if of != to and 4 * min(n, m) >= 3 * max(n, m) and 7 * (own + more) <= n + m and 7 * apart <= n + m:
+                want.add((min(u, v), max(u, v)))
+    assert len(got) == len(set(got)) and {(r.u, r.v) for r in got} == want and len(want) > 50
