@@ -3,7 +3,10 @@
 import gc
 import random
 import tracemalloc
+import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from linkgrid.llm import components, lines, ngram_join, segmentation
@@ -95,3 +98,75 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
             if of != to and 4 * min(n, m) >= 3 * max(n, m) and 7 * (own + more) <= n + m and 7 * apart <= n + m:
                 want.add((min(u, v), max(u, v)))
     assert len(got) == len(set(got)) and {(r.u, r.v) for r in got} == want and len(want) > 50
+
+
+def test_signatures_travel_in_parts():
+    """Together the parts send what one pass would; wide segments of two parts are told apart."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            for n in (1, 4, 15, 16, 21, 64, 85, 700, 5000)]
+
+    def segments(sig, code, owner):
+        found = {}
+        for s, c, i in zip(sig.tolist(), code.tolist(), owner.tolist()):
+            found.setdefault((i, c // 2) if c > 1 else (i, c, s), set()).add((s, c % 2))
+        return sorted(sorted(x) for x in found.values())
+
+    whole = ngram_join.signatures_of(sets)
+    for parts in (2, 3):
+        made = [ngram_join.signatures_of(sets, part, parts) for part in range(parts)]
+        sig, code, owner = (np.concatenate(x) for x in zip(*made))
+        assert sorted(zip(owner.tolist(), sig.tolist())) == sorted(
+            zip(whole[2].tolist(), whole[0].tolist()))
+        assert max(len(m[0]) for m in made) < 0.7 * len(sig)
+        assert segments(sig, code, owner) == segments(*whole)
+
+
+def test_signatures_of_a_large_table_take_few_bytes():
+    """A set's digest must not travel with each of its signatures, nor all signatures at once."""
+    texts = [" ".join(f"d{d}w{i}" for i in range(360)) for d in range(400)]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(400)), "data": pa.array([t.encode() for t in texts], pa.binary())})
+    parts = getattr(ngram_join, "PASSES", 1)
+    ranges = 12 * (864 << 20) // ngram_join.RANGE_BYTES  # those of 6 GB
+    sent = max(
+        sum(len(zlib.compress(row[n], 1))
+            for out in ngram_join._emit(ranges, *([part, parts] if parts > 1 else []))([batch])
+            for row in out.to_pylist() if row["kind"] == "sets" for n in "abcd")
+        for part in range(parts))
+    assert sent < 5 * sum(len(ngram_join.shingle_set(t.encode())) for t in texts), sent
+
+
+@pytest.mark.parametrize("matched", [1 << 19, 50])
+def test_a_range_is_matched_in_turns(monkeypatch, matched):
+    rng = random.Random(6)
+    monkeypatch.setattr(ngram_join, "MATCHED", matched)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[: rng.randint(60, 200)] + [f"d{d}x{i}" for i in range(rng.randint(0, 30))])
+             for d in range(40)]
+    texts += texts[:5]
+    held, rows = {}, []
+    for at in range(0, 45, 9):  # several tasks
+        batch = pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(range(at, at + 9)),
+            "data": pa.array([t.encode() for t in texts[at : at + 9]], pa.binary())})
+        rows += [out for part in (0, 1) for out in ngram_join._emit(2, part, 2)([batch])]
+    for t in set(texts):
+        tokens = ngram_join.shingle_set(t.encode())
+        for s in set(ngram_join.signatures(tokens)[0].tolist()):
+            held.setdefault(s, set()).add(ngram_join.digest_of(tokens))
+    table, lists = pa.Table.from_batches(rows), {}
+    for at in range(4):
+        use = [r == at and k == "sets" for r, k in
+               zip(table["range"].to_pylist(), table["kind"].to_pylist())]
+        out = ngram_join._match(table.filter(pa.array(use)))
+        assert out.num_rows > (1 if matched == 50 else 0)
+        for entries in ngram_join._unpack_sets(out.to_batches()):
+            for e in entries.to_pylist():
+                lists.setdefault(e["sig"], []).append(e)
+    want = sorted(sorted(ids) for ids in held.values() if len(ids) > 1)
+    assert want and sorted(sorted({e["id"] for e in x}) for x in lists.values()) == want
+    for entries in lists.values():
+        ids = [e["id"] for e in entries if e["first"]]
+        assert len(ids) == len(set(ids)) == len({e["id"] for e in entries})
+        assert {e["count"] for e in entries} == {len(ids)}
