@@ -15,6 +15,9 @@ executor costs the tasks of one round.
 Edge cases: null counts as an empty text, and all empty texts are equal; of rows that repeat
 doc_id and text one stays; a null doc_id ranks below all others; an empty table gives an empty
 table. Column names of the input are kept apart from those used here.
+
+Where no doc_id repeats, rounds carry only texts whose group is not settled, and all their tables
+are deleted before the rows that stay are looked up by doc_id.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgrid.llm.common import kept, text_of, utf8
+from linkgrid.llm.common import kept, release, text_of, utf8
 
 
 def exact_groups(docs: DataFrame, carry: list[str] | None = None, carry_text: bool = False,
@@ -35,6 +38,12 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, carry_text: bo
     ``carry_text`` that struct also has the text. Of equal texts the row with the largest
     doc_id is kept.
     """
+    return _grouped(docs, carry, carry_text, first_digit, growth)[0]
+
+
+def _grouped(docs: DataFrame, carry: list[str] | None = None, carry_text: bool = False,
+             first_digit: int = 256, growth: int = 4) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``exact_groups`` returns, and the tables it reads."""
     carried = F.struct(
         F.col("text").isNull().alias("null_text"), *[F.col(c) for c in carry or []]
     )
@@ -45,7 +54,7 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, carry_text: bo
         utf8().alias("bytes"),
         carried.alias("carried"),
     )
-    start, width, rounds = 0, first_digit, []
+    start, width, rounds, tables = 0, first_digit, [], []
     while True:
         split = state.withColumn("digit", F.substring("bytes", start + 1, width))
         heads = kept(
@@ -72,6 +81,8 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, carry_text: bo
             ),
             "radix-round",
         )
+        release(heads)
+        tables.append(state)
         rounds.append(state.where("done"))
         state = state.where(~F.col("done"))
         if state.isEmpty():
@@ -85,7 +96,7 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, carry_text: bo
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("bin")).alias("kept"),
         F.struct(*out, *([text.alias("text")] if carry_text else [])).alias("carried")
         if out or carry_text else F.lit(None).alias("carried"),
-    )
+    ), tables
 
 
 def exact_report(docs: DataFrame) -> DataFrame:
@@ -97,6 +108,12 @@ def exact_report(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each distinct text, all columns as they were."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1)
+    if repeated.isEmpty():
+        groups, tables = _grouped(docs.select("doc_id", "text"))
+        gone = kept(groups.where("NOT kept").select("doc_id"), "radix-gone")
+        release(*tables)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     packed = docs.select(
         "doc_id", "text",
         F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("others"),

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from linkgrid.llm import components, lines, ngram_join, segmentation
+from linkgrid.llm import components, lines, ngram_join, radix, segmentation
+from linkgrid.llm.common import release
 from linkgrid.llm.pieces import Memo, load
 from linkgrid.llm.queries import PIECES
 
@@ -170,3 +171,24 @@ def test_a_range_is_matched_in_turns(monkeypatch, matched):
         ids = [e["id"] for e in entries if e["first"]]
         assert len(ids) == len(set(ids)) == len({e["id"] for e in entries})
         assert {e["count"] for e in entries} == {len(ids)}
+
+
+def test_exact_dedup_leaves_only_ids_on_disk(spark, monkeypatch):
+    """The rows that stay are read from the input again, so later stages pay for no copy of it."""
+    left, write, drop = {}, radix.kept, release
+    monkeypatch.setattr(radix, "kept", lambda df, name: left.setdefault(
+        (made := write(df, name)).kept_at, made))
+    monkeypatch.setattr(
+        radix, "release", lambda *t: [left.pop(x.kept_at) for x in t] and drop(*t), raising=False)
+    texts = [("same " * 300) + f"end{d % 30}" for d in range(60)] + [f"own {d} " * 40 for d in range(40)]
+    docs = spark.createDataFrame(
+        [(d, t, f"s{d}") for d, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = radix.drop_copies(docs)
+    assert [x.columns for x in left.values()] == [["doc_id"]]
+    last = {t: d for d, t in enumerate(texts)}
+    assert sorted(map(tuple, out.collect())) == sorted((d, t, f"s{d}") for t, d in last.items())
+    # Where a doc_id repeats or is null texts are carried, and of equal rows one stays.
+    more = docs.union(docs.where("doc_id in (70, 59)")).union(spark.createDataFrame(
+        [(70, "other", "s"), (None, "other", "t"), (None, "third", "t")], docs.schema))
+    assert sorted(map(tuple, radix.drop_copies(more).collect()), key=str) == sorted(
+        [*((d, t, f"s{d}") for t, d in last.items()), (70, "other", "s"), (None, "third", "t")], key=str)
